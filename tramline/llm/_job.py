@@ -80,3 +80,12 @@ def known(name: str) -> Column:
 def given(name: str) -> Column:
     """The inverse of known()."""
     return F.when(F.col(name) != NULL_ID, F.col(name))
+
+
+def positional(df: DataFrame, text_col: str) -> tuple[DataFrame, str, str]:
+    """``df`` with columns _c0, _c1 ... , which no added name can meet; the text column's name there; the schema."""
+    out = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    name = f"_c{df.columns.index(text_col)}"
+    if dict(out.dtypes)[name] != "string":
+        raise TypeError(f"{text_col} is no string column")
+    return out, name, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)

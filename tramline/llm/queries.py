@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _sql, archives, licenses, near_dup, pieces, repetition, shards, substrings, tiling, urls
+from . import _sql, archives, licenses, near_dup, pieces, repetition, shards, substrings, tiling, urls, weak_labels
 from ._job import table
 
 
@@ -38,6 +38,10 @@ def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classified(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.round_trip(table(spark, sf_dir, "pages")).drop("url")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._job import small_batches
+from ._job import positional, small_batches
 
 #: Tokens that a match needs; seeds have this length too.
 MATCH = 4
@@ -92,7 +92,7 @@ def _tokens(items: list[tuple[int, str]], least: int) -> list[tuple[int, list[in
     return out
 
 
-def _tiled(block: list[tuple[int, str]], least: int, coverage: float):
+def _tiled(block: list[tuple[int, str]], least: int, coverage: float, text_col: str = "text", drop_text: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = _tokens(block, least)
         by_seed = defaultdict(list)
@@ -101,7 +101,7 @@ def _tiled(block: list[tuple[int, str]], least: int, coverage: float):
                 by_seed[h].append((i, j))
         known = np.array(sorted(by_seed), _U)
         for batch in batches:
-            for lo, hi, chunk in T.chunks(batch, "text", SEPARATORS, lower=True):
+            for lo, hi, chunk in T.chunks(batch, text_col, SEPARATORS, lower=True):
                 found: list[list] = [[] for _ in range(chunk.n_docs)]
                 words = chunk.word_hashes()
                 at, seeds = chunk.windows(words, least)
@@ -135,10 +135,11 @@ def _tiled(block: list[tuple[int, str]], least: int, coverage: float):
                         if share >= coverage:
                             found[d].append((key, share))
                 best = [max(f, key=lambda x: (x[1], -x[0])) if f else (None, 0.0) for f in found]
+                names = [c for c in batch.schema.names if c != text_col or not drop_text]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c)[lo:hi] for c in batch.schema.names if c != "text"]
+                    [batch.column(c)[lo:hi] for c in names]
                     + [pa.array([sorted(k for k, _ in f) for f in found], pa.list_(pa.int64())), pa.array([b[0] for b in best], pa.int64()), pa.array([b[1] for b in best], pa.float64())],
-                    [c for c in batch.schema.names if c != "text"] + ["items", "best_item", "coverage"],
+                    [*names, "items", "best_item", "coverage"],
                 )
 
     return run
@@ -190,3 +191,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MATCH, cove
             .select("_id", "items", (-F.col("top.minus")).alias("best_item"), F.coalesce("top.coverage", F.lit(0.0)).alias("coverage"))
         )
     return out.select(F.col("_id").alias(id_col), "items", "best_item", "coverage", (F.size("items") == 0).alias("kept"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: int = MATCH, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of ``docs``, with their columns, that hold no item; a pass a benchmark block, no shuffle."""
+    small_batches(docs.sparkSession)
+    rows, text, schema = positional(docs, text_col)
+    for block in _blocks(benchmark, item_col, "text", block_tokens):
+        out = rows.mapInArrow(_tiled(block, least, coverage, text, False), f"{schema}, items array<long>, best_item long, coverage double")
+        rows = out.filter(F.size("items") == 0).drop("items", "best_item", "coverage")
+    return rows.toDF(*docs.columns)
