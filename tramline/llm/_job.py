@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stage import dropped, new_path, shared_folder, staged
+
+__all__ = ["BATCH_ROWS", "NULL_ID", "dropped", "given", "known", "new_path", "positional", "shared_folder", "small_batches", "staged", "table"]
+
 #: Where a null id sorts, and the id by which it is compared: after all others.
 NULL_ID = (1 << 63) - 1
 BATCH_ROWS = 512
-_folders: dict[int, str] = {}
-_left: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,51 +25,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept:
-            return kept
-        key = id(spark.sparkContext)
-        if key not in _folders:
-            _folders[key] = f"file://{tempfile.mkdtemp(prefix='tramline-')}"
-        named = _folders[key]
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _left.append((spark, path))
-    return path
-
-
-def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Writes a table to the shared folder and reads it again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def dropped(spark: SparkSession, *paths: str) -> None:
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _tidy() -> None:
-    for spark, path in _left:
-        try:
-            if spark.sparkContext._jsc is not None:
-                dropped(spark, path)
-        except Exception:  # the session has ended; its files stay for the folder's owner
-            return
-
-
 def known(name: str) -> Column:
     """An id column with nulls compared as NULL_ID."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_ID))

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from . import _text as T
 from ._job import dropped, given, known, small_batches, staged
-from .components import components
 
 WORDS = 5
 PERCENT = 75
