@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import _text as T
-from ._job import given, known, small_batches
+from ._job import given, known, positional, small_batches
 
 WORDS = 20
 #: Cells of the sketch, whatever the input's size; one bit each where it is used, 32 MiB.
@@ -22,6 +22,8 @@ DEPTH = 2
 TILE = 1 << 18
 #: Words of the anchor inside each window by which the sketch counts windows.
 ANCHOR = 8
+#: Windows that a task combines at a time before the shuffle.
+BLOCK = 500_000
 _U = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -103,13 +105,14 @@ def _sketch(spark: SparkSession, texts: DataFrame, words: int, anchor: int, cell
 
 
 def _windows(words: int, anchor: int, cells: int, bits):
-    """Windows that the sketch lets through: of equal ones in one batch the earliest, the others as decided."""
+    """Windows that the sketch lets through: of equal ones in a block the earliest, the others as decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.frombuffer(zlib.decompress(bits.value), np.uint8)
+        block: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for batch in batches:
             key, text = batch.column("_k").to_numpy(), batch.column("_t").to_numpy()
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for lo, _, chunk in T.chunks(batch, "text"):
                 hashes = chunk.word_hashes()
                 at, best, _ = _anchors(chunk, hashes, words, anchor)
@@ -122,68 +125,79 @@ def _windows(words: int, anchor: int, cells: int, bits):
                 doc = np.repeat(np.arange(chunk.n_docs), chunk.n_words)[at]
                 one = T.window_hashes(hashes, words)[at]
                 two = T.window_hashes(chunk.word_hashes(1), words, 1)[at]
-                for col, x in zip(cols, (one, two, key[lo + doc], text[lo + doc], at - chunk.word_offsets[doc]), strict=True):
-                    col.append(x)
-            if not cols[0]:
-                continue
-            one, two, k, t, pos = (np.concatenate(c) for c in cols)
-            order = np.lexsort((t, pos, k, two, one))
-            one, two, k, t, pos = one[order], two[order], k[order], t[order], pos[order]
-            head = np.ones(len(one), bool)
-            head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-            # a start that ties with the group's first (the same document written twice) is no later start
-            first = np.maximum.accumulate(np.where(head, np.arange(len(one)), 0)) if len(one) else head
-            tied = (k == k[first]) & (pos == pos[first])
-            yield _rows(one[tied], two[tied], k[tied], t[tied], pos[tied], pos[tied] + 1, False)
-            # later starts are decided here: runs of adjacent ones become one row
-            k, t, pos = k[~tied], t[~tied], pos[~tied]
-            order = np.lexsort((pos, t, k))
-            k, t, pos = k[order], t[order], pos[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (pos[1:] != pos[:-1] + 1)
-            begin = np.flatnonzero(new)
-            end = np.append(begin[1:], len(k))[: len(begin)] - 1
-            own = T.mix(k[begin].astype(_U) * _U(_MULTIPLIER) + pos[begin].astype(_U))  # spread: nothing else decides them
-            yield _rows(own, own, k[begin], t[begin], pos[begin], pos[end] + 1 if len(begin) else pos[begin], True)
+                block.append((one, two, key[lo + doc], text[lo + doc], at - chunk.word_offsets[doc]))
+                held += len(at)
+                if held >= BLOCK:
+                    yield from _combined(block)
+                    block, held = [], 0
+        if held:
+            yield from _combined(block)
 
     return run
 
 
+def _combined(block: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    one, two, k, t, pos = (np.concatenate(c) for c in zip(*block, strict=True))
+    order = np.lexsort((t, pos, k, two, one))
+    one, two, k, t, pos = one[order], two[order], k[order], t[order], pos[order]
+    head = np.ones(len(one), bool)
+    head[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    # a start that ties with the group's first (the same document written twice) is no later start
+    first = np.maximum.accumulate(np.where(head, np.arange(len(one)), 0))
+    tied = (k == k[first]) & (pos == pos[first])
+    # in the order of the text: neighbours share most bytes, so the shuffle compresses
+    own = np.flatnonzero(tied)
+    own = own[np.lexsort((pos[own], t[own], k[own]))]
+    yield _rows(one[own], two[own], k[own], t[own], pos[own], pos[own] + 1, False)
+    # later starts are decided here: runs of adjacent ones become one row
+    k, t, pos = k[~tied], t[~tied], pos[~tied]
+    if len(k):
+        order = np.lexsort((pos, t, k))
+        k, t, pos = k[order], t[order], pos[order]
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1]) | (pos[1:] != pos[:-1] + 1)
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(k)) - 1
+        own = T.mix(k[begin].astype(_U) * _U(_MULTIPLIER) + pos[begin].astype(_U))  # spread: nothing else decides them
+        yield _rows(own, own, k[begin], t[begin], pos[begin], pos[end] + 1, True)
+
+
+#: A span in a word: a flag, then 31 bits each of the first start and the one after the last.
+_DECIDED = 1 << 62
+_BITS = 31
+_MASK = (1 << _BITS) - 1
+
+
 def _rows(one, two, k, t, lo, hi, decided: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(k), pa.array(t), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.array(np.full(len(one), decided))],
-        ["h1", "h2", "_k", "_t", "lo", "hi", "decided"],
-    )
+    code = lo.astype(np.int64) << _BITS | hi.astype(np.int64) | (_DECIDED if decided else 0)
+    return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(code), pa.array(k), pa.array(t)], ["h1", "h2", "code", "_k", "_t"])
 
 
-def _cut(words: int, with_text: bool):
-    """Removes the words that the spans' windows cover; spans hold first starts up to last start + 1."""
+def _cut(words: int, text: str, drop_text: bool):
+    """Removes the words that the spans' windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column("spans")
+            spans, texts = batch.column("spans"), batch.column(text)
             out: list[list] = [[], [], [], []]
-            texts = batch.column("text")
             for i in range(batch.num_rows):
                 raw = (texts[i].as_py() or "").encode()
                 parts = raw.split()
                 gone = np.zeros(len(parts) + 1, np.int64)
                 if spans[i].is_valid and len(spans[i]):
                     code = spans[i].values.to_numpy()
-                    np.add.at(gone, code >> 32, 1)
-                    np.add.at(gone, np.minimum((code & 0xFFFFFFFF) + words - 1, len(parts)), -1)
+                    np.add.at(gone, code >> _BITS & _MASK, 1)
+                    np.add.at(gone, np.minimum((code & _MASK) + words - 1, len(parts)), -1)
                 covered = np.cumsum(gone[:-1]) > 0
                 removed = int(covered.sum())
                 kept = b" ".join([parts[j] for j in np.flatnonzero(~covered)] if removed else parts)
                 out[0].append(len(parts))
                 out[1].append(removed)
                 out[2].append(hashlib.sha256(kept).hexdigest())
-                if with_text:
-                    out[3].append(_remaining(raw, covered) if removed else texts[i].as_py())
-            names = ["n_words", "n_removed", "kept_sha256"] + (["kept_text"] if with_text else [])
-            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())] + ([pa.array(out[3], pa.string())] if with_text else [])
-            keep = [n for n in batch.schema.names if n not in ("spans", "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + arrays, keep + names)
+                out[3].append(_remaining(raw, covered) if removed else texts[i].as_py())
+            keep = [n for n in batch.schema.names if n != "spans" and (n != text or not drop_text)]
+            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + arrays, [*keep, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -212,25 +226,56 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, anchor: int = ANCHOR, ce
     of ``cells`` cells.  That size is fixed, so the sketch can be broadcast at
     any input size; a fuller one only lets more windows through, and never
     stops a repeated one.  Pass 2 groups the windows let through exactly, by 128 bits.
-    Equal windows within a batch are combined before the shuffle, so a passage that
-    all documents hold makes a row a batch, not a row a document.
+    A task combines equal windows in blocks before the shuffle, so a passage that
+    all documents hold makes a row a block, not a row a document.
 
     Null or wordless texts have no words.  A null id sorts after all others.
     Rows that agree in id and text are one document written twice: neither is
     earlier than the other.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    marked = _marked(docs, id_col, text_col)
+    joined = marked.join(_spans(marked, words, anchor, cells), ["_k", "_t"], "left").select("_k", "text", "spans")
+    out = joined.mapInArrow(_cut(words, "text", True), "_k long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return out.select(given("_k").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = docs.select(known(id_col).alias("_k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marked = texts.withColumn("_t", F.xxhash64("text"))
-    bits = spark.sparkContext.broadcast(zlib.compress(_sketch(spark, texts.select("text"), words, anchor, cells).tobytes(), 1))
-    found = marked.mapInArrow(_windows(words, anchor, cells, bits), "h1 long, h2 long, _k long, _t long, lo int, hi int, decided boolean")
-    start = F.struct("_k", "lo")
-    first = F.min(F.when(~F.col("decided"), start)).over(W.partitionBy("h1", "h2"))
-    spans = found.withColumn("first", first).filter(F.col("decided") | (F.col("first") < start)).select("_k", "_t", "lo", "hi")
-    code = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
-    by_doc = spans.groupBy("_k", "_t").agg(F.collect_list(code).alias("spans"))
-    joined = marked.join(by_doc, ["_k", "_t"], "left").select("_k", "text", "spans")
-    kept = ", kept_text string" if with_text else ""
-    out = joined.mapInArrow(_cut(words, with_text), f"_k long, n_words long, n_removed long, kept_sha256 string{kept}")
-    return out.select(given("_k").alias(id_col), *[c for c in out.columns if c != "_k"])
+    return texts.withColumn("_t", F.xxhash64("text"))
+
+
+def _spans(marked: DataFrame, words: int, anchor: int, cells: int) -> DataFrame:
+    """(_k, _t, spans): the window starts of each document that also start earlier."""
+    spark = marked.sparkSession
+    small_batches(spark)
+    bits = spark.sparkContext.broadcast(zlib.compress(_sketch(spark, marked.select("text"), words, anchor, cells).tobytes(), 1))
+    found = marked.mapInArrow(_windows(words, anchor, cells, bits), "h1 long, h2 long, code long, _k long, _t long")
+    start = F.struct("_k", F.shiftright("code", _BITS).alias("lo"))  # of rows without the flag
+    late = F.col("code") >= _DECIDED
+    first = F.min(F.when(~late, start)).over(W.partitionBy("h1", "h2"))
+    return found.withColumn("first", first).filter(late | (F.col("first") < start)).groupBy("_k", "_t").agg(F.collect_list("code").alias("spans"))
+
+
+def without_repeats(docs: DataFrame, words: int = WORDS, anchor: int = ANCHOR, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with the words that remove_repeats() finds taken out of the texts, and ``length_col``, if there, counted anew.
+
+    A document all of whose words go, goes; one without words to begin with stays as it is.
+    """
+    rows, text, schema = positional(docs, text_col)
+    key = f"_c{docs.columns.index(id_col)}"
+    marked = _marked(rows, key, text)
+    spans = _spans(marked, words, anchor, cells)
+    tagged = rows.withColumn("_k", known(key)).withColumn("_t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = tagged.join(spans, ["_k", "_t"], "left").drop("_k", "_t")
+    out = joined.mapInArrow(_cut(words, text, False), f"{schema}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = out.filter("n_removed < n_words or n_words = 0")
+    changed = F.col("n_removed") > 0
+    columns = []
+    for i, name in enumerate(docs.columns):
+        column = F.col(f"_c{i}")
+        if name == text_col:
+            column = F.when(changed, F.col("kept_text")).otherwise(column)
+        elif name == length_col:
+            column = F.when(changed, F.char_length("kept_text").cast(docs.schema[name].dataType)).otherwise(column)
+        columns.append(column.alias(name))
+    return out.select(*columns)
