@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def base_name(name: Column) -> Column:
@@ -49,7 +50,7 @@ def colour(text: Column) -> Column:
     return F.when(t.rlike("^[0-9A-F]{6}$"), t).when(t.rlike("^[0-9A-F]{3}$"), twice)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def place_key(names: pd.Series) -> pd.Series:
     """Lower case without marks, spaces squeezed: the key by which place names are compared."""
     plain = names.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
