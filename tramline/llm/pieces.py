@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._job import small_batches
+from ._job import positional, small_batches
 
 RATE = 0.1
 SEED = 7
@@ -270,11 +270,11 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
     return decode_bytes(vocab, np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
-def _encoded(path: str | None, rate: float, seed: int, variants: int):
+def _encoded(path: str | None, rate: float, seed: int, variants: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path or default_model())
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
+            texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
             key = batch.column("_v").to_numpy()
             chosen = T.mix(key.view(_U) ^ _U(seed)) % _U(variants)
             lo = 0
@@ -293,7 +293,7 @@ def _encoded(path: str | None, rate: float, seed: int, variants: int):
 
 
 def encode(docs: DataFrame, model: str | None = None, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds ids (array of int) to ``docs``.
+    """Adds ids (array of int) to ``docs``; a column of that name is replaced.
 
     ``model`` is the path of a model file on every executor; by default the public
     32k vocabulary.  A text's ids depend on the text, the seed, the rate and the
@@ -302,18 +302,15 @@ def encode(docs: DataFrame, model: str | None = None, rate: float = RATE, seed:
     that the text itself holds are spelled in bytes, so decoding is exact.  At
     rate 0 the ids are those of the model's own encoder for texts without marks.
 
-    Null and empty texts have no ids; a null key has a variant of its own.  The
-    columns ``ids``, ``_v`` and ``text`` must not be taken otherwise; an ``ids`` column is
-    replaced.
+    Null and empty texts have no ids; a null key has a variant of its own.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("ids")
-    rows = docs.withColumn("_v", F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit(""))))
-    if text_col != "text":
-        rows = rows.withColumn("text", F.col(text_col))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_v")
-    out = rows.mapInArrow(_encoded(model, rate, seed, variants), f"{schema}, ids array<int>")
-    return out.select(*[f"`{c}`" for c in docs.columns], "ids")
+    rows, text, schema = positional(docs, text_col)
+    key = F.col(f"_c{docs.columns.index(key_col)}").cast("string")
+    keyed = rows.withColumn("_v", F.xxhash64(F.coalesce(key, F.lit(""))))
+    out = keyed.mapInArrow(_encoded(model, rate, seed, variants, text), f"{schema}, ids array<int>")
+    return out.toDF(*docs.columns, "ids")
 
 
 def _decoded(path: str | None, column: str):
@@ -327,8 +324,9 @@ def _decoded(path: str | None, column: str):
 
 
 def decoded(rows: DataFrame, model: str | None = None, column: str = "ids") -> DataFrame:
-    """Adds decoded: the text that ``column`` stands for; null for null."""
+    """Adds decoded: the text that ``column`` stands for, null for null; a column of that name is replaced."""
     small_batches(rows.sparkSession)
+    rows = rows.drop("decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(_decoded(model, column), f"{schema}, decoded string")
 

@@ -58,7 +58,7 @@ def _cells(anchor: np.ndarray, cells: int) -> list[np.ndarray]:
     return [(T.mix(anchor ^ salt[r]) % width + width * _U(r)).astype(np.int64) for r in range(DEPTH)]
 
 
-def _counted(words: int, anchor: int, cells: int):
+def _counted(words: int, anchor: int, cells: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -70,41 +70,46 @@ def _counted(words: int, anchor: int, cells: int):
                 continue
             for row in _cells(np.concatenate(found), cells):
                 cell, count = np.unique(row, return_counts=True)
-                tile = cell // TILE
+                tile = cell // size
                 cut = np.flatnonzero(np.diff(tile)) + 1
                 first = np.concatenate([[0], cut])
-                code = ((cell % TILE) << 1 | (count > 1)).astype("<u4")
+                code = ((cell % size) << 1 | (count > 1)).astype("<u4")
                 parts = [zlib.compress(x.tobytes(), 1) for x in np.split(code, cut)]
                 yield pa.RecordBatch.from_arrays([pa.array(tile[first], pa.int32()), pa.array(parts, pa.binary())], ["tile", "part"])
 
     return run
 
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(size: int):
     """One partition's tiles; sums that saturate at two, as one bit: counted twice or more."""
-    tiles: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for tile, part in zip(batch.column("tile").to_pylist(), batch.column("part").to_pylist(), strict=True):
-            code = np.frombuffer(zlib.decompress(part), "<u4")
-            sums = tiles.setdefault(tile, np.zeros(TILE, np.uint8))
-            cell = code >> 1
-            sums[cell] = np.minimum(2, sums[cell] + 1 + (code & 1))
-    for tile, sums in tiles.items():
-        bits = np.packbits(sums >= 2).tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([tile], pa.int32()), pa.array([zlib.compress(bits, 1)], pa.binary())], ["tile", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for tile, part in zip(batch.column("tile").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                code = np.frombuffer(zlib.decompress(part), "<u4")
+                sums = tiles.setdefault(tile, np.zeros(size, np.uint8))
+                cell = code >> 1
+                sums[cell] = np.minimum(2, sums[cell] + 1 + (code & 1))
+        for tile, sums in tiles.items():
+            bits = np.packbits(sums >= 2).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([tile], pa.int32()), pa.array([zlib.compress(bits, 1)], pa.binary())], ["tile", "part"])
+
+    return run
 
 
 def _sketch(spark: SparkSession, texts: DataFrame, words: int, anchor: int, cells: int) -> np.ndarray:
     """Bits of the cells counted twice or more: cells / 8 bytes."""
-    parts = texts.mapInArrow(_counted(words, anchor, cells), "tile int, part binary")
-    tiles = parts.repartition(max(1, min(cells // TILE, int(spark.conf.get("spark.sql.shuffle.partitions")))), "tile").mapInArrow(_merged, "tile int, part binary")
+    size = min(TILE, cells)
+    parts = texts.mapInArrow(_counted(words, anchor, cells, size), "tile int, part binary")
+    tiles = parts.repartition(max(1, min(cells // size, int(spark.conf.get("spark.sql.shuffle.partitions")))), "tile").mapInArrow(_merged(size), "tile int, part binary")
     bits = np.zeros(cells // 8, np.uint8)
     for row in tiles.collect():  # at most cells / 8 bytes
-        bits[row.tile * TILE // 8 : (row.tile + 1) * TILE // 8] = np.frombuffer(zlib.decompress(bytes(row.part)), np.uint8)
+        bits[row.tile * size // 8 : (row.tile + 1) * size // 8] = np.frombuffer(zlib.decompress(bytes(row.part)), np.uint8)
     return bits
 
 
-def _windows(words: int, anchor: int, cells: int, bits):
+def _windows(words: int, anchor: int, cells: int, bits, most: int):
     """Windows that the sketch lets through: of equal ones in a block the earliest, the others as decided."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +132,7 @@ def _windows(words: int, anchor: int, cells: int, bits):
                 two = T.window_hashes(chunk.word_hashes(1), words, 1)[at]
                 block.append((one, two, key[lo + doc], text[lo + doc], at - chunk.word_offsets[doc]))
                 held += len(at)
-                if held >= BLOCK:
+                if held >= most:
                     yield from _combined(block)
                     block, held = [], 0
         if held:
@@ -249,7 +254,7 @@ def _spans(marked: DataFrame, words: int, anchor: int, cells: int) -> DataFrame:
     spark = marked.sparkSession
     small_batches(spark)
     bits = spark.sparkContext.broadcast(zlib.compress(_sketch(spark, marked.select("text"), words, anchor, cells).tobytes(), 1))
-    found = marked.mapInArrow(_windows(words, anchor, cells, bits), "h1 long, h2 long, code long, _k long, _t long")
+    found = marked.mapInArrow(_windows(words, anchor, cells, bits, BLOCK), "h1 long, h2 long, code long, _k long, _t long")
     start = F.struct("_k", F.shiftright("code", _BITS).alias("lo"))  # of rows without the flag
     late = F.col("code") >= _DECIDED
     first = F.min(F.when(~late, start)).over(W.partitionBy("h1", "h2"))
