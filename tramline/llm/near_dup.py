@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, ban
     texts = docs.select(known(id_col).alias("_k"), F.col(text_col).cast("string").alias("text"))
     made, made_at = staged(texts.mapInArrow(_sketched(k, bands, rows), "_k long, n long, d1 long, d2 long, bands array<long>"), "sketches")
     full = made.filter("n > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("_k").alias("rep"))
+    # a table of its own, so that the joins below can split a class with very many copies
+    classes, _ = staged(full.groupBy("d1", "d2").agg(F.min("_k").alias("rep")), "classes")
     member = full.select("_k", "n", "d1", "d2").join(classes, ["d1", "d2"]).select("_k", "n", "rep")
     keyed = full.join(classes, ["d1", "d2"]).filter("_k = rep").select("rep", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
