@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: (verdict, rule); a rule is a host and a path.
@@ -60,15 +60,11 @@ def mined(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     A rule is dropped if a part of its tokens is a rule of no less confidence.
     """
     spark = labelled.sparkSession
-    sample = labelled.dropDuplicates(["tokens", "blocked"]).orderBy(F.xxhash64("tokens"), "tokens", "blocked").limit(max_labelled)
-    sample = spark.createDataFrame(sample.collect(), labelled.schema)  # bounded by max_labelled
-    each = sample.select("tokens", "blocked", F.posexplode("tokens").alias("i", "token"))
-    common = each.groupBy("token").count()
-    key = ["tokens", "blocked"]
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("count"), "token"))
-    short = each.join(common, "token").withColumn("k", rank).filter(F.col("k") <= MAX_ITEMS).groupBy(*key).agg(F.collect_set("token").alias("items"))
-    baskets = short.select(F.when(F.col("blocked"), F.array_append("items", _BLOCK)).otherwise(F.col("items")).alias("items"))
-    n = baskets.count()
+    sample = labelled.dropDuplicates(["tokens", "blocked"]).orderBy(F.xxhash64("tokens"), "tokens", "blocked").limit(max_labelled).collect()
+    common = Counter(t for r in sample for t in r.tokens)
+    short = [(sorted(r.tokens, key=lambda t: (-common[t], t))[:MAX_ITEMS], r.blocked) for r in sample]
+    baskets = spark.createDataFrame([([*items, _BLOCK] if blocked else items,) for items, blocked in short], "items array<string>")
+    n = len(sample)
     if n < MIN_COUNT:
         return []
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_COUNT / n), minConfidence=min_confidence).fit(baskets)
