@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def departures(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """New Parquet files of a folder as a stream of events."""
-    return spark.readStream.schema(schema).parquet(folder)
+    return spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windows(events: DataFrame, length: str = "1 hour", slide: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
