@@ -73,3 +73,10 @@ def test_odd_rows(spark):
     assert tiling.contaminated(empty(spark), bench).collect() == []
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(r.kept for r in tiling.contaminated(rows, none).collect())
+
+
+def test_case_of_other_letters(spark):
+    item = " ".join(f"éà{chr(97 + i)}ñö" for i in range(12))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = tiling.contaminated(frame(spark, [(0, f"xx {item.upper()}! yy")]), bench).first()
+    assert got["items"] == [1] and got.coverage == 1.0

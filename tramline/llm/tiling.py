@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,8 +85,8 @@ def _tokens(items: list[tuple[int, str]], least: int) -> list[tuple[int, list[in
     """(id, token hashes, seed hashes) of each item that has tokens."""
     out = []
     for key, text in items:
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        chunk = T.Chunk(raw, np.array([0, len(raw)]), SEPARATORS, lower=True)
+        raw = np.frombuffer(pc.utf8_lower(pa.scalar(text or "")).as_py().encode(), np.uint8)
+        chunk = T.Chunk(raw, np.array([0, len(raw)]), SEPARATORS)
         words = chunk.word_hashes()
         if len(words) >= least:
             out.append((key, words.tolist(), chunk.windows(words, least)[1].tolist()))
@@ -101,7 +102,8 @@ def _tiled(block: list[tuple[int, str]], least: int, coverage: float, text_col:
                 by_seed[h].append((i, j))
         known = np.array(sorted(by_seed), _U)
         for batch in batches:
-            for lo, hi, chunk in T.chunks(batch, text_col, SEPARATORS, lower=True):
+            folded = pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column(text_col))], [text_col])
+            for lo, hi, chunk in T.chunks(folded, text_col, SEPARATORS):
                 found: list[list] = [[] for _ in range(chunk.n_docs)]
                 words = chunk.word_hashes()
                 at, seeds = chunk.windows(words, least)
@@ -163,7 +165,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> It
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Every row of ``docs`` (``id_col``) with items (benchmark ids it holds), best_item, coverage and kept.
 
-    Tokens are runs of letters and digits, A-Z lower-cased.  Documents meet the
+    Tokens are runs of letters and digits in lower case, in all scripts.  Documents meet the
     items with which they share a run of ``least`` tokens; each pair is tiled,
     and an item is held if the tiles cover ``coverage`` of its tokens, in
     whatever order they stand in the document.  The benchmark is the query set:
