@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .adapters import Tables, with_views
 
 FLAGSHIP = "a3_stop_headways"
-MODULES = ("service", "spatial", "questions", "journeys", "network", "scoring", "feeds", "layers", "scalars", "storage")
+MODULES = ("service", "spatial", "questions", "journeys", "network", "scoring", "feeds", "layers", "scalars", "storage", "shapes")
 _FOUND: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 
 

@@ -190,3 +190,46 @@ def chained(segments: list[tuple[int, list[tuple[float, float]]]], gap: float =
                     break
         out.append((ids, sum(math.dist(a, b) for a, b in zip(line, line[1:], strict=False))))
     return sorted(out, key=lambda x: (-x[1], x[0]))
+
+
+def representative(ring: list[tuple[float, float]]) -> tuple[float, float]:
+    """A point that stands for a ring: its centroid if inside, else the middle of the widest stretch at the centroid's height."""
+    edges = list(zip(ring, ring[1:] + ring[:1], strict=True))
+    twice = sum(a[0] * b[1] - b[0] * a[1] for a, b in edges)
+    if not twice:
+        return ring[0]
+    cx = sum((a[0] + b[0]) * (a[0] * b[1] - b[0] * a[1]) for a, b in edges) / (3 * twice)
+    cy = sum((a[1] + b[1]) * (a[0] * b[1] - b[0] * a[1]) for a, b in edges) / (3 * twice)
+    cuts = sorted((b[0] - a[0]) * (cy - a[1]) / (b[1] - a[1]) + a[0] for a, b in edges if (a[1] > cy) != (b[1] > cy))
+    if sum(c > cx for c in cuts) % 2:
+        return cx, cy
+    spans = list(zip(cuts[::2], cuts[1::2], strict=False))
+    left, right = max(spans, key=lambda s: s[1] - s[0]) if spans else (cx, cx)
+    return (left + right) / 2, cy
+
+
+def along(line: list[tuple[float, float]], stops: list[tuple[float, float]], leash: float) -> list[float | None]:
+    """Distances along a line at which stops stand: for each the nearest place not before the last one; None beyond the leash."""
+    at, total = [], 0.0
+    for a, b in zip(line, line[1:], strict=False):
+        at.append(total)
+        total += math.dist(a, b)
+    out: list[float | None] = []
+    last = 0.0
+    for s in stops:
+        best: tuple[float, float] | None = None
+        for start, a, b in zip(at, line, line[1:], strict=False):
+            length = math.dist(a, b)
+            t = 0.0 if not length else max(0.0, min(1.0, ((s[0] - a[0]) * (b[0] - a[0]) + (s[1] - a[1]) * (b[1] - a[1])) / length**2))
+            t = max(t, min(1.0, (last - start) / length)) if length and last > start else t
+            if start + length < last:
+                continue
+            d = math.dist(s, (a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
+            if best is None or d < best[0] - 1e-9:
+                best = (d, start + t * length)
+        if best is None or best[0] > leash:
+            out.append(None if line[1:] or math.dist(s, line[0]) > leash else 0.0)
+            continue
+        last = best[1]
+        out.append(last)
+    return out
