@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import _text as T
 from ._job import positional, small_batches
 
-#: The scorer is fitted on at most so many texts, those with the smallest hashes.
+#: The scorer is fitted on at most so many rows, those with the smallest hashes.
 TRAIN_ROWS = 6_000
 #: Distinct features that one text gives the fit at most, those with the smallest hashes; scoring uses all.
 TRAIN_FEATURES = 2_000
@@ -226,16 +226,20 @@ class QualityModel:
         return np.where(chunk.n_words > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
-def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS) -> QualityModel:
+def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> QualityModel:
     """Fits both models.  Vote patterns are counted over all rows (their number is at most
-    3 ** labellers); the scorer sees ``train_rows`` distinct texts, those with the smallest hashes."""
+    3 ** labellers); the scorer sees ``train_rows`` rows, those with the smallest hashes of text and id."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counted = texts.mapInArrow(_voted, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    id_ = F.col(id_col).cast("string") if id_col in docs.columns else F.lit("")
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(id_, F.lit("")).alias("id"))
+    counted = texts.select("text").mapInArrow(_voted, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     codes = np.array([r.pattern for r in counted], np.int64)
     labels = fit_labels(_unpacked(codes), np.array([r.n for r in counted], float))
-    drawn = texts.filter("text <> ''").withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(train_rows)
-    rows = sorted(drawn.mapInArrow(_drawn, "h long, pattern long, f array<int>, v array<float>").collect(), key=lambda r: r.h)
+    # rows by a hash of text and id; a cut from the count keeps what reaches the sort near train_rows
+    key = F.xxhash64("text", "id")
+    share = min(1.0, 2 * train_rows / max(1, sum(r.n for r in counted)))
+    drawn = texts.filter("text <> ''").withColumn("h", key).filter(F.col("h") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).orderBy("h", "text").limit(train_rows)
+    rows = sorted(drawn.select("text", "h").mapInArrow(_drawn, "h long, pattern long, f array<int>, v array<float>").collect(), key=lambda r: (r.h, r.f))
     target = labels.posterior(_unpacked(np.array([r.pattern for r in rows], np.int64)))
     weights = fit_scorer([(np.array(r.f, np.int64), np.array(r.v)) for r in rows], target)
     return QualityModel(labels, weights)
@@ -262,7 +266,7 @@ def classified(docs: DataFrame, threshold: float = THRESHOLD, train_rows: int =
     judged by itself, ids may be null or repeat.  An empty table fits nothing
     and returns nothing.
     """
-    model = fit(docs, text_col, train_rows)
+    model = fit(docs, text_col, train_rows, id_col)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["_id"].dataType.simpleString()
     out = rows.mapInArrow(_scored(model, "text", True), f"_id {kind}, posterior double, score double")
