@@ -23,12 +23,13 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
         near = both.join(label.select(F.col("v").alias("b"), F.col("label").alias("l")), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("near"))
         step = label.join(near, "v").select("v", "label", F.least("label", "near").alias("next"))
         hooks = step.filter("next < label").groupBy(F.col("label").alias("v")).agg(F.min("next").alias("hook"))
-        moved = step.join(hooks, "v", "left").select("v", F.col("label").alias("old"), F.least("next", F.coalesce("hook", "next")).alias("next"))
+        # a table of its own, so that the join below can split a label with very many vertices
+        moved, moved_at = staged(step.join(hooks, "v", "left").select("v", F.col("label").alias("old"), F.least("next", F.coalesce("hook", "next")).alias("next")), "hooked")
         up = moved.select(F.col("v").alias("next"), F.col("next").alias("up"))
         jumped = F.least("next", F.coalesce("up", "next"))
         new, new_at = staged(moved.join(up, "next", "left").select("v", jumped.alias("label"), (jumped < F.col("old")).alias("moved")), "labels")
         done = new.filter("moved").isEmpty()
-        dropped(spark, at)
+        dropped(spark, at, moved_at)
         label, at = new.select("v", "label"), new_at
         if done:
             dropped(spark, both_at)
