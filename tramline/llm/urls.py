@@ -60,7 +60,10 @@ def mined(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     A rule is dropped if a part of its tokens is a rule of no less confidence.
     """
     spark = labelled.sparkSession
-    sample = labelled.dropDuplicates(["tokens", "blocked"]).orderBy(F.xxhash64("tokens"), "tokens", "blocked").limit(max_labelled).collect()
+    # a cut from the count keeps what reaches the sort and the driver near max_labelled
+    known = labelled.dropDuplicates(["tokens", "blocked"]).withColumn("h", F.xxhash64("tokens", "blocked"))
+    share = min(1.0, 2 * max_labelled / max(1, known.count()))
+    sample = known.filter(F.col("h") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).orderBy("h", "tokens", "blocked").limit(max_labelled).collect()
     common = Counter(t for r in sample for t in r.tokens)
     short = [(sorted(r.tokens, key=lambda t: (-common[t], t))[:MAX_ITEMS], r.blocked) for r in sample]
     baskets = spark.createDataFrame([([*items, _BLOCK] if blocked else items,) for items, blocked in short], "items array<string>")
