@@ -103,7 +103,7 @@ SQL = {
     "trips": "SELECT o_orderkey AS trip_id, 'r' || (o_custkey % 25) AS route_id, (o_custkey % 2)::INT AS direction_id, 'wd' || (isodow(o_orderdate) - 1) AS service_id FROM orders",
     "stop_times": """SELECT trip_id, stop_id, seq, CASE WHEN (trip_id * 7 + seq) % 11 <> 0 THEN dep - 30 END AS arr_s, CASE WHEN (trip_id * 7 + seq) % 11 <> 0 THEN dep END AS dep_s
       FROM (SELECT l_orderkey AS trip_id, 's' || lpad(l_suppkey::VARCHAR, 6, '0') AS stop_id, seq, 21600 + (l_orderkey * 37) % 50400 + seq * 180 AS dep
-            FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seq FROM lineitem))""",
+            FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)::INT AS seq FROM lineitem))""",
     "calendar": "SELECT 'wd' || (isodow(o_orderdate) - 1) AS service_id, (isodow(o_orderdate) - 1)::INT AS weekday, min(o_orderdate::DATE) AS start_date, max(o_orderdate::DATE) AS end_date FROM orders GROUP BY ALL",
     "calendar_dates": """SELECT 'wd' || (isodow(date) - 1) AS service_id, date, 2 AS exception_type FROM (SELECT DISTINCT o_orderdate::DATE AS date FROM orders) WHERE (date - DATE '1992-01-01') % 17 = 0
       UNION ALL SELECT 'wd6', date, 1 FROM (SELECT DISTINCT o_orderdate::DATE AS date FROM orders) WHERE (date - DATE '1992-01-01') % 19 = 0""",

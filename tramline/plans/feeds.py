@@ -175,7 +175,7 @@ def snapshot_checks(t: Tables) -> DataFrame:
     return c.select(F.explode(F.array(*[F.struct(F.lit(k).alias("fault"), F.col(v).alias("n")) for k, v in (("duplicate id", "a"), ("inverted box", "b"), ("blank provider", "c"))])).alias("f")).select("f.*")
 
 
-@query("d21_example_faults", sql=f"WITH {SNAPSHOTS}, ex AS (SELECT n_nationkey AS example_id, n_nationkey * 11 + 3 AS id FROM nation) SELECT example_id, id FROM ex WHERE id NOT IN (SELECT id FROM new)")
+@query("d21_example_faults", sql=f"WITH {SNAPSHOTS}, ex AS (SELECT n_nationkey AS example_id, (n_nationkey * 11 + 3)::BIGINT AS id FROM nation) SELECT example_id, id FROM ex WHERE id NOT IN (SELECT id FROM new)")
 def example_faults(t: Tables) -> DataFrame:
     _, new = snapshots(t)
     ex = t("nation").select(F.col("n_nationkey").alias("example_id"), (F.col("n_nationkey") * 11 + 3).cast("long").alias("id"))
