@@ -213,7 +213,11 @@ def table_page(t: Tables) -> DataFrame:
     return t("customer").filter(F.lower("c_mktsegment").contains("auto")).orderBy("c_custkey").offset(25).limit(50).select("c_custkey", "c_name")
 
 
-@query("i13_batches", sql=None)
+@query("i13_batches", sql="""
+WITH RECURSIVE i AS (SELECT s_suppkey AS id, s_suppkey * 7 % 60 + 5 AS size, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier),
+r(rn, id, n, held, batch) AS (SELECT rn, id, 1, size, 0 FROM i WHERE rn = 1 UNION ALL
+  SELECT i.rn, i.id, CASE WHEN r.n >= 10 OR r.held + i.size > 250 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 10 OR r.held + i.size > 250 THEN i.size ELSE r.held + i.size END, CASE WHEN r.n >= 10 OR r.held + i.size > 250 THEN r.batch + 1 ELSE r.batch END FROM r JOIN i ON i.rn = r.rn + 1)
+SELECT id, batch FROM r""")
 def batches(t: Tables) -> DataFrame:
     """Greedy batches in id order, at most 10 items and 250 units each."""
     from ..operators import etl

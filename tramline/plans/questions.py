@@ -143,7 +143,12 @@ def joint_blocks(t: Tables) -> DataFrame:
     return j.select("zone_id", F.count("*").over(W.partitionBy("class_key", "k2")).alias("block"))
 
 
-@query("i7_question_order", views=["zones"])
+@query("i7_question_order", views=["zones"], sql="""
+WITH l AS (SELECT zone_id, 'q' || m AS q, right(zone_id, 4)::INT % m AS v FROM zones, (VALUES (2), (3), (4), (5), (7)) t(m)),
+s1 AS (SELECT q, sum(c * c)::BIGINT AS s FROM (SELECT q, v, count(*) AS c FROM l GROUP BY 1, 2) GROUP BY 1), p1 AS (SELECT * FROM s1 ORDER BY s, q LIMIT 1), c1 AS (SELECT zone_id, v AS k1 FROM l WHERE q = (SELECT q FROM p1)),
+s2 AS (SELECT q, sum(c * c)::BIGINT AS s FROM (SELECT q, k1, v, count(*) AS c FROM l JOIN c1 USING (zone_id) WHERE q <> (SELECT q FROM p1) GROUP BY 1, 2, 3) GROUP BY 1), p2 AS (SELECT * FROM s2 ORDER BY s, q LIMIT 1), c2 AS (SELECT zone_id, k1, v AS k2 FROM l JOIN c1 USING (zone_id) WHERE q = (SELECT q FROM p2)),
+s3 AS (SELECT q, sum(c * c)::BIGINT AS s FROM (SELECT q, k1, k2, v, count(*) AS c FROM l JOIN c2 USING (zone_id) WHERE q <> (SELECT q FROM p1) AND q <> (SELECT q FROM p2) GROUP BY 1, 2, 3, 4) GROUP BY 1), p3 AS (SELECT * FROM s3 ORDER BY s, q LIMIT 1)
+SELECT place, q AS question, s AS block_sum, (SELECT count(*) FROM zones) AS zones FROM (SELECT 0 AS place, * FROM p1 UNION ALL SELECT 1, * FROM p2 UNION ALL SELECT 2, * FROM p3)""")
 def question_order(t: Tables) -> DataFrame:
     """The next question is the one that leaves the smallest mean block (ties by cost, then id), three times."""
     long = t.zones.select("zone_id", *[(F.right("zone_id", F.lit(4)).cast("int") % m).alias(f"q{m}") for m in (2, 3, 4, 5, 7)])

@@ -186,7 +186,19 @@ def frequencies(t: Tables) -> DataFrame:
     return T.expanded(rows, t.stop_times)
 
 
-@query("d2_normalised_times", views=["trips", "stop_times"], sql=None)
+@query("d2_normalised_times", views=["trips", "stop_times"], sql=f"""
+WITH f AS ({FREQUENCIES}),
+a AS (SELECT trip_id, arg_min(coalesce(dep_s, arr_s, 0), seq) AS anchor FROM stop_times GROUP BY 1),
+s AS (SELECT trip_id, at_s, row_number() OVER (PARTITION BY trip_id ORDER BY at_s) - 1 AS slot FROM (SELECT trip_id, unnest(range(start_s, end_s, headway_s)) AS at_s FROM f WHERE end_s > start_s)),
+x AS (SELECT trip_id::VARCHAR AS trip_id, seq, arr_s, dep_s FROM stop_times WHERE trip_id NOT IN (SELECT trip_id FROM f)
+  UNION ALL SELECT s.trip_id || '#' || lpad(slot::VARCHAR, 4, '0'), seq, arr_s + at_s - anchor, dep_s + at_s - anchor FROM s JOIN a USING (trip_id) JOIN stop_times USING (trip_id)),
+k AS (SELECT *, coalesce(nullif(dep_s, 0), nullif(arr_s, 0)) AS known FROM x),
+g AS (SELECT *, last_value(CASE WHEN known IS NOT NULL THEN seq END IGNORE NULLS) OVER b AS sa, last_value(known IGNORE NULLS) OVER b AS ka,
+             first_value(CASE WHEN known IS NOT NULL THEN seq END IGNORE NULLS) OVER c AS sb, first_value(known IGNORE NULLS) OVER c AS kb FROM k
+      WINDOW b AS (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), c AS (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+h AS (SELECT trip_id, seq, CASE WHEN known IS NOT NULL THEN known WHEN ka IS NULL THEN kb WHEN kb IS NULL THEN ka ELSE round_even(ka + (kb - ka) * ((seq - sa)::DOUBLE / (sb - sa)), 0)::BIGINT END AS t FROM g),
+m AS (SELECT trip_id, t < max(t) OVER (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM h)
+SELECT trip_id, count(*) AS n, count(*) FILTER (WHERE late) AS n_late FROM m GROUP BY 1""")
 def normalised(t: Tables) -> DataFrame:
     """Expand, fill, check: in that order."""
     rows = t.trips.filter("direction_id = 1 and service_id = 'wd6'").selectExpr("trip_id", "21600 as start_s", "21600 + int(trip_id % 5) * 1800 as end_s", "600 + int(trip_id % 4) * 300 as headway_s")
