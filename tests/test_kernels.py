@@ -118,3 +118,18 @@ def test_latest_mirrors_earliest():
     late = table.latest(["s03"], 3600, slack=30)
     for s, t in late.items():
         assert table.earliest([s], t - 30, slack=30).get("s03", (10**9,))[0] <= 3600
+
+
+def test_representative_points_lie_inside():
+    assert kernels.representative([(0, 0), (4, 0), (4, 4), (0, 4)]) == (2, 2)
+    u = [(0, 0), (9, 0), (9, 9), (7, 9), (7, 2), (2, 2), (2, 9), (0, 9)]  # the centroid falls into the gap
+    x, y = kernels.representative(u)
+    assert (0 < x < 2 or 7 < x < 9) and 2 < y < 9
+    assert kernels.representative([(1, 1), (2, 2), (3, 3)]) == (1, 1)
+
+
+def test_positions_along_a_line_never_go_back():
+    line = [(0, 0), (100, 0), (100, 100), (0, 100), (0, 0), (100, 0)]  # a loop that passes its start again
+    got = kernels.along(line, [(10, 1), (100, 50), (0, 50), (50, 0), (9000, 0)], 60)
+    assert got[:4] == [10, 150, 350, 450] and got[4] is None
+    assert kernels.along([(0, 0)], [(0, 0)], 5) == [0.0]
