@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 import sentencepiece
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from tramline.llm import pieces
 
@@ -69,3 +71,12 @@ def test_odd_rows(spark):
     assert all(r.decoded == (r.text or "") for r in out)
     assert all(r.label == "clash" for r in out)
     assert pieces.digests(empty(spark)).collect() == []
+
+
+@given(st.lists(st.text(max_size=60), max_size=8), st.floats(0, 1), st.integers(0, 2**32))
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_any_text_round_trips(vocab, cases, rate, seed):
+    got = pieces.encode_many(vocab, cases, np.arange(len(cases), dtype=np.uint64), rate, seed)
+    parts = split(*got) if cases else []
+    for t, ids in zip(cases, parts, strict=True):
+        assert pieces.decode(vocab, ids) == t

@@ -2,6 +2,8 @@ import random
 import re
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tramline.llm import _text as T
 from tramline.llm import repetition
@@ -71,3 +73,13 @@ def test_odd_rows(spark):
     out = repetition.repetition(odd(spark)).collect()
     assert len(out) == 10 and sum(r.n_words == 0 and r.base_failed and not r.kept for r in out) == 4
     assert repetition.repetition(empty(spark)).collect() == []
+
+
+@given(st.lists(st.text(alphabet="ab \n\t", max_size=40), min_size=1, max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_any_texts_repeats(cases):
+    raw = [c.encode() for c in cases]
+    chunk = T.Chunk(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    got = repetition.repeats(chunk)
+    for i, c in enumerate(cases):
+        assert got[chunk.word_offsets[i] : chunk.word_offsets[i + 1]].tolist() == naive_repeats(WORD.findall(c))
