@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stage import importable
+
 LAT0, LON0 = 42.8, -85.9
 
 
@@ -20,6 +22,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        importable(spark)
         # metres, days and clock times are compared with an engine in UTC
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 

@@ -71,14 +71,14 @@ def fare_table(t: Tables) -> DataFrame:
     return o.crossJoin(top).filter("has").orderBy(F.desc(F.col("trips") == F.col("most")), "tag").limit(1).select("feed")  # one row
 
 
-CATALOGUE = """cat AS (SELECT 'mdb-' || p_partkey AS id, p_name AS p, p_brand AS n, p_type AS m, p_size AS t, p_size % 9 = 0 AS regional, p_size % 11 = 0 AS inactive,
+CATALOGUE = """cat AS (SELECT 'feed-' || p_partkey AS id, p_name AS p, p_brand AS n, p_type AS m, p_size AS t, p_size % 9 = 0 AS regional, p_size % 11 = 0 AS inactive,
   CASE WHEN p_size % 17 = 0 THEN 0 ELSE 40 + p_size / 10.0::DOUBLE END AS s, -80 + p_size / 10.0::DOUBLE AS w, 40.5::DOUBLE + p_size / 5.0::DOUBLE AS nn, CASE WHEN p_size % 13 = 0 THEN -90 ELSE -79 + p_size / 5.0::DOUBLE END AS e, p_partkey FROM part)"""
 
 
 def catalogue(t: Tables) -> DataFrame:
     z = F.col("p_size")
     return t("part").select(
-        F.concat(F.lit("mdb-"), "p_partkey").alias("id"), F.col("p_name").alias("p"), F.col("p_brand").alias("n"), F.col("p_type").alias("m"), z.alias("t"), (z % 9 == 0).alias("regional"), (z % 11 == 0).alias("inactive"),
+        F.concat(F.lit("feed-"), "p_partkey").alias("id"), F.col("p_name").alias("p"), F.col("p_brand").alias("n"), F.col("p_type").alias("m"), z.alias("t"), (z % 9 == 0).alias("regional"), (z % 11 == 0).alias("inactive"),
         F.when(z % 17 == 0, 0.0).otherwise(40 + z / 10.0).alias("s"), (-80 + z / 10.0).alias("w"), (40.5 + z / 5.0).alias("nn"), F.when(z % 13 == 0, -90.0).otherwise(-79 + z / 5.0).alias("e"), "p_partkey",
     )
 

@@ -116,7 +116,7 @@ def area_wins(t: Tables) -> DataFrame:
 
 @query("j17_spots", views=["zones", "pois"], sql=f"WITH {XY['zones']}, {XY['pois']} SELECT a.zone_id, b.poi_id FROM zones_xy a JOIN pois_xy b ON {DIST} <= 300 WHERE b.category IN ('PROMO', 'SMALL') QUALIFY row_number() OVER (PARTITION BY a.zone_id ORDER BY round({DIST} * 1000), b.poi_id) <= 40")
 def spots(t: Tables) -> DataFrame:
-    """The forty nearest hiding spots of each zone."""
+    """The forty nearest spots of each zone."""
     hits = S.within(S.projected(t.zones).select("zone_id", "x", "y"), S.projected(t.pois.filter("category in ('PROMO', 'SMALL')")).select("poi_id", "x", "y"), 300)
     best = W.partitionBy("zone_id").orderBy(F.round(F.col("dist") * 1000), "poi_id")
     return hits.withColumn("rn", F.row_number().over(best)).filter("rn <= 40").select("zone_id", "poi_id")
