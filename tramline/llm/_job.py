@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..stage import dropped, new_path, shared_folder, staged
+from ..stage import dropped, importable, new_path, shared_folder, staged
 
 __all__ = ["BATCH_ROWS", "NULL_ID", "dropped", "given", "known", "new_path", "positional", "shared_folder", "small_batches", "staged", "table"]
 
@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch of whole texts can hold."""
+    """Bounds what one Arrow batch of whole texts can hold, and lets workers import the kernels."""
+    importable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
