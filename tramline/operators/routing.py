@@ -46,6 +46,8 @@ def rounds(events: DataFrame, walks: DataFrame, origins: DataFrame, legs: int =
         new, new_at = staged(_earliest(best.unionByName(better).unionByName(walk)), "arrivals")
         dropped(spark, at)
         best, at = new, new_at
+        if best.filter(F.col("legs") == k).isEmpty():  # nothing got better, so nothing will
+            break
     return best
 
 
