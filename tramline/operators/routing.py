@@ -32,6 +32,8 @@ def rounds(events: DataFrame, walks: DataFrame, origins: DataFrame, legs: int =
     walk_s).  A walk follows only a ride of the same round that improved its stop.
     """
     spark = events.sparkSession
+    events, events_at = staged(events.select("trip_id", "stop_id", "seq", "arr_s", "dep_s"), "events")  # read twice a round
+    walks, walks_at = staged(walks, "walks")
     start = origins.select("origin_id", "stop_id", F.col("dep_s").alias("arr_s"), F.lit(0).alias("legs"))
     first = start.join(walks, F.col("stop_id") == F.col("from_stop")).select("origin_id", F.col("to_stop").alias("stop_id"), (F.col("arr_s") + F.col("walk_s")).alias("arr_s"), F.lit(0).alias("legs"))
     best = _earliest(start.unionByName(first))
@@ -48,6 +50,7 @@ def rounds(events: DataFrame, walks: DataFrame, origins: DataFrame, legs: int =
         best, at = new, new_at
         if best.filter(F.col("legs") == k).isEmpty():  # nothing got better, so nothing will
             break
+    dropped(spark, events_at, walks_at)
     return best
 
 
@@ -62,26 +65,40 @@ class Timetable:
     patterns: list[tuple[list[str], list[list[tuple[int, int]]]]] = field(default_factory=list)
     served: dict[str, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
     walks: dict[str, list[tuple[str, int]]] = field(default_factory=lambda: defaultdict(list))
+    departures: list[list[tuple[list[int], bool]]] = field(default_factory=list)
 
     @classmethod
     def of(cls, events: pd.DataFrame, walks: pd.DataFrame) -> Timetable:
         out = cls()
         by_stops: dict[tuple[str, ...], list[tuple[int, list[tuple[int, int]]]]] = defaultdict(list)
-        for trip, rows in events.sort_values(["trip_id", "seq"]).groupby("trip_id", sort=True):
-            by_stops[tuple(rows.stop_id)].append((trip, list(zip(rows.arr_s.astype(int), rows.dep_s.astype(int), strict=True))))
+        rows = events.sort_values(["trip_id", "seq"])
+        last, stops, times = None, [], []
+        for trip, stop, arr, dep in [*zip(rows.trip_id.tolist(), rows.stop_id.tolist(), rows.arr_s.astype(int).tolist(), rows.dep_s.astype(int).tolist(), strict=True), (None, None, 0, 0)]:
+            if trip != last:
+                if stops:
+                    by_stops[tuple(stops)].append((last, times))
+                last, stops, times = trip, [], []
+            stops.append(stop)
+            times.append((arr, dep))
         for stops in sorted(by_stops):
-            trips = sorted(by_stops[stops], key=lambda x: (x[1][0][1], x[0]))
+            trips = [times for _, times in sorted(by_stops[stops], key=lambda x: (x[1][0][1], x[0]))]
             for i, s in enumerate(stops):
                 out.served[s].append((len(out.patterns), i))
-            out.patterns.append((list(stops), [times for _, times in trips]))
+            out.add(list(stops), trips)
         for a, b, w in sorted(zip(walks.from_stop, walks.to_stop, walks.walk_s, strict=True)):
             out.walks[a].append((b, int(w)))
         return out
 
+    def add(self, stops: list[str], trips: list[list[tuple[int, int]]]) -> None:
+        """A pattern with its departures by place, and whether they ascend."""
+        self.patterns.append((stops, trips))
+        columns = [[t[i][1] for t in trips] for i in range(len(stops))]
+        self.departures.append([(c, all(x <= y for x, y in zip(c, c[1:], strict=False))) for c in columns])
+
     def next_trip(self, p: int, i: int, ready: int) -> int | None:
         """The trip of a pattern that leaves place i first at or after ``ready``; the one that starts first of several."""
-        times = [t[i][1] for t in self.patterns[p][1]]
-        if all(a <= b for a, b in zip(times, times[1:], strict=False)):
+        times, ascend = self.departures[p][i]
+        if ascend:
             j = bisect.bisect_left(times, ready)
             return j if j < len(times) else None
         late = [(d, j) for j, d in enumerate(times) if d >= ready]
@@ -132,7 +149,7 @@ class Timetable:
         """stop -> the latest departure that still reaches a target: the mirror image of earliest()."""
         back = Timetable()
         for stops, trips in self.patterns:
-            back.patterns.append((stops[::-1], sorted(([(-d, -a) for a, d in t[::-1]] for t in trips), key=lambda t: t[0][1])))
+            back.add(stops[::-1], sorted(([(-d, -a) for a, d in t[::-1]] for t in trips), key=lambda t: t[0][1]))
         for p, (stops, _) in enumerate(back.patterns):
             for i, s in enumerate(stops):
                 back.served[s].append((p, i))
