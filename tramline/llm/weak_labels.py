@@ -164,9 +164,9 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, si
     weights = np.zeros(size + 1)
     if not rows:
         return weights
-    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    col = np.concatenate([f for f, _ in rows])
-    value = np.concatenate([v for _, v in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(f) for f, _ in rows])
+    col = np.concatenate([f for f, _ in rows]).astype(np.int32)
+    value = np.concatenate([v for _, v in rows]).astype(np.float32)
     good = max(target.sum(), 1.0)
     bad = max((1 - target).sum(), 1.0)
     cost = target / good + (1 - target) / bad
@@ -201,16 +201,13 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, hashes = features(chunk)
             order = np.argsort(doc, kind="stable")
             cut = np.searchsorted(doc[order], np.arange(chunk.n_docs + 1))
-            kept, shares, lens = [], [], []
+            kept, shares = [], []
             for i in range(chunk.n_docs):
                 own, count = np.unique(hashes[order[cut[i] : cut[i + 1]]], return_counts=True)
                 own, count = own[:TRAIN_FEATURES], count[:TRAIN_FEATURES]
-                kept.append((own % _U(WEIGHTS)).astype(np.int32))
-                shares.append((count / max(1, chunk.n_words[i])).astype(np.float32))
-                lens.append(len(own))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("h")[lo:hi], pa.array(code), T.list_array(np.concatenate(kept), np.array(lens), pa.int32()), T.list_array(np.concatenate(shares), np.array(lens), pa.float32())], ["h", "pattern", "f", "v"]
-            )
+                kept.append((own % _U(WEIGHTS)).astype("<u2").tobytes())
+                shares.append((count / max(1, chunk.n_words[i])).astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("h")[lo:hi], pa.array(code), pa.array(kept, pa.binary()), pa.array(shares, pa.binary())], ["h", "pattern", "f", "v"])
 
 
 @dataclass
@@ -239,9 +236,9 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS, i
     key = F.xxhash64("text", "id")
     share = min(1.0, 2 * train_rows / max(1, sum(r.n for r in counted)))
     drawn = texts.filter("text <> ''").withColumn("h", key).filter(F.col("h") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).orderBy("h", "text").limit(train_rows)
-    rows = sorted(drawn.select("text", "h").mapInArrow(_drawn, "h long, pattern long, f array<int>, v array<float>").collect(), key=lambda r: (r.h, r.f))
+    rows = sorted(drawn.select("text", "h").mapInArrow(_drawn, "h long, pattern long, f binary, v binary").collect(), key=lambda r: (r.h, bytes(r.f)))
     target = labels.posterior(_unpacked(np.array([r.pattern for r in rows], np.int64)))
-    weights = fit_scorer([(np.array(r.f, np.int64), np.array(r.v)) for r in rows], target)
+    weights = fit_scorer([(np.frombuffer(r.f, "<u2"), np.frombuffer(r.v, "<f4")) for r in rows], target)
     return QualityModel(labels, weights)
 
 
