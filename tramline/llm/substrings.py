@@ -153,7 +153,7 @@ def _combined(block: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     # in the order of the text: neighbours share most bytes, so the shuffle compresses
     own = np.flatnonzero(tied)
     own = own[np.lexsort((pos[own], t[own], k[own]))]
-    yield _rows(one[own], two[own], k[own], t[own], pos[own], pos[own] + 1, False)
+    yield _rows(one[own], k[own], t[own], pos[own], two[own] >> _U(64 - _BITS), False)
     # later starts are decided here: runs of adjacent ones become one row
     k, t, pos = k[~tied], t[~tied], pos[~tied]
     if len(k):
@@ -164,18 +164,19 @@ def _combined(block: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         begin = np.flatnonzero(new)
         end = np.append(begin[1:], len(k)) - 1
         own = T.mix(k[begin].astype(_U) * _U(_MULTIPLIER) + pos[begin].astype(_U))  # spread: nothing else decides them
-        yield _rows(own, own, k[begin], t[begin], pos[begin], pos[end] + 1, True)
+        yield _rows(own, k[begin], t[begin], pos[begin], pos[end] + 1, True)
 
 
-#: A span in a word: a flag, then 31 bits each of the first start and the one after the last.
+#: A code is a flag, 31 bits of the first start, and 31 bits more: with the flag, of the place after
+#: the last start; without it, of the window's second hash, as such a row has one start.
 _DECIDED = 1 << 62
 _BITS = 31
 _MASK = (1 << _BITS) - 1
 
 
-def _rows(one, two, k, t, lo, hi, decided: bool) -> pa.RecordBatch:
-    code = lo.astype(np.int64) << _BITS | hi.astype(np.int64) | (_DECIDED if decided else 0)
-    return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(code), pa.array(k), pa.array(t)], ["h1", "h2", "code", "_k", "_t"])
+def _rows(one, k, t, lo, low, decided: bool) -> pa.RecordBatch:
+    code = lo.astype(np.int64) << _BITS | low.astype(np.int64) | (_DECIDED if decided else 0)
+    return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(code), pa.array(k), pa.array(t)], ["h", "code", "_k", "_t"])
 
 
 def _cut(words: int, text: str, drop_text: bool):
@@ -230,7 +231,8 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, anchor: int = ANCHOR, ce
     share; partitions send sparse counts, which are merged by tile into a sketch
     of ``cells`` cells.  That size is fixed, so the sketch can be broadcast at
     any input size; a fuller one only lets more windows through, and never
-    stops a repeated one.  Pass 2 groups the windows let through exactly, by 128 bits.
+    stops a repeated one.  Pass 2 groups the windows let through exactly, by 95 bits
+    of two hashes (128 within a task).
     A task combines equal windows in blocks before the shuffle, so a passage that
     all documents hold makes a row a block, not a row a document.
 
@@ -254,11 +256,14 @@ def _spans(marked: DataFrame, words: int, anchor: int, cells: int) -> DataFrame:
     spark = marked.sparkSession
     small_batches(spark)
     bits = spark.sparkContext.broadcast(zlib.compress(_sketch(spark, marked.select("text"), words, anchor, cells).tobytes(), 1))
-    found = marked.mapInArrow(_windows(words, anchor, cells, bits, BLOCK), "h1 long, h2 long, code long, _k long, _t long")
-    start = F.struct("_k", F.shiftright("code", _BITS).alias("lo"))  # of rows without the flag
+    found = marked.mapInArrow(_windows(words, anchor, cells, bits, BLOCK), "h long, code long, _k long, _t long")
+    # dealt by the first hash, grouped by both: the second one needn't travel on its own
+    dealt = found.repartition("h").withColumn("low", F.col("code").bitwiseAND(F.lit(_MASK))).withColumn("lo", F.shiftright("code", _BITS))
+    start = F.struct("_k", "lo")  # of rows without the flag
     late = F.col("code") >= _DECIDED
-    first = F.min(F.when(~late, start)).over(W.partitionBy("h1", "h2"))
-    return found.withColumn("first", first).filter(late | (F.col("first") < start)).groupBy("_k", "_t").agg(F.collect_list("code").alias("spans"))
+    first = F.min(F.when(~late, start)).over(W.partitionBy("h", "low"))
+    span = F.when(late, F.col("code")).otherwise(F.shiftleft("lo", _BITS).bitwiseOR(F.col("lo") + 1))
+    return dealt.withColumn("first", first).filter(late | (F.col("first") < start)).select("_k", "_t", span.alias("code")).groupBy("_k", "_t").agg(F.collect_list("code").alias("spans"))
 
 
 def without_repeats(docs: DataFrame, words: int = WORDS, anchor: int = ANCHOR, cells: int = CELLS, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
