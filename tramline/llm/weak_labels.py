@@ -24,6 +24,8 @@ LABELLERS = ("symbols", "marks", "odd_ends", "letters", "capitals", "stutter", "
 ABSTAIN, BAD, GOOD = -1, 0, 1
 #: Below so many words no labeller votes.
 FEW = 8
+#: Words that the share of good texts counts for in a text's score.
+SMOOTH_WORDS = 4
 #: Share of good texts that a labeller accuses, at most.
 FALSE_ALARMS = 0.001
 _U = np.uint64
@@ -220,6 +222,8 @@ class QualityModel:
         doc, hashes = features(chunk)
         z = np.bincount(doc, weights=self.weights[(hashes % _U(WEIGHTS)).astype(np.int64)], minlength=chunk.n_docs)
         z = z / np.maximum(chunk.n_words, 1) + self.weights[WEIGHTS]
+        # a few words say little: the shorter the text, the more its score is the prior's
+        z = (chunk.n_words * z + SMOOTH_WORDS * np.log(self.labels.prior[1] / self.labels.prior[0])) / (chunk.n_words + SMOOTH_WORDS)
         return np.where(chunk.n_words > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
