@@ -37,9 +37,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds the token ids, their number, and whether they decode to the text."""
-    rows = pieces.decoded(pieces.encode(docs))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return rows.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("lossless", F.coalesce("decoded", F.lit("")) == text).drop("decoded")
+    return pieces.encode(docs, verify=True).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [("quality classifier", quality), ("near dedup", near_duplicates), ("substring dedup", substring_dedup), ("decontamination", decontaminate), ("sentencepiece", encode)]

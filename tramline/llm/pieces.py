@@ -28,6 +28,8 @@ SEED = 7
 VARIANTS = 8
 #: Words of more symbols are merged one by one with a heap.
 LONG = 48
+#: Characters that a task segments at a time, about; each takes some 100 bytes meanwhile.
+CHUNK_CHARS = 400_000
 MARK = 0x2581
 #: Stands for a mark that the text itself holds; no code point.
 OWN_MARK = 0x110000
@@ -270,7 +272,7 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
     return decode_bytes(vocab, np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
-def _encoded(path: str | None, rate: float, seed: int, variants: int, text: str):
+def _encoded(path: str | None, rate: float, seed: int, variants: int, text: str, verify: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path or default_model())
         for batch in batches:
@@ -280,20 +282,24 @@ def _encoded(path: str | None, rate: float, seed: int, variants: int, text: str)
             lo = 0
             while lo < len(texts):
                 hi, held = lo, 0
-                while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= T.CHUNK_BYTES):
+                while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= CHUNK_CHARS):
                     held += len(texts[hi])
                     hi += 1
                 ids, count = encode_many(vocab, texts[lo:hi], chosen[lo:hi], rate, seed)
                 part = batch.slice(lo, hi - lo)
                 names = [c for c in batch.schema.names if c != "_v"]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [T.list_array(ids.astype(np.int32), count, pa.int32())], [*names, "ids"])
+                arrays = [part.column(c) for c in names] + [T.list_array(ids.astype(np.int32), count, pa.int32())]
+                if verify:
+                    ends = np.cumsum(count)
+                    arrays.append(pa.array([decode_bytes(vocab, ids[e - n : e]) == t.encode() for t, n, e in zip(texts[lo:hi], count, ends, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(arrays, [*names, "ids", *(["lossless"] if verify else [])])
                 lo = hi
 
     return run
 
 
-def encode(docs: DataFrame, model: str | None = None, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Adds ids (array of int) to ``docs``; a column of that name is replaced.
+def encode(docs: DataFrame, model: str | None = None, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, key_col: str = "doc_id", text_col: str = "text", verify: bool = False) -> DataFrame:
+    """Adds ids (array of int) to ``docs`` and, if asked, lossless: whether they decode to the text; columns of these names are replaced.
 
     ``model`` is the path of a model file on every executor; by default the public
     32k vocabulary.  A text's ids depend on the text, the seed, the rate and the
@@ -305,12 +311,13 @@ def encode(docs: DataFrame, model: str | None = None, rate: float = RATE, seed:
     Null and empty texts have no ids; a null key has a variant of its own.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", "lossless") if verify else docs.drop("ids")
     rows, text, schema = positional(docs, text_col)
     key = F.col(f"_c{docs.columns.index(key_col)}").cast("string")
     keyed = rows.withColumn("_v", F.xxhash64(F.coalesce(key, F.lit(""))))
-    out = keyed.mapInArrow(_encoded(model, rate, seed, variants, text), f"{schema}, ids array<int>")
-    return out.toDF(*docs.columns, "ids")
+    more = ["ids", "lossless"] if verify else ["ids"]
+    out = keyed.mapInArrow(_encoded(model, rate, seed, variants, text, verify), f"{schema}, ids array<int>" + ", lossless boolean" * verify)
+    return out.toDF(*docs.columns, *more)
 
 
 def _decoded(path: str | None, column: str):
@@ -335,22 +342,19 @@ def _digests(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path or default_model())
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
-            for text, ids in zip(batch.column("text"), batch.column("ids"), strict=True):
+            rows: list[list] = [[], [], []]
+            for ids in batch.column("ids"):
                 own = ids.values.to_numpy()
                 rows[0].append(len(own))
                 rows[1].append(int(np.isin(own, vocab.bytes_).sum()))
                 rows[2].append(hashlib.sha256(own.astype("<i4").tobytes()).hexdigest())
-                rows[3].append(decode_bytes(vocab, own) == (text.as_py() or "").encode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2]), pa.array(rows[3])], ["_id", "n_tokens", "n_byte_tokens", "ids_sha256", "lossless"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2]), batch.column("lossless")], ["_id", "n_tokens", "n_byte_tokens", "ids_sha256", "lossless"])
 
     return run
 
 
 def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id") -> DataFrame:
     """``id_col``, n_tokens, n_byte_tokens, ids_sha256 (of little-endian int32), lossless of every row."""
-    rows = encode(docs.select(F.col(id_col).alias("_id"), F.col("text").cast("string").alias("text")), model, key_col="_id")
+    rows = encode(docs.select(F.col(id_col).alias("_id"), F.col("text").cast("string").alias("text")), model, key_col="_id", verify=True).select("_id", "ids", "lossless")
     kind = rows.schema["_id"].dataType.simpleString()
     return rows.mapInArrow(_digests(model), f"_id {kind}, n_tokens long, n_byte_tokens long, ids_sha256 string, lossless boolean").withColumnRenamed("_id", id_col)
