@@ -1,3 +1,4 @@
+import itertools
 import random
 
 from tramline.llm import urls
@@ -58,3 +59,38 @@ def test_redundant_rules_are_dropped(spark):
 
 def test_empty(spark):
     assert urls.judged(pages(spark, []), no_labels(spark)).collect() == []
+
+
+def brute_rules(rows, min_support, min_confidence):
+    """All rules to block by enumeration, without those that have a part of no less confidence."""
+    least = max(min_support * len(rows), urls.MIN_COUNT)
+    tokens = sorted({t for own, _ in rows for t in own})
+    conf = {}
+    for k in range(1, len(tokens) + 1):
+        for own in map(frozenset, itertools.combinations(tokens, k)):
+            hits = [blocked for have, blocked in rows if own <= set(have)]
+            if sum(hits) >= least and sum(hits) / len(hits) >= min_confidence:
+                conf[own] = sum(hits) / len(hits)
+    return {own: c for own, c in conf.items() if not any(part < own and conf[part] >= c for part in conf)}
+
+
+def test_rules_of_long_baskets_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = set()
+    for i in range(120):
+        own = ["every", "too", *(t for t in "abcdefg" if rng.random() < 0.8), f"x{i}"]
+        own += ["m", "n"] * (rng.random() < 0.3)
+        rows.add((tuple(own), ("m" in own and rng.random() < 0.9) or rng.random() < 0.2))
+    rows = sorted(rows)
+    got = {own: c for own, c, _ in urls.mined(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"))}
+    expected = brute_rules([([t for t in own if t[0] != "x"], blocked) for own, blocked in rows], urls.MIN_SUPPORT, urls.MIN_CONFIDENCE)
+    assert got == expected and frozenset("m") in got
+
+
+def test_rare_tokens_of_long_urls_block(spark):
+    """The generic tokens of these URLs are more than ten and all more frequent than the one that tells."""
+    cases = [f"http://{'pills' if i % 4 == 0 else f'shop{i}'}.www.blog.example.com/en/read/page/{i}.html" for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in urls.judged(pages(spark, [*cases, "http://pills.org/"]), labels).collect()}
+    assert [got[i].mined_confidence for i in range(80)] == [None if i % 4 else 1.0 for i in range(80)]
+    assert (got[80].verdict, got[80].mined_confidence) == ("block", 1.0)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
+import math
+from collections import Counter, defaultdict
 from collections.abc import Sequence
 
 from pyspark.ml.fpm import FPGrowth
@@ -13,13 +15,10 @@ from pyspark.sql import functions as F
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: The model is fitted on at most so many distinct labelled URLs, chosen by hash.
 MAX_LABELLED = 20_000
-#: Tokens of a URL that the miner sees, the most frequent ones; bounds the itemsets.
-MAX_ITEMS = 10
 MIN_SUPPORT = 0.002
 #: Labelled URLs that a rule rests on at least, however few there are.
 MIN_COUNT = 10
 MIN_CONFIDENCE = 0.6
-MAX_RULES = 5_000
 _BLOCK = "=block"
 
 
@@ -54,39 +53,66 @@ def tokens(host: str, path: str) -> Column:
     return F.array_distinct(F.concat(placed, deep, words))
 
 
-def mined(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_labelled: int = MAX_LABELLED) -> list[tuple[frozenset[str], float, float]]:
-    """Rules (tokens, confidence, support) that lead to ``block``, from (tokens array, blocked boolean).
+def mined_classes(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_labelled: int = MAX_LABELLED) -> list[tuple[list[list[str]], float, float]]:
+    """Rules (classes of tokens, confidence, support) that lead to ``block``, from (tokens array, blocked boolean).
 
-    A rule is dropped if a part of its tokens is a rule of no less confidence.
+    A rule holds for a URL with a token of each of its classes.  Tokens of a class
+    occur in the same labelled URLs, so any of them makes the same rule, and the miner
+    sees one.  Nor does it see tokens in fewer blocked URLs than a rule
+    needs, or those of all URLs, which can only be a rule by themselves.  A rule is dropped
+    if a part of it is a rule of no less confidence; nothing else is left out.
     """
     spark = labelled.sparkSession
     # a cut from the count keeps what reaches the sort and the driver near max_labelled
     known = labelled.dropDuplicates(["tokens", "blocked"]).withColumn("h", F.xxhash64("tokens", "blocked"))
     share = min(1.0, 2 * max_labelled / max(1, known.count()))
     sample = known.filter(F.col("h") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).orderBy("h", "tokens", "blocked").limit(max_labelled).collect()
-    common = Counter(t for r in sample for t in r.tokens)
-    short = [(sorted(r.tokens, key=lambda t: (-common[t], t))[:MAX_ITEMS], r.blocked) for r in sample]
-    baskets = spark.createDataFrame([([*items, _BLOCK] if blocked else items,) for items, blocked in short], "items array<string>")
     n = len(sample)
     if n < MIN_COUNT:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_COUNT / n), minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.filter(F.array_contains("consequent", _BLOCK)).orderBy(F.desc("confidence"), F.size("antecedent"), F.desc("support"), "antecedent").limit(MAX_RULES).collect()
-    out: list[tuple[frozenset[str], float, float]] = []
-    for r in sorted(found, key=lambda r: (len(r.antecedent), -r.confidence, sorted(r.antecedent))):
-        own = frozenset(r.antecedent)
-        if not any(have <= own and c >= r.confidence for have, c, _ in out):
-            out.append((own, r.confidence, r.support))
+    support = max(min_support, MIN_COUNT / n)
+    least = math.ceil(support * n)
+    blocked = Counter(t for r in sample if r.blocked for t in r.tokens)
+    places = defaultdict(list)
+    for i, r in enumerate(sample):
+        for t in r.tokens:
+            if blocked[t] >= least:
+                places[t].append(i)
+    alike = defaultdict(list)
+    for t in sorted(places):
+        alike[tuple(places[t])].append(t)
+    members = {own[0]: own for own in alike.values()}
+    everywhere = {t for t in members if len(places[t]) == n}
+    found = {frozenset([t]): (blocked[t] / n, blocked[t] / n) for t in everywhere}
+    seen = members.keys() - everywhere
+    baskets = spark.createDataFrame([([t for t in r.tokens if t in seen] + [_BLOCK] * r.blocked,) for r in sample], "items array<string>")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=0.0).fit(baskets)
+    for r in model.associationRules.filter(F.array_contains("consequent", _BLOCK)).select("antecedent", "confidence", "support").collect():
+        found[frozenset(r.antecedent)] = (r.confidence, r.support)
+    # all parts of a frequent set are frequent, so the best part is known from those a token smaller
+    best: dict[frozenset[str], float] = {}
+    out = []
+    for own in sorted(found, key=lambda own: (len(own), sorted(own))):
+        confidence, share = found[own]
+        below = max((best[own - {t}] for t in own), default=0.0) if len(own) > 1 else 0.0
+        best[own] = max(confidence, below)
+        if confidence >= min_confidence and below < confidence:
+            out.append(([members[t] for t in sorted(own)], confidence, share))
     return out
 
 
+def mined(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_labelled: int = MAX_LABELLED) -> list[tuple[frozenset[str], float, float]]:
+    """The rules of mined_classes() with their classes spelled out: (tokens, confidence, support)."""
+    return [(frozenset(own), c, s) for classes, c, s in mined_classes(labelled, min_support, min_confidence, max_labelled) for own in itertools.product(*classes)]
+
+
 def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``id_col``, host, path, rule, verdict, mined_confidence of every row.
 
     ``labels`` (doc_id, quality, toxic) mark a page whose id they hold as one to
     block if its quality is 0 or it is toxic.  Token combinations that FP-growth
     finds in labelled URLs with the given support and confidence block a URL
-    that holds them all; the inverted index is a table (token, rule, size) that
+    that holds them all; the inverted index is a table (token, rule, part, size) that
     is joined to the URLs' tokens.  The longest given rule overrules them.  Without a
     rule the verdict is allow.
 
@@ -98,11 +124,11 @@ def judged(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]
     host, path = host_and_path("_url")
     rows = pages.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(url_col).cast("string").alias("_url")).withColumn("host", host).withColumn("path", path)
     marked = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked")).filter("blocked is not null")
-    found = mined(rows.filter("host <> ''").join(marked, "_id").select(tokens("host", "path").alias("tokens"), "blocked"), min_support, min_confidence)
-    index = spark.createDataFrame([(t, i, len(own), c) for i, (own, c, _) in enumerate(found) for t in sorted(own)], "token string, r int, size int, confidence double")
+    found = mined_classes(rows.filter("host <> ''").join(marked, "_id").select(tokens("host", "path").alias("tokens"), "blocked"), min_support, min_confidence)
+    index = spark.createDataFrame([(t, i, part, len(classes), c) for i, (classes, c, _) in enumerate(found) for part, own in enumerate(classes) for t in own], "token string, r int, part int, size int, confidence double")
     hits = (
-        rows.select("_row", F.explode(tokens("host", "path")).alias("token")).join(F.broadcast(index), "token")  # at most MAX_RULES * MAX_ITEMS rows
-        .groupBy("_row", "r", "size", "confidence").count().filter("count = size")
+        rows.select("_row", F.explode(tokens("host", "path")).alias("token")).join(index, "token")
+        .groupBy("_row", "r", "size", "confidence").agg(F.countDistinct("part").alias("parts")).filter("parts = size")
         .groupBy("_row").agg(F.max("confidence").alias("mined_confidence"))
     )
     best = longest_rule(F.col("host"), F.col("path"), rules)
