@@ -69,6 +69,20 @@ def test_repeated_passage_is_rejected(spark):
     assert got[2].longest_repeat == 160 and not got[2].kept
 
 
+def test_each_limit_rejects_texts_that_pass_the_base(spark):
+    body = lambda n: " ".join(f"u{i}" for i in range(n))
+    part = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    twice = lambda n, *parts: " ".join([*parts, body(n), *[f"x{i} {p}" for i, p in enumerate(parts)]])
+    rows = [(1, twice(600, part("a", 25), part("b", 25))), (2, twice(2000, part("a", 60))), (3, twice(600, part("a", 60))), (4, twice(1000, part("a", 40)))]
+    got = {r.doc_id: r for r in repetition.repetition(frame(spark, rows)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i: r.longest_repeat for i, r in got.items()} == {1: 25, 2: 60, 3: 60, 4: 40}
+    assert {i: r.kept for i, r in got.items()} == {1: False, 2: False, 3: False, 4: True}
+    by_longest = {r.doc_id: r.kept for r in repetition.repetition(frame(spark, rows), max_covered=1.0).collect()}
+    by_covered = {r.doc_id: r.kept for r in repetition.repetition(frame(spark, rows), max_longest=10**6).collect()}
+    assert by_longest == {1: True, 2: False, 3: False, 4: True} and by_covered == {1: False, 2: True, 3: False, 4: True}
+
+
 def test_odd_rows(spark):
     out = repetition.repetition(odd(spark)).collect()
     assert len(out) == 10 and sum(r.n_words == 0 and r.base_failed and not r.kept for r in out) == 4

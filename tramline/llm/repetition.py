@@ -16,10 +16,11 @@ SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
 SPACES = b" \t\n\r\x0b\x0c"
 WINDOW = 5
-#: A repeat counts from this many words on; texts go beyond these limits if most of them repeats or one repeat is long.
+#: A repeat counts from this many words on; texts go beyond these limits if much of them repeats or one repeat is a passage.
+#: The base rejects from 20 % in shorter repeats on, so the covered share must stay well below that to say anything.
 LEAST = 8
-MAX_COVERED = 0.2
-MAX_LONGEST = 150
+MAX_COVERED = 0.12
+MAX_LONGEST = 50
 #: Words of one suffix array.
 CHUNK_BYTES = 1_000_000
 
