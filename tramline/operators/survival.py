@@ -13,6 +13,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import spatial as S
+
 SEEKERS = 200
 MILE_M = 1609.344
 #: Eight bearings, a turn apart.
@@ -74,13 +76,23 @@ def thermometer(zones: DataFrame, seekers: DataFrame, leg: float) -> DataFrame:
 
 
 def tentacle(zones: DataFrame, seekers: DataFrame, features: DataFrame, reach: float) -> DataFrame:
-    """Out of the seeker's reach (-1), nothing in reach (-2), or the nearest feature within it (feature_id, fx, fy)."""
-    near = _against(features, seekers).filter((F.col("fx") - F.col("sx")) ** 2 + (F.col("fy") - F.col("sy")) ** 2 <= reach * reach)
-    held = seekers.join(near.groupBy("seeker_id").agg(F.collect_list(F.struct("feature_id", "fx", "fy")).alias("near")), "seeker_id", "left")  # features are a short list
-    d2 = lambda f: (f["fx"] - F.col("x")) * (f["fx"] - F.col("x")) + (f["fy"] - F.col("y")) * (f["fy"] - F.col("y"))
-    nearest = F.array_min(F.transform("near", lambda f: F.struct(d2(f).alias("d"), f["feature_id"].alias("id"))))["id"]
-    out = (F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2 > reach * reach
-    answers = _against(zones, held).select("zone_id", "seeker_id", F.when(out, F.lit(-1)).when(F.col("near").isNull(), F.lit(-2)).otherwise(nearest).alias("answer"))
+    """Out of the seeker's reach (-1), nothing in reach (-2), or the nearest feature within it (feature_id, fx, fy; ties to the smaller id).
+
+    Nearest features come from grid joins in rings that grow up to twice the
+    reach, the furthest that a zone and a feature in a seeker's reach can be apart.
+    """
+    keys = ["zone_id", "seeker_id"]
+    d2 = lambda ax, ay, bx, by: (F.col(ax) - F.col(bx)) * (F.col(ax) - F.col(bx)) + (F.col(ay) - F.col(by)) * (F.col(ay) - F.col(by))
+    seen = _against(zones.select("zone_id", "x", "y"), seekers.select("seeker_id", "sx", "sy")).withColumn("out", d2("x", "y", "sx", "sy") > reach * reach)
+    left = seen.filter("not out").select(*keys, "x", "y", F.col("x").alias("zx"), F.col("y").alias("zy"), "sx", "sy")
+    targets = features.select("feature_id", "fx", "fy", F.col("fx").alias("x"), F.col("fy").alias("y"))
+    found: DataFrame | None = None
+    for part in (1 / 8, 1 / 2, 2):
+        near = S.within(left, targets, reach * part * 1.01).filter(d2("fx", "fy", "sx", "sy") <= reach * reach)  # a little over, for rounding
+        hit = near.groupBy(*keys).agg(F.min(F.struct(d2("fx", "fy", "zx", "zy").alias("d"), F.col("feature_id").alias("id"))).alias("m")).select(*keys, F.col("m.id").alias("id"))
+        found = hit if found is None else found.unionByName(hit)
+        left = left.join(hit, keys, "left_anti")
+    answers = seen.join(found, keys, "left").select(*keys, F.when(F.col("out"), F.lit(-1)).otherwise(F.coalesce("id", F.lit(-2))).alias("answer"))
     sizes = answers.groupBy("seeker_id", "answer").agg(F.count("*").alias("c"))
     return answers.join(sizes, ["seeker_id", "answer"]).groupBy("zone_id").agg(F.sum("c").alias("agree"))
 

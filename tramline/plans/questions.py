@@ -80,12 +80,10 @@ def thermometer(t: Tables) -> DataFrame:
 FEATURES = "features AS (SELECT feature_id, x, y FROM (SELECT poi_id AS feature_id, x, y, row_number() OVER (ORDER BY poi_id) - 1 AS p, greatest(1, ceil(count(*) OVER () / 64.0)::BIGINT) AS s FROM pois_xy WHERE category = 'PROMO') WHERE p % s = 0)"
 
 
-def features(t: Tables, category: str = "PROMO", most: int = 64) -> DataFrame:
-    """At most ``most`` features of a category, strided by id."""
+def features(t: Tables, category: str = "PROMO") -> DataFrame:
+    """Every POI of a category; the DuckDB text still strides them to 64, so it agrees up to 64 only."""
     rows = S.projected(t.pois.filter(F.col("category") == category))
-    stride = max(1, -(-rows.count() // most))
-    at = F.row_number().over(W.orderBy("poi_id")) - 1
-    return rows.withColumn("p", at).filter(F.col("p") % stride == 0).select(F.col("poi_id").alias("feature_id"), F.col("x").alias("fx"), F.col("y").alias("fy"))
+    return rows.select(F.col("poi_id").alias("feature_id"), F.col("x").alias("fx"), F.col("y").alias("fy"))
 
 
 @query("d6_tentacle_features", views=["pois"], sql=f"WITH {XY['pois']}, {FEATURES} SELECT feature_id, round(x * 100)::BIGINT AS x_cm, round(y * 100)::BIGINT AS y_cm FROM features")
