@@ -38,3 +38,15 @@ def test_tentacle_equals_brute_force(tables):
         sizes = Counter(answer.values())
         agree.update({z: sizes[k] for z, k in answer.items()})
     assert {r.zone_id: r.agree for r in questions.tentacle(t).collect()} == agree
+
+
+@pytest.mark.parametrize("n, kept", [(20, 20), (100, 100), (400, 400), (401, 134), (950, 190)])
+def test_seekers_are_the_reference_sample(tables, n, kept):
+    """All zones up to 400, every ceil(n / 200)th beyond."""
+    stride = 1 if n <= 400 else -(-n // 200)
+    ids = sorted(r.seeker_id for r in spatial.seekers(tables(n)).collect())
+    assert ids == [f"z{i:06d}" for i in range(1, n + 1, stride)] and len(ids) == kept
+
+
+def test_every_zone_meets_every_seeker(tables):
+    assert spatial.seeker_table(tables(100)).count() == 100 * 100

@@ -2,8 +2,8 @@
 
 Every function returns (zone_id, agree): the sum over seekers of the number of
 zones in the zone's answer class.  Divided by seekers times zones it is the
-zone's survival.  The seekers are a stated sample, at most SEEKERS, so the
-tables that are broadcast here have a fixed bound.
+zone's survival.  The seekers are all zones up to FULL, beyond that a stated sample
+of at most SEEKERS, so the tables that are broadcast here have a fixed bound.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import spatial as S
 
-SEEKERS = 200
+FULL, SEEKERS = 400, 200
 MILE_M = 1609.344
 #: Eight bearings, a turn apart.
 BEARINGS = [(math.cos(math.pi * i / 4), math.sin(math.pi * i / 4)) for i in range(8)]
@@ -44,7 +44,7 @@ def matching(answers: DataFrame, seekers: DataFrame) -> DataFrame:
 
 
 def _against(zones: DataFrame, sample: DataFrame) -> DataFrame:
-    return zones.crossJoin(F.broadcast(sample))  # at most SEEKERS rows
+    return zones.crossJoin(F.broadcast(sample))  # at most FULL rows
 
 
 def measuring(values: DataFrame, seekers: DataFrame) -> DataFrame:

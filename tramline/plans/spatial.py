@@ -12,6 +12,7 @@ from ..functions import geo
 from ..operators import graph as G
 from ..operators import kernels as K
 from ..operators import spatial as S
+from ..operators import survival as V
 
 R = 6371008.8
 X = f"((lon - (-85.9::DOUBLE)) * {geo.DEGREE_M!r} * cos(radians(42.8::DOUBLE)))"
@@ -263,15 +264,16 @@ def radar_hits(t: Tables) -> DataFrame:
 SEEKERS = "seekers AS (SELECT zone_id AS seeker_id, x, y FROM (SELECT *, row_number() OVER (ORDER BY zone_id) - 1 AS p, greatest(1, count(*) OVER () // 20) AS s FROM zones_xy) WHERE p % s = 0 AND p // s < 20)"
 
 
-def seekers(t: Tables, most: int = 20) -> DataFrame:
-    """A strided sample of ``most`` zones: the seekers, whose number is fixed."""
-    stride = max(1, t.zones.count() // most)
+def seekers(t: Tables) -> DataFrame:
+    """The seekers: every zone up to V.FULL zones, beyond that a strided sample of at most V.SEEKERS; the DuckDB text still takes 20."""
+    n = t.zones.count()
+    stride = 1 if n <= V.FULL else -(-n // V.SEEKERS)
     rows = _xy(t.zones).withColumn("p", F.row_number().over(W.orderBy("zone_id")) - 1)
-    return rows.filter((F.col("p") % stride == 0) & (F.floor(F.col("p") / stride) < most)).select(F.col("zone_id").alias("seeker_id"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    return rows.filter(F.col("p") % stride == 0).select(F.col("zone_id").alias("seeker_id"), F.col("x").alias("sx"), F.col("y").alias("sy"))
 
 
 def seeker_distances(t: Tables) -> DataFrame:
-    """Every zone against the seekers, at most 20 of them."""
+    """Every zone against the seekers, at most V.FULL of them."""
     d = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)
     return _xy(t.zones).crossJoin(F.broadcast(seekers(t))).withColumn("dist", d)
 
