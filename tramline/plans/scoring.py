@@ -120,17 +120,35 @@ def zone_axes(t: Tables) -> DataFrame:
     return g.select("zone_id", "total", F.col("m.v").alias("best"), F.col("m.axis").alias("best_axis"), F.least("total", F.when(F.col("excluded"), 45).otherwise(300)).cast("long").alias("capped"))
 
 
+AXES = ("a", "b", "c")
+
+
 @query("t5_dossiers", sql=None)
-def dossiers(t: Tables) -> DataFrame:
-    """Eight zones, greedily: the score less half a point for each hundred metres under 1,500 to those picked before; from the 200 best."""
-    ranked = zone_ranks(t).filter("rank <= 200").join(S.projected(t.zones).select(F.substring("zone_id", 2, 6).cast("long").alias("zone_id"), "x", "y"), "zone_id")
-    rows = sorted(ranked.collect(), key=lambda r: r.rank)  # at most 200
+def dossiers(t: Tables, radius: float = 402.336) -> DataFrame:
+    """Zones to write about: down the ranking, those eight radii from all picked before or five points better than the nearest
+    of them, until there are 6 to 12 (a 25th of the zones); then the best zone of each axis.  Twelve zones or fewer are all picked."""
+    places = S.projected(t.zones).select(F.substring("zone_id", 2, 6).cast("long").alias("zone_id"), "x", "y")
+    ranked = zone_ranks(t).join(zone_scores(t).select("zone_id", *AXES), "zone_id").join(places, "zone_id")
+    n = ranked.count()
+    target = n if n <= 12 else min(12, max(6, math.floor(n / 25 + 0.5)))
     picked: list = []
-    while rows and len(picked) < 8:
-        near = lambda r: max([0.0, *(1500 - math.hypot(r.x - p.x, r.y - p.y) for p in picked)])  # noqa: E731, B023
-        best = max(rows, key=lambda r: (r.overall - near(r) / 200, -r.rank))  # noqa: B023
+    while len(picked) < target:  # each pass reads the whole ranking below the last pick
+        rest = ranked
+        if picked and n > 12:
+            far = [F.struct(F.sqrt((F.col("x") - p.x) ** 2 + (F.col("y") - p.y) ** 2).alias("d"), F.lit(i).alias("i"), F.lit(p.overall).alias("overall")) for i, p in enumerate(picked)]
+            nearest = F.array_min(F.array(*far))
+            rest = rest.filter((nearest["d"] >= 8 * radius) | (F.col("overall") >= nearest["overall"] + 5))
+        if picked:
+            rest = rest.filter(F.col("rank") > picked[-1].rank)
+        best = rest.orderBy("rank").first()
+        if best is None:
+            break
         picked.append(best)
-        rows.remove(best)
+    if n > 12:
+        winners = ranked.agg(*[F.min(F.struct((-F.col(x)).alias("v"), (-F.col("overall")).alias("o"), "zone_id", "overall")).alias(x) for x in AXES]).first()
+        for x in AXES:
+            if winners[x].zone_id not in [p.zone_id for p in picked]:
+                picked.append(winners[x])
     return t.spark.createDataFrame([(i, int(p.zone_id), int(p.overall)) for i, p in enumerate(picked)], "place int, zone_id long, overall long")
 
 
