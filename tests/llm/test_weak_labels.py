@@ -1,8 +1,10 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tramline.llm import _text as T
 from tramline.llm import weak_labels
 
 from .corpus import empty, frame, odd
@@ -30,6 +32,17 @@ def test_the_scorer_learns_a_linear_rule():
     assert ((z > 0) == (target > 0.5)).all()
 
 
+def test_long_texts_are_fitted_on_all_their_features():
+    text = " ".join(f"u{i}" for i in range(6000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["h", "text"])
+    (row,) = pa.Table.from_batches(list(weak_labels._drawn(iter([batch])))).to_pylist()
+    f, v = np.frombuffer(row["f"], "<u2").astype(int), np.frombuffer(row["v"], "<f4")
+    (_, _, chunk), = T.chunks(batch, "text")
+    _, hashes = weak_labels.features(chunk)
+    expected = np.bincount((hashes % np.uint64(weak_labels.WEIGHTS)).astype(int), minlength=weak_labels.WEIGHTS) / 6000
+    assert np.allclose(np.bincount(f, weights=v, minlength=weak_labels.WEIGHTS), expected)
+
+
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.1"
     if not os.path.isdir(path):

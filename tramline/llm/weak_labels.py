@@ -15,8 +15,6 @@ from ._job import positional, small_batches
 
 #: The scorer is fitted on at most so many rows, those with the smallest hashes.
 TRAIN_ROWS = 6_000
-#: Distinct features that one text gives the fit at most, those with the smallest hashes; scoring uses all.
-TRAIN_FEATURES = 2_000
 WEIGHTS = 1 << 16
 EPOCHS = 60
 THRESHOLD = 0.5
@@ -205,9 +203,9 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cut = np.searchsorted(doc[order], np.arange(chunk.n_docs + 1))
             kept, shares = [], []
             for i in range(chunk.n_docs):
-                own, count = np.unique(hashes[order[cut[i] : cut[i + 1]]], return_counts=True)
-                own, count = own[:TRAIN_FEATURES], count[:TRAIN_FEATURES]
-                kept.append((own % _U(WEIGHTS)).astype("<u2").tobytes())
+                # all features, folded as score() folds them, so a row is WEIGHTS entries at most
+                own, count = np.unique(hashes[order[cut[i] : cut[i + 1]]] % _U(WEIGHTS), return_counts=True)
+                kept.append(own.astype("<u2").tobytes())
                 shares.append((count / max(1, chunk.n_words[i])).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("h")[lo:hi], pa.array(code), pa.array(kept, pa.binary()), pa.array(shares, pa.binary())], ["h", "pattern", "f", "v"])
 
