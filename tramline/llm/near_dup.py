@@ -100,8 +100,8 @@ def _sketched(k: int, bands: int, rows: int):
                 np.add.at(two, doc, T.mix(hashes ^ _U(0x14057B7EF767814F)))
                 full = count > 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_k")[lo:hi], pa.array(count), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), T.list_array(key[full].reshape(-1).view(np.int64), np.where(full, bands, 0), pa.int64())],
-                    ["_k", "n", "d1", "d2", "bands"],
+                    [batch.column("_k")[lo:hi], batch.column("_t")[lo:hi], pa.array(count), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), T.list_array(key[full].reshape(-1).view(np.int64), np.where(full, bands, 0), pa.int64())],
+                    ["_k", "_t", "n", "d1", "d2", "bands"],
                 )
 
     return run
@@ -117,12 +117,12 @@ def _sets(k: int, bands: int, rows: int):
                 each = np.ones(chunk.n_docs, int)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("_k")[lo:hi],
+                        batch.column("v")[lo:hi],
                         T.list_array(hashes.view(np.int64), np.bincount(doc, minlength=chunk.n_docs), pa.int64()),
                         T.list_array(key.reshape(-1).view(np.int64), each * bands, pa.int64()),
                         T.list_array(bits.reshape(-1).view(np.int64), each * bits.shape[1], pa.int64()),
                     ],
-                    ["_k", "grams", "bands", "bits"],
+                    ["v", "grams", "bands", "bits"],
                 )
 
     return run
@@ -146,13 +146,10 @@ def most_unequal(size: int, percent: int, sigmas: float = SIGMAS) -> int:
     return int(np.ceil(size * p + sigmas * np.sqrt(size * p * (1 - p))))
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Components of texts whose k-word shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
+def linked_rows(docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_k, _t, n, group, component, n_links) of every row: its id and text hash, its set's size, its component (null: no set) and the smallest id in that.
 
-    Returns ``id_col``, n_shingles, n_links (verified links between different
-    sets that the search used), component_id, kept: one row per input row.
-
-    Equal sets are one class, represented by the smallest id.  A class and
+    Equal sets are one class, numbered as the classes are written; an id may be in several.  A class and
     another meet if a band of their sketches is equal; at the threshold a pair
     is missed with probability (1 - 0.75**rows)**bands, 4e-6 as set.  First each class
     is held against the heaviest class it meets, that is the one with the most
@@ -161,34 +158,34 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, ban
     are held against one member of it, HUB_ROUNDS times; after that every pair
     across components that still share a bucket is held, if four bits of each of
     its bands * rows coordinates agree to within SIGMAS standard deviations of
-    a pair at the threshold (a further 3e-6); that join emits confirmed links only.  So a bucket of one group makes links in proportion to its rows, and
+    a pair at the threshold (a further 3e-6).  So a bucket of one group makes links in proportion to its rows, and
     no verdict rests on transitivity that wasn't verified.  Links are confirmed
     on whole sets.
-
-    Null or wordless texts have no shingles and no links.  A null id is compared
-    as the largest id and returned as null; rows that repeat an id are one
-    document if their sets agree, and take the smallest label otherwise.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(known(id_col).alias("_k"), F.col(text_col).cast("string").alias("text"))
-    made, made_at = staged(texts.mapInArrow(_sketched(k, bands, rows), "_k long, n long, d1 long, d2 long, bands array<long>"), "sketches")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(known(id_col).alias("_k"), F.xxhash64(text).alias("_t"), text.alias("text"))
+    made, made_at = staged(texts.mapInArrow(_sketched(k, bands, rows), "_k long, _t long, n long, d1 long, d2 long, bands array<long>"), "sketches")
     full = made.filter("n > 0")
-    # a table of its own, so that the joins below can split a class with very many copies
-    classes, _ = staged(full.groupBy("d1", "d2").agg(F.min("_k").alias("rep")), "classes")
-    member = full.select("_k", "n", "d1", "d2").join(classes, ["d1", "d2"]).select("_k", "n", "rep")
-    keyed = full.join(classes, ["d1", "d2"]).filter("_k = rep").select("rep", F.explode("bands").alias("key"))
+    # a table of its own, so that the joins below can split a class with very many copies; v names a class, as an id may belong to several
+    first = full.groupBy("d1", "d2").agg(F.min(F.struct("_k", "_t")).alias("first"))
+    classes, _ = staged(first.select("d1", "d2", F.monotonically_increasing_id().alias("v"), F.col("first._k").alias("rep"), F.col("first._t").alias("text_key")), "classes")
+    named = classes.select("d1", "d2", "v", F.col("rep").alias("_k"), F.col("text_key").alias("_t"))
+    # rows that repeat a class's first id and text have the same bands: one of them is enough, found on the join's own keys
+    keyed = full.join(named, ["d1", "d2", "_k", "_t"]).groupBy("d1", "d2", "_k", "_t", "v").agg(F.any_value("bands").alias("bands")).select("v", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     plain, plain_at = staged(keyed.join(shared, "key"), "buckets")
-    weight = plain.groupBy("rep").agg(F.sum("size").alias("weight"))
-    met, met_at = staged(plain.join(weight, "rep").select("key", "rep", "weight"), "buckets")
-    hub = met.groupBy("key").agg(F.max(F.struct("weight", F.col("rep").alias("hub"))).alias("hub"))
-    ids = met.select(F.col("rep").alias("_k")).distinct()
-    grams, grams_at = staged(texts.join(ids, "_k", "left_semi").dropDuplicates(["_k"]).mapInArrow(_sets(k, bands, rows), "_k long, grams array<long>, bands array<long>, bits array<long>"), "sets")
+    weight = plain.groupBy("v").agg(F.sum("size").alias("weight"))
+    met, met_at = staged(plain.join(weight, "v").select("key", "v", "weight"), "buckets")
+    hub = met.groupBy("key").agg(F.max(F.struct("weight", F.col("v").alias("hub"))).alias("hub"))
+    ids = named.join(met.select("v").distinct(), "v").select("_k", "_t", "v")
+    held = texts.join(ids, ["_k", "_t"]).dropDuplicates(["_k", "_t"]).select("v", "text")
+    grams, grams_at = staged(held.mapInArrow(_sets(k, bands, rows), "v long, grams array<long>, bands array<long>, bits array<long>"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = grams.select(F.col("_k").alias("a"), F.col("grams").alias("ga"))
-        right = grams.select(F.col("_k").alias("b"), F.col("grams").alias("gb"))
+        left = grams.select(F.col("v").alias("a"), F.col("grams").alias("ga"))
+        right = grams.select(F.col("v").alias("b"), F.col("grams").alias("gb"))
         both = pairs.join(left, "a").join(right, "b")
         near = both.filter(F.least(F.size("ga"), F.size("gb")) * 100 >= F.greatest(F.size("ga"), F.size("gb")) * percent)
         inter = near.withColumn("i", F.size(F.array_intersect("ga", "gb"))).withColumn("u", F.size("ga") + F.size("gb") - F.col("i"))
@@ -196,47 +193,97 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, ban
 
     def unsettled(label: DataFrame) -> tuple[DataFrame, str]:
         """Rows of the buckets whose classes are in several components; main: the bucket's largest."""
-        now = met.join(label.withColumnRenamed("v", "rep"), "rep", "left").select("key", "rep", "weight", F.coalesce("label", "rep").alias("label"))
+        now = met.join(label, "v", "left").select("key", "v", "weight", F.coalesce("label", "v").alias("label"))
         sizes = now.groupBy("key", "label").count().groupBy("key").agg(F.max(F.struct("count", "label")).alias("most"), F.count("*").alias("parts"))
         return staged(now.join(sizes.filter("parts > 1").select("key", F.col("most.label").alias("main")), "key"), "open")
 
-    best = met.join(hub, "key").filter("rep <> hub.hub").groupBy("rep").agg(F.max("hub").alias("hub"))
-    tried, tried_at = staged(best.select(F.greatest("rep", "hub.hub").alias("a"), F.least("rep", "hub.hub").alias("b")).distinct(), "pairs")
+    best = met.join(hub, "key").filter("v <> hub.hub").groupBy("v").agg(F.max("hub").alias("hub"))
+    tried, tried_at = staged(best.select(F.greatest("v", "hub.hub").alias("a"), F.least("v", "hub.hub").alias("b")).distinct(), "pairs")
     links, links_at = staged(confirmed(tried), "links")
     label, label_at = components(links)
     spent = [tried_at, label_at]
     for _ in range(HUB_ROUNDS):
         open_, open_at = unsettled(label)
-        hubs = open_.filter("label = main").groupBy("key").agg(F.max(F.struct("weight", "rep")).alias("hub"))
-        star = open_.filter("label <> main").join(hubs, "key").select("rep", "hub")
-        pairs = star.select(F.greatest("rep", "hub.rep").alias("a"), F.least("rep", "hub.rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        hubs = open_.filter("label = main").groupBy("key").agg(F.max(F.struct("weight", "v")).alias("hub"))
+        star = open_.filter("label <> main").join(hubs, "key").select("v", "hub")
+        pairs = star.select(F.greatest("v", "hub.v").alias("a"), F.least("v", "hub.v").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs, pairs_at = staged(pairs, "pairs")
         more, more_at = staged(confirmed(pairs), "links")
         tried, links = tried.unionByName(pairs), links.unionByName(more)
         label, label_at = components(links)
         spent += [open_at, pairs_at, label_at]
     open_, open_at = unsettled(label)
-    size = bands * rows
-    held = open_.join(grams.select(F.col("_k").alias("rep"), F.size("grams").alias("n"), "bands", "bits", "grams"), "rep")
-    left = held.filter("label <> main").select("key", *(F.col(c).alias(f"{c}_x") for c in ("rep", "label", "n", "bands", "bits", "grams")))
-    right = held.select("key", "main", *(F.col(c).alias(f"{c}_y") for c in ("rep", "label", "n", "bands", "bits", "grams")))
-    apart = F.expr("label_x <> label_y and (label_y = main or rep_x < rep_y)")
-    alike = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (_unequal("bits_x", "bits_y") <= most_unequal(size, percent))
-    once = F.array_min(F.array_intersect("bands_x", "bands_y")) == left["key"]
-    inter = F.size(F.array_intersect("grams_x", "grams_y"))
-    near = inter * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
-    across = left.join(right, (left["key"] == right["key"]) & apart & alike & once & near).select(F.greatest("rep_x", "rep_y").alias("a"), F.least("rep_x", "rep_y").alias("b"))
-    more, more_at = staged(across.distinct(), "links")
+    more, more_at = staged(_across(open_, grams, bands * rows, percent), "links")
     every = links.unionByName(more)
     final, final_at = components(every)
-    degree = every.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    out = (
-        made.select("_k", F.col("n").alias("n_shingles"))
-        .join(member.groupBy("_k").agg(F.min("rep").alias("rep")), "_k", "left")
-        .join(final.withColumnRenamed("v", "rep"), "rep", "left")
-        .join(degree, "rep", "left")
-        .withColumn("component", F.coalesce("label", "rep", "_k"))
-        .select(given("_k").alias(id_col), "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), given("component").alias("component_id"), (F.col("_k") == F.col("component")).alias("kept"))
-    )
+    degree = every.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("n_links"))
+    linked = classes.select("v", "rep").join(final, "v").join(degree, "v")
+    least = linked.groupBy("label").agg(F.min("rep").alias("component"))
+    grouped, _ = staged(linked.join(least, "label").select("v", "label", "component", "n_links"), "groups")
+    ruled = classes.join(grouped, "v", "left").select("d1", "d2", F.coalesce("label", "v").alias("group"), F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    none = F.lit(None).cast("long")
+    alone = made.filter("n = 0").select("_k", "_t", "n", none.alias("group"), F.col("_k").alias("component"), F.lit(0).cast("long").alias("n_links"))
+    out = full.join(ruled, ["d1", "d2"]).select("_k", "_t", "n", "group", "component", "n_links").unionByName(alone)
     dropped(spark, plain_at, met_at, grams_at, open_at, *spent)
     return out
+
+
+def _across(open_: DataFrame, grams: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between classes of different components that still share a bucket.
+
+    Sketch bits are compared first, by semi-joins that return rows of a bucket and no
+    pairs; only rows with a partner are given their sets, and the join that
+    compares those emits confirmed links alone.
+    """
+
+    def sides(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+        every = ("v", "label", *columns)
+        left = rows.filter("label <> main").select("key", *(F.col(c).alias(f"{c}_x") for c in every))
+        return left, rows.select("key", "main", *(F.col(c).alias(f"{c}_y") for c in every))
+
+    apart = F.expr("label_x <> label_y and (label_y = main or v_x < v_y)")
+    alike = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (_unequal("bits_x", "bits_y") <= most_unequal(size, percent))
+    light = open_.join(grams.select("v", F.size("grams").alias("n"), "bits"), "v")
+    left, right = sides(light, "n", "bits")
+    meet = (left["key"] == right["key"]) & apart & alike
+    met_x = left.join(right, meet, "left_semi").select("key", F.col("v_x").alias("v"))
+    met_y = right.join(left, meet, "left_semi").select("key", F.col("v_y").alias("v"))
+    some, some_at = staged(met_x.unionByName(met_y).distinct(), "partners")
+    heavy = open_.join(some, ["key", "v"]).join(grams.select("v", F.size("grams").alias("n"), "bands", "bits", "grams"), "v")
+    left, right = sides(heavy, "n", "bands", "bits", "grams")
+    once = F.array_min(F.array_intersect("bands_x", "bands_y")) == left["key"]
+    inter = F.size(F.array_intersect("grams_x", "grams_y"))
+    near = inter * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
+    pairs = left.join(right, (left["key"] == right["key"]) & apart & alike & once & near)
+    return pairs.select(F.greatest("v_x", "v_y").alias("a"), F.least("v_x", "v_y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Components of texts whose k-word shingle sets have a Jaccard similarity of ``percent`` / 100 or more.
+
+    Returns ``id_col``, n_shingles, n_links (verified links between different
+    sets that the search used), component_id, kept: one row per input row.  See
+    linked_rows() for the search.
+
+    Null or wordless texts have no shingles and no links.  A null id is compared
+    as the largest id and returned as null.  Rows are judged by their texts: rows
+    that repeat an id with another text belong to that text's component, so an id
+    may be kept for one of its texts and not for another.
+    """
+    found = linked_rows(docs, k, percent, bands, rows, id_col, text_col)
+    return found.select(given("_k").alias(id_col), F.col("n").alias("n_shingles"), "n_links", given("component").alias("component_id"), (F.col("_k") == F.col("component")).alias("kept"))
+
+
+def distinct_texts(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, that near_duplicates() keeps: of each component the rows of the smallest id in it.
+
+    Rows that repeat id and text are one document and stay together; a component's
+    smallest id may stand for several of its texts, of which the smallest hash stays.
+    """
+    own = "_" * (1 + max(map(len, docs.columns)))  # names that no column has
+    found = linked_rows(docs, k, percent, id_col=id_col, text_col=text_col).filter("_k = component")
+    full, bare = found.filter("n > 0"), found.filter("n = 0")
+    one = full.groupBy("group").agg(F.min(F.struct("_k", "_t")).alias("one")).select("one.*")
+    ids = one.unionByName(bare.select("_k", "_t").distinct()).select(F.col("_k").alias(own), F.col("_t").alias(own + "t"))
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.join(ids, (known(id_col) == F.col(own)) & (text == F.col(own + "t")), "left_semi")
