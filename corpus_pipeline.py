@@ -19,10 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-copies; rows that repeat an id are one document and stay together."""
-    own = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
-    ids = near_dup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    """Keeps one document of each group of near-copies, of its smallest id; rows that repeat id and text are one document and stay together."""
+    return near_dup.distinct_texts(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
