@@ -4,6 +4,7 @@ import sentencepiece
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from tramline.llm import _text as T
 from tramline.llm import pieces
 
 from .corpus import empty, frame, odd, texts
@@ -39,7 +40,52 @@ def test_round_trip(vocab, rate):
         assert pieces.decode(vocab, ids) == t
 
 
-def test_seeds_and_variants_vary_the_segmentation(vocab):
+def one_by_one(vocab, text, key, rate, seed):
+    """Every occurrence of a word on its own, by the heap, without shared work."""
+    code = [pieces.MARK] + [pieces.OWN_MARK if c == "▁" else pieces.MARK if c == " " else ord(c) for c in text]
+    cuts = [0] + [i for i in range(1, len(code)) if code[i] == pieces.MARK != code[i - 1] or (vocab.cut_lines and 10 in (code[i], code[i - 1]))]
+    salt = T.mix(np.array([key], np.uint64) ^ T.mix(np.array([seed], np.uint64)))
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(code)], strict=True):
+        own = np.array(code[a:b])
+        plain = T.mix((T.mix(own.astype(np.uint64) + np.uint64(1)) * T.powers(0x9E3779B97F4A7C15, b - a)).sum(dtype=np.uint64) + np.array([b - a], np.uint64))
+        word = int(T.mix(plain ^ T.mix(salt + np.uint64(a)))[0])
+        ids, starts = pieces.merge_one(vocab, vocab.initial[own].tolist(), word, rate)
+        for i, s in zip(ids, starts, strict=True):
+            c = "▁" if own[s] == pieces.OWN_MARK else chr(own[s])
+            out += [i] if 0 <= i < vocab.size else vocab.bytes_[list(c.encode())].tolist()
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.4, 1.0])
+def test_shared_work_changes_nothing(vocab, rate):
+    cases = [t for t in CASES if t] + [t for _, t in texts()][:30] + ["the same words the same words " * 60]
+    keys = np.arange(len(cases), dtype=np.uint64) * np.uint64(977)
+    got = split(*pieces.encode_many(vocab, cases, keys, rate, 5))
+    for t, k, ids in zip(cases, keys.tolist(), got, strict=True):
+        assert ids.tolist() == one_by_one(vocab, t, k, rate, 5), t
+
+
+def test_occurrences_of_a_word_differ(vocab):
+    t = "transportation " * 400
+    ids, _ = pieces.encode_many(vocab, [t], np.zeros(1, np.uint64), 0.1, 1)
+    words, own = set(), []
+    for i in ids.tolist():
+        if vocab.blob[vocab.offsets[i]] == 0x20 and own:
+            words.add(tuple(own))
+            own = []
+        own.append(i)
+    assert len(words) > 20
+
+
+def test_a_script_without_blanks(vocab):
+    rng = np.random.default_rng(4)
+    t = "".join(chr(c) for c in rng.integers(0x3041, 0x3097, 40_000))
+    ids, _ = pieces.encode_many(vocab, [t], np.zeros(1, np.uint64), 0.1, 1)
+    assert pieces.decode(vocab, ids) == t
+
+
+def test_seeds_and_keys_vary_the_segmentation(vocab):
     t = [" ".join(x for _, x in texts())[:4000]]
     encode = lambda v, seed, rate=0.2: pieces.encode_many(vocab, t, np.array([v], np.uint64), rate, seed)[0].tolist()
     assert encode(0, 1) == encode(0, 1)

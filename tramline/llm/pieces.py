@@ -3,8 +3,9 @@
 Merge-type (BPE) segmentation on a given vocabulary: of all neighbouring
 symbols whose concatenation is a piece, the pair with the best score merges
 first, ties from the left.  Each candidate merge that comes up is skipped if a
-hash of seed, variant, word and the candidate's place says so; a skipped pair
-comes up again only as part of another candidate.
+hash of seed, text key, the word's place in the text, word and the candidate's place in the word says so; a skipped pair
+comes up again only as part of another candidate.  So every occurrence of a word
+is cut on its own; occurrences that skip the same candidates share the work.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from ._job import positional, small_batches
 
 RATE = 0.1
 SEED = 7
-#: Documents are dealt over so many variants; equal words of a variant are segmented alike.
-VARIANTS = 8
 #: Words of more symbols are merged one by one with a heap.
 LONG = 48
 #: Characters that a task segments at a time, about; each takes some 100 bytes meanwhile.
 CHUNK_CHARS = 400_000
+#: Pairs of an occurrence and a candidate that a task looks at in one step.
+PAIRS = 1_000_000
+#: Candidates that a worker remembers, by word; beyond that it starts anew.
+REMEMBERED = 4_000_000
 MARK = 0x2581
 #: Stands for a mark that the text itself holds; no code point.
 OWN_MARK = 0x110000
@@ -80,6 +83,7 @@ class Vocabulary:
                 self.initial[ord(piece)] = i
         self.cut_lines = not any("\n" in p for p in ids)
         self.cut_marks = not any("▁" in p.lstrip("▁") for p in ids)
+        self.longest = max(map(len, ids))
         scores = np.array([model.get_score(ids[p]) for p in ids])
         rank = dict(zip(ids, np.unique(-scores, return_inverse=True)[1].tolist(), strict=True))
         keys, merged, ranks = [], [], []
@@ -90,6 +94,9 @@ class Vocabulary:
                     keys.append(a << 20 | b)
                     merged.append(i)
                     ranks.append(rank[piece])
+        # candidates of words met before: sorted word hashes, where theirs stand, how many
+        self.seen, self.seen_at, self.seen_n, self.store = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
+        self.table = {k: (r, m) for k, m, r in zip(keys, merged, ranks, strict=True)}
         self._fill(np.array(keys, np.int64), np.array(merged, np.int64), np.array(ranks, np.int64))
 
     def _fill(self, keys: np.ndarray, merged: np.ndarray, ranks: np.ndarray) -> None:
@@ -132,12 +139,80 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def skipped(word: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, rate: float) -> np.ndarray:
-    """Whether candidate merges are skipped; ``word`` is the hash of seed, variant and word."""
+_WORD = (1 << 64) - 1
+
+
+def _mixed(x: int) -> int:
+    """T.mix() of one number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _WORD
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _WORD
+    return x ^ x >> 31
+
+
+def places(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of candidate merges by their place in the word."""
+    return T.mix(start.astype(_U) << _U(42) ^ middle.astype(_U) << _U(21) ^ end.astype(_U))
+
+
+def skipped(word: np.ndarray, place: np.ndarray, rate: float) -> np.ndarray:
+    """Whether candidate merges are skipped; ``word`` is the hash of seed, text key, place in the text and word."""
     if rate <= 0:
-        return np.zeros(len(start), bool)
-    h = T.mix(word ^ T.mix(start.astype(_U) << _U(42) ^ middle.astype(_U) << _U(21) ^ end.astype(_U)))
-    return (h >> _U(11)).astype(np.float64) < rate * float(1 << 53)
+        return np.zeros(len(place), bool)
+    return (T.mix(word ^ place) >> _U(11)).astype(np.float64) < rate * float(1 << 53)
+
+
+def candidates(vocab: Vocabulary, symbols: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place hashes, number a word): all merges that can come up in each word, whatever is skipped.
+
+    A span is reached if two spans that are reached make it; spans are found by
+    length, from the starts of those that are there.
+    """
+    n = len(symbols)
+    first = np.cumsum(lens) - lens
+    word = np.repeat(np.arange(len(lens)), lens)
+    room = np.repeat(first + lens, lens) - np.arange(n)
+    at = [np.zeros(0, np.int64), np.flatnonzero(symbols >= 0)]
+    made = [symbols, symbols]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for size in range(2, min(vocab.longest, int(lens.max(initial=0))) + 1):
+        out = np.full(n, -1, np.int64)
+        for head in range(1, size):
+            s = at[head]
+            s = s[room[s] >= size]
+            s = s[made[size - head][s + head] >= 0]
+            if not len(s):
+                continue
+            merged, rank = vocab.pairs(made[head][s], made[size - head][s + head])
+            good = rank != _NONE
+            s = s[good]
+            out[s] = merged[good]
+            own = s - first[word[s]]
+            found.append((word[s], places(own, own + head, own + size)))
+        made.append(out)
+        at.append(np.flatnonzero(out >= 0))
+    if not found:
+        return np.zeros(0, _U), np.zeros(len(lens), np.int64)
+    of, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    return place[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(lens))
+
+
+def known_candidates(vocab: Vocabulary, plain: np.ndarray, symbols: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place hashes, where each word's begin, how many it has); words (``plain``, sorted hashes) met before aren't searched again."""
+    if len(vocab.store) > REMEMBERED:
+        vocab.seen, vocab.seen_at, vocab.seen_n, vocab.store = vocab.seen[:0], vocab.seen_at[:0], vocab.seen_n[:0], vocab.store[:0]
+    where = np.searchsorted(vocab.seen, plain)
+    hit = np.zeros(len(plain), bool)
+    inside = where < len(vocab.seen)
+    hit[inside] = vocab.seen[where[inside]] == plain[inside]
+    new = np.flatnonzero(~hit)
+    begin = np.cumsum(lens) - lens
+    place, many = candidates(vocab, symbols[T.ranges(begin[new], lens[new])], lens[new])
+    head = len(vocab.store) + np.cumsum(many) - many
+    vocab.store = np.concatenate([vocab.store, place])
+    vocab.seen_at, vocab.seen_n = np.insert(vocab.seen_at, where[new], head), np.insert(vocab.seen_n, where[new], many)
+    vocab.seen = np.insert(vocab.seen, where[new], plain[new])
+    own = np.searchsorted(vocab.seen, plain)
+    return vocab.store, vocab.seen_at[own], vocab.seen_n[own]
 
 
 def merge_one(vocab: Vocabulary, symbols: list[int], word: int, rate: float) -> tuple[list[int], list[int]]:
@@ -146,30 +221,31 @@ def merge_one(vocab: Vocabulary, symbols: list[int], word: int, rate: float) ->
     sym, end = list(symbols), list(range(1, n + 1))
     back, ahead = list(range(-1, n - 1)), [*range(1, n), -1]
     heap: list[tuple[int, int, int, int, int]] = []
+    limit = rate * float(1 << 53)
 
-    def offer(at: list[int]) -> None:
-        at = [i for i in at if i >= 0 and ahead[i] >= 0]
-        if not at:
+    def offer(i: int) -> None:
+        if i < 0 or ahead[i] < 0 or sym[i] < 0 or sym[ahead[i]] < 0:
             return
-        a, b = np.array([sym[i] for i in at]), np.array([sym[ahead[i]] for i in at])
-        merged, rank = vocab.pairs(a, b)
-        drop = skipped(np.full(len(at), word, _U), np.array(at), np.array([end[i] for i in at]), np.array([end[ahead[i]] for i in at]), rate)
-        for i, m, r, d in zip(at, merged.tolist(), rank.tolist(), drop.tolist(), strict=True):
-            if r != _NONE and not d:
-                heapq.heappush(heap, (r, i, m, end[i], end[ahead[i]]))
-
-    offer(list(range(n)))
+        j = ahead[i]
+        hit = vocab.table.get(sym[i] << 20 | sym[j])
+        if hit is not None and not (rate > 0 and _mixed(word ^ _mixed(i << 42 ^ end[i] << 21 ^ end[j])) >> 11 < limit):
+            heapq.heappush(heap, (hit[0], i, hit[1], end[i], end[j]))
+
+    for i in range(n):
+        offer(i)
+    gone = [False] * n
     while heap:
         _, i, m, middle, stop = heapq.heappop(heap)
         j = ahead[i]
-        if sym[i] is None or j < 0 or end[i] != middle or end[j] != stop:
+        if gone[i] or j < 0 or end[i] != middle or end[j] != stop:
             continue
-        sym[i], sym[j] = m, None
+        sym[i], gone[j] = m, True
         end[i], ahead[i] = end[j], ahead[j]
         if ahead[j] >= 0:
             back[ahead[j]] = i
-        offer([back[i], i])
-    live = [i for i in range(n) if sym[i] is not None]
+        offer(back[i])
+        offer(i)
+    live = [i for i in range(n) if not gone[i]]
     return [sym[i] for i in live], live
 
 
@@ -191,7 +267,7 @@ def merge_many(vocab: Vocabulary, symbols: np.ndarray, lens: np.ndarray, words:
         merged, rank = vocab.pairs(sym[pair], sym[pair + 1])
         good = np.flatnonzero(rank != _NONE)
         pair, merged, rank = pair[good], merged[good], rank[good]
-        ok = ~skipped(words[w[pair]], start[pair], stop[pair], stop[pair + 1], rate)
+        ok = ~skipped(words[w[pair]], places(start[pair], stop[pair], stop[pair + 1]), rate)
         pair, merged, rank = pair[ok], merged[ok], rank[ok]
         if not len(pair):
             done.append((sym, w, start))
@@ -220,8 +296,8 @@ def merge_many(vocab: Vocabulary, symbols: np.ndarray, lens: np.ndarray, words:
     return sym[order], w[order], start[order]
 
 
-def encode_many(vocab: Vocabulary, texts: list[str], variants: np.ndarray, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, number of ids of each)."""
+def encode_many(vocab: Vocabulary, texts: list[str], keys: np.ndarray, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, number of ids of each); ``keys`` are hashes of the texts' keys."""
     code = np.frombuffer("".join(f" {t}" if t else "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     size = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
     if not len(code):
@@ -240,23 +316,41 @@ def encode_many(vocab: Vocabulary, texts: list[str], variants: np.ndarray, rate:
     within = np.arange(len(code)) - np.repeat(start, lens)
     value = T.mix(code.astype(_U) + _U(1)) * T.powers(0x9E3779B97F4A7C15, int(lens.max()))[within]
     doc = np.searchsorted(doc_start + size, start, "right")
-    salt = T.mix(variants.astype(_U) ^ T.mix(np.array([seed], _U)))
-    word = T.mix(T.mix(np.add.reduceat(value, start) + lens.astype(_U)) ^ salt[doc])
-    kinds, first, back = np.unique(word, return_index=True, return_inverse=True)
-    at = T.ranges(start[first], lens[first])
-    sym, w, place = merge_many(vocab, vocab.initial[code[at]], lens[first], kinds, rate)
+    plain, first, kind = np.unique(T.mix(np.add.reduceat(value, start) + lens.astype(_U)), return_index=True, return_inverse=True)
+    symbols = vocab.initial[code[T.ranges(start[first], lens[first])]]
+    salt = T.mix(keys.astype(_U) ^ T.mix(np.array([seed], _U)))
+    word = T.mix(plain[kind] ^ T.mix(salt[doc] + (start - doc_start[doc]).astype(_U)))
+    rep, back = first, kind
+    if rate > 0:
+        # an occurrence's cut depends on its word and on which of the word's candidates it skips
+        place, head, many = known_candidates(vocab, plain, symbols, lens[first])
+        total = np.concatenate([[0], np.cumsum(many[kind])])
+        print_ = np.zeros(len(start), _U)
+        lo = 0
+        while lo < len(start):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PAIRS, "right")) - 1)
+            own = np.repeat(np.arange(lo, hi), many[kind[lo:hi]])
+            at = T.ranges(head[kind[lo:hi]], many[kind[lo:hi]])
+            out = skipped(word[own], place[at], rate)
+            np.add.at(print_, own[out], T.mix(place[at[out]]))
+            lo = hi
+        _, rep, back = np.unique(T.mix(plain[kind] ^ T.mix(print_)), return_index=True, return_inverse=True)
+    n_kinds = len(rep)
+    of = kind[rep]
+    at = T.ranges((np.cumsum(lens[first]) - lens[first])[of], lens[first][of])
+    sym, w, place = merge_many(vocab, symbols[at], lens[first][of], word[rep], rate)
     # symbols that are no piece become the bytes of their character
     width = np.ones(len(sym), np.int64)
     odd = np.flatnonzero((sym < 0) | (sym >= vocab.size))
     spelled: list[np.ndarray] = []
-    for c in code[start[first][w[odd]] + place[odd]].tolist():
+    for c in code[start[rep][w[odd]] + place[odd]].tolist():
         raw = chr(MARK if c == OWN_MARK else c).encode("utf-8", "surrogatepass")
         spelled.append(vocab.bytes_[list(raw)])
     width[odd] = [len(x) for x in spelled]
     ids = np.repeat(sym, width)
     if len(odd):
         ids[T.ranges((np.cumsum(width) - width)[odd], width[odd])] = np.concatenate(spelled)
-    count = np.bincount(w, weights=width, minlength=len(kinds)).astype(np.int64)
+    count = np.bincount(w, weights=width, minlength=n_kinds).astype(np.int64)
     place0 = np.cumsum(count) - count
     out = ids[T.ranges(place0[back], count[back])]
     return out, np.bincount(doc, weights=count[back], minlength=len(texts)).astype(np.int64)
@@ -272,20 +366,19 @@ def decode(vocab: Vocabulary, ids: np.ndarray) -> str:
     return decode_bytes(vocab, np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
-def _encoded(path: str | None, rate: float, seed: int, variants: int, text: str, verify: bool):
+def _encoded(path: str | None, rate: float, seed: int, text: str, verify: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path or default_model())
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
-            key = batch.column("_v").to_numpy()
-            chosen = T.mix(key.view(_U) ^ _U(seed)) % _U(variants)
+            keys = batch.column("_v").to_numpy().view(_U)
             lo = 0
             while lo < len(texts):
                 hi, held = lo, 0
                 while hi < len(texts) and (hi == lo or held + len(texts[hi]) <= CHUNK_CHARS):
                     held += len(texts[hi])
                     hi += 1
-                ids, count = encode_many(vocab, texts[lo:hi], chosen[lo:hi], rate, seed)
+                ids, count = encode_many(vocab, texts[lo:hi], keys[lo:hi], rate, seed)
                 part = batch.slice(lo, hi - lo)
                 names = [c for c in batch.schema.names if c != "_v"]
                 arrays = [part.column(c) for c in names] + [T.list_array(ids.astype(np.int32), count, pa.int32())]
@@ -298,17 +391,17 @@ def _encoded(path: str | None, rate: float, seed: int, variants: int, text: str,
     return run
 
 
-def encode(docs: DataFrame, model: str | None = None, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, key_col: str = "doc_id", text_col: str = "text", verify: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, rate: float = RATE, seed: int = SEED, key_col: str = "doc_id", text_col: str = "text", verify: bool = False) -> DataFrame:
     """Adds ids (array of int) to ``docs`` and, if asked, lossless: whether they decode to the text; columns of these names are replaced.
 
     ``model`` is the path of a model file on every executor; by default the public
-    32k vocabulary.  A text's ids depend on the text, the seed, the rate and the
-    variant that its key is dealt to, not on its neighbours or the partitioning.  Spaces
+    32k vocabulary.  A text's ids depend on the text, its key, the seed and the
+    rate, not on its neighbours or the partitioning; equal words are cut each on its own.  Spaces
     become marks and every text but the empty one starts with one more; marks
     that the text itself holds are spelled in bytes, so decoding is exact.  At
     rate 0 the ids are those of the model's own encoder for texts without marks.
 
-    Null and empty texts have no ids; a null key has a variant of its own.
+    Null and empty texts have no ids; a null key counts as the empty one.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("ids", "lossless") if verify else docs.drop("ids")
@@ -316,7 +409,7 @@ def encode(docs: DataFrame, model: str | None = None, rate: float = RATE, seed:
     key = F.col(f"_c{docs.columns.index(key_col)}").cast("string")
     keyed = rows.withColumn("_v", F.xxhash64(F.coalesce(key, F.lit(""))))
     more = ["ids", "lossless"] if verify else ["ids"]
-    out = keyed.mapInArrow(_encoded(model, rate, seed, variants, text, verify), f"{schema}, ids array<int>" + ", lossless boolean" * verify)
+    out = keyed.mapInArrow(_encoded(model, rate, seed, text, verify), f"{schema}, ids array<int>" + ", lossless boolean" * verify)
     return out.toDF(*docs.columns, *more)
 
 
