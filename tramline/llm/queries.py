@@ -27,7 +27,8 @@ def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    pages = table(spark, sf_dir, "pages")
+    return urls.judged(pages, urls.labelled(pages, table(spark, sf_dir, "labels")))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
