@@ -19,13 +19,15 @@ WEIGHTS = 1 << 16
 EPOCHS = 60
 THRESHOLD = 0.5
 LABELLERS = ("symbols", "marks", "odd_ends", "letters", "capitals", "stutter", "thrice", "runs")
+#: The kinds of bad texts that the labellers know; each kind is a class of the label model.
+KINDS = (("symbols", "marks", "odd_ends", "letters"), ("capitals",), ("stutter", "thrice", "runs"))
 ABSTAIN, BAD, GOOD = -1, 0, 1
 #: Below so many words no labeller votes.
 FEW = 8
 #: Words that the share of good texts counts for in a text's score.
 SMOOTH_WORDS = 4
-#: Share of good texts that a labeller accuses, at most.
-FALSE_ALARMS = 0.001
+#: Where expectation-maximisation starts: how often a labeller accuses good texts, bad ones of its own kind, and of others; the share of good texts.
+START = (0.05, 0.8, 0.2, 0.9)
 _U = np.uint64
 _TWICE = _U(0x2545F4914F6CDD1D)
 
@@ -110,52 +112,47 @@ def features(chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class LabelModel:
-    """Shares of the classes, and each labeller's votes given the class: shapes (2,) and (labellers, 2, 2).
-
-    Classes and votes are in the order BAD, GOOD; a labeller that abstains says nothing.
-    """
+    """Shares of the classes (good texts, then each kind of bad ones), and how often each labeller that votes accuses texts of a class: (classes, labellers)."""
 
     prior: np.ndarray
-    given: np.ndarray
+    accuses: np.ndarray
+
+    def classes(self, patterns: np.ndarray) -> np.ndarray:
+        """Probabilities of the classes of each row of votes; a labeller that abstains says nothing."""
+        log = np.log(self.prior)[None] + (patterns == BAD) @ np.log(self.accuses).T + (patterns == GOOD) @ np.log1p(-self.accuses).T
+        p = np.exp(log - log.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """Probability of GOOD of each row of votes."""
-        log = np.log(self.prior)[None, :].repeat(len(patterns), axis=0)
-        for j in range(patterns.shape[1]):
-            said = patterns[:, j] != ABSTAIN
-            log[said] += np.log(self.given[j][:, patterns[said, j]]).T
-        log -= log.max(axis=1, keepdims=True)
-        p = np.exp(log)
-        return p[:, 1] / p.sum(axis=1)
+        """Probability that the text is good."""
+        return self.classes(patterns)[:, 0]
 
     def accuracy(self) -> np.ndarray:
         """Of each labeller, when it votes: the chance that it is right."""
-        return self.prior[0] * self.given[:, 0, 0] + self.prior[1] * self.given[:, 1, 1]
+        return self.prior[0] * (1 - self.accuses[0]) + self.prior[1:] @ self.accuses[1:]
 
 
-def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> LabelModel:
+def fit_labels(patterns: np.ndarray, counts: np.ndarray, kinds: list[list[int]] | None = None, rounds: int = 300) -> LabelModel:
     """Expectation-maximisation over vote patterns with their counts.
 
-    The labellers each know some kinds of bad texts and seldom accuse a good
-    one: of good texts at most FALSE_ALARMS, which keeps a kind that few
-    labellers know from passing as good.
+    ``kinds`` are groups of labellers that know one kind of bad texts; a class
+    each, beside the good texts, so that a kind few labellers know isn't taken for good.
+    They decide only where the rounds start (START): every share and
+    rate is estimated, with half a vote of each sort and one text a class added.
     """
     m = patterns.shape[1]
-    given = np.zeros((m, 2, 2))
-    given[:, 0] = (0.5, 0.5)
-    given[:, 1] = (FALSE_ALARMS, 1 - FALSE_ALARMS)
-    model = LabelModel(np.array([0.1, 0.9]), given)
+    own = [[LABELLERS.index(x) for x in kind] for kind in KINDS] if kinds is None else kinds
+    good, known, other, share = START
+    accuses = np.full((1 + len(own), m), other)
+    accuses[0] = good
+    for k, group in enumerate(own):
+        accuses[k + 1, group] = known
+    model = LabelModel(np.array([share, *[(1 - share) / len(own)] * len(own)]), accuses)
+    bad_votes, good_votes = (patterns == BAD).astype(float), (patterns == GOOD).astype(float)
     for _ in range(rounds):
-        good = model.posterior(patterns)
-        share = np.stack([1 - good, good]) * counts
-        total = share.sum(axis=1) + 1
-        new = np.empty_like(given)
-        for j in range(m):
-            bad_votes, good_votes = (share[:, patterns[:, j] == v].sum(axis=1) + 0.5 for v in (BAD, GOOD))
-            accused = bad_votes / (bad_votes + good_votes)
-            accused[1] = min(accused[1], FALSE_ALARMS)
-            new[j] = np.stack([accused, 1 - accused], axis=1)
-        model = LabelModel(total / total.sum(), new)
+        weight = model.classes(patterns) * counts[:, None]
+        accused, cleared = weight.T @ bad_votes, weight.T @ good_votes
+        model = LabelModel((weight.sum(axis=0) + 1) / (weight.sum() + 1 + len(own)), (accused + 0.5) / (accused + cleared + 1))
     return model
 
 
@@ -221,7 +218,7 @@ class QualityModel:
         z = np.bincount(doc, weights=self.weights[(hashes % _U(WEIGHTS)).astype(np.int64)], minlength=chunk.n_docs)
         z = z / np.maximum(chunk.n_words, 1) + self.weights[WEIGHTS]
         # a few words say little: the shorter the text, the more its score is the prior's
-        z = (chunk.n_words * z + SMOOTH_WORDS * np.log(self.labels.prior[1] / self.labels.prior[0])) / (chunk.n_words + SMOOTH_WORDS)
+        z = (chunk.n_words * z + SMOOTH_WORDS * np.log(self.labels.prior[0] / (1 - self.labels.prior[0]))) / (chunk.n_words + SMOOTH_WORDS)
         return np.where(chunk.n_words > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
 
 
