@@ -33,9 +33,60 @@ def test_base_equals_brute_force(spark):
         assert 0 <= r.score <= 1
 
 
+def brute_method(text, templates, coverage):
+    """(labels, score, spans) by trying every template at every offset of the text."""
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    g, labels, score, spans = licenses.GRAM, set(), 0.0, set()
+    for name, raw in templates.items():
+        own = licenses.words_of(raw)
+        m = len(own)
+        at = {d: {j for j in range(m - g + 1) if 0 <= d + j and w[d + j : d + j + g] == own[j : j + g]} for d in range(-m, len(w))}
+        for d in [d for d, js in at.items() if js]:
+            hits = [(e, j) for e in range(d, d + licenses.NEAR + 1) for j in at.get(e, ())]
+            agree = {j + i for _, j in hits for i in range(g)}
+            inside = {e + j + i for e, j in hits for i in range(g)}
+            share = len(agree) / m
+            score = max(score, share)
+            if share >= coverage and len(inside) >= coverage * (max(inside) + 1 - min(inside)):
+                labels.add(name.partition("/")[0])
+                spans.add((name, min(inside), max(inside) + 1, share))
+    return labels, score, spans
+
+
+def damaged(rng, words):
+    """A template with words left out, put in, replaced or moved."""
+    out = []
+    for w in words:
+        r = rng.random()
+        out += [] if r < 0.04 else [w, "very"] if r < 0.08 else ["other"] if r < 0.11 else [w]
+    return out if rng.random() < 0.8 else out[len(out) // 2 :] + out[: len(out) // 2]
+
+
+def test_labels_equal_brute_force(spark):
+    rng = random.Random(6)
+    names = list(licenses.TEXTS)
+    templates = {n: licenses.TEXTS[n] for n in names}
+    rows = []
+    for i in range(70):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            parts += ["lorem", "ipsum"] * rng.randint(0, 9) + damaged(rng, licenses.words_of(licenses.TEXTS[rng.choice(names)]))
+        rows.append((i, " ".join(parts)))
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    found = 0
+    for i, t in rows:
+        labels, score, spans = brute_method(t, templates, licenses.COVERAGE)
+        phrases = {p: p for p in licenses.PHRASES}
+        assert set(filter(None, got[i].labels.split(","))) == labels | set(filter(None, got[i].base_labels.split(","))), t
+        assert abs(got[i].score - max(score, brute_method(t, phrases, 1.0)[1])) < 1e-12
+        assert {tuple(s) for s in got[i].spans} == spans
+        found += len(labels)
+    assert found > 40
+
+
 def test_templates_with_words_put_in_or_left_out(spark):
-    mit = licenses.TEMPLATES["mit"].split()
-    rows = [(0, " ".join(mit)), (1, " ".join([*mit[:8], "very", *mit[8:]])), (2, " ".join(mit[:4] + mit[6:])), (3, " ".join(mit[:6])), (4, "the quick brown fox"), (5, " ".join(mit[::-1]))]
+    mit = licenses.words_of(licenses.TEXTS["mit/grant"])
+    rows = [(0, " ".join(mit)), (1, " ".join([*mit[:8], "very", *mit[8:]])), (2, " ".join(mit[:4] + mit[6:])), (3, " ".join(mit[:20])), (4, "the quick brown fox"), (5, " ".join(mit[::-1]))]
     got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(spark, rows)).collect()}
     assert [got[i][0] for i in range(6)] == ["mit", "mit", "mit", "", "", ""]
     assert got[0][1] == 1.0 and got[1][1] > 0.9 and got[5][1] == 0.0
