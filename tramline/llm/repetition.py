@@ -33,10 +33,11 @@ def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, lis
     groups that still tie are sorted again.
     """
     n = len(symbols)
+    place = np.int32 if n < 1 << 31 else np.int64  # one is kept a doubling
     _, rank = np.unique(symbols, return_inverse=True)
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank, kind="stable").astype(place)
     # a group's rank is the place of its first suffix, so ranks of settled groups never change
-    rank = _group_ranks(rank[order], order, n)
+    rank = _group_ranks(rank[order], order, n).astype(place)
     levels = [rank]
     step = 1
     at = np.arange(n)
@@ -52,7 +53,7 @@ def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, lis
         who = order[slots]
         ahead = who + step
         second = np.where(ahead < ends[who], rank[np.minimum(ahead, n - 1)] + 1, 0)
-        key = rank[who] * (n + 1) + second
+        key = rank[who].astype(np.int64) * (n + 1) + second
         by = np.argsort(key, kind="stable")
         order = order.copy()
         order[slots] = who[by]
@@ -79,6 +80,7 @@ def neighbour_lcp(order: np.ndarray, levels: list[np.ndarray], ends: np.ndarray)
     lcp = np.zeros(n, np.int64)
     if n < 2:
         return lcp
+    order = order.astype(np.int64)
     a, b = order[:-1].copy(), order[1:].copy()
     end_a, end_b = ends[a], ends[b]
     for i in range(len(levels) - 1, -1, -1):
@@ -160,7 +162,8 @@ def repetition(docs: DataFrame, least: int = LEAST, max_covered: float = MAX_COV
     a limit speaks against it.  Both come from one suffix array per run of whole
     texts, whose symbols keep the texts apart.
 
-    Null and wordless texts have no words and fail the base.  Each row is judged
+    Null and wordless texts have no words and fail the base.  A very long text is
+    one suffix array: 4 bytes a word for each doubling up to its longest repeat.  Each row is judged
     by itself; ids may be null or repeat.  Words are compared by 64-bit hashes.
     """
     small_batches(docs.sparkSession)
