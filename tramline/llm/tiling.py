@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.dataset as ds
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._job import positional, small_batches
+from ._job import new_path, positional, small_batches
 
 #: Tokens that a match needs; seeds have this length too.
 MATCH = 4
@@ -93,14 +96,24 @@ def _tokens(items: list[tuple[int, str]], least: int) -> list[tuple[int, list[in
     return out
 
 
-def _tiled(block: list[tuple[int, str]], least: int, coverage: float, text_col: str = "text", drop_text: bool = True):
+@lru_cache(maxsize=2)
+def _block(folder: str, block: int, least: int) -> tuple[list[tuple[int, list[int], list[int]]], dict[int, list[tuple[int, int]]], np.ndarray]:
+    """Items of one block of the staged benchmark, where their seeds stand, and the seeds in order; kept by the worker."""
+    store, root = fs.FileSystem.from_uri(folder)
+    rows = ds.dataset(f"{root}/block={block}", filesystem=store, format="parquet").to_table(columns=["item", "text"])
+    items = _tokens(sorted(zip(rows.column("item").to_pylist(), rows.column("text").to_pylist(), strict=True)), least)
+    by_seed = defaultdict(list)
+    for i, (_, _, seeds) in enumerate(items):
+        for j, h in enumerate(seeds):
+            by_seed[h].append((i, j))
+    return items, by_seed, np.array(sorted(by_seed), _U)
+
+
+def _tiled(folder: str, block: int, least: int, coverage: float, text_col: str):
+    """Adds what a block's items find to items, best_item and coverage of each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _tokens(block, least)
-        by_seed = defaultdict(list)
-        for i, (_, _, seeds) in enumerate(items):
-            for j, h in enumerate(seeds):
-                by_seed[h].append((i, j))
-        known = np.array(sorted(by_seed), _U)
+        items, by_seed, known = _block(folder, block, least)
         for batch in batches:
             folded = pa.RecordBatch.from_arrays([pc.utf8_lower(batch.column(text_col))], [text_col])
             for lo, hi, chunk in T.chunks(folded, text_col, SEPARATORS):
@@ -118,48 +131,71 @@ def _tiled(block: list[tuple[int, str]], least: int, coverage: float, text_col:
                             ours.add(p)
                             theirs.add(j)
                     for (d, i), (ours, theirs) in joined.items():
-                        key, pattern, _ = items[i]
-                        need = coverage * len(pattern)
-                        # tokens in any seed bound what tiles can cover
-                        if len({j + x for j in theirs for x in range(least)}) < need:
-                            continue
-                        # only stretches of seeds can be tiled; a mark that matches nothing parts them
-                        text: list[int] = []
-                        last = None
-                        for p in sorted(ours):
-                            if last is None or p > last:
-                                text.append(-1)
-                                last = p
-                            for x in range(last, p + least):
-                                text.append(int(words[x]))
-                            last = max(last, p + least)
-                        share = sum(n for _, _, n in tile(pattern, text, least)) / len(pattern)
+                        share = _share(items[i][1], words, ours, theirs, least, coverage)
                         if share >= coverage:
-                            found[d].append((key, share))
-                best = [max(f, key=lambda x: (x[1], -x[0])) if f else (None, 0.0) for f in found]
-                names = [c for c in batch.schema.names if c != text_col or not drop_text]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c)[lo:hi] for c in names]
-                    + [pa.array([sorted(k for k, _ in f) for f in found], pa.list_(pa.int64())), pa.array([b[0] for b in best], pa.int64()), pa.array([b[1] for b in best], pa.float64())],
-                    [*names, "items", "best_item", "coverage"],
-                )
+                            found[d].append((items[i][0], share))
+                part = batch.slice(lo, hi - lo)
+                before = zip(*(part.column(c).to_pylist() for c in FOUND), strict=True)
+                merged = [_merged(old, new) for old, new in zip(before, found, strict=True)]
+                names = [c for c in batch.schema.names if c not in FOUND]
+                arrays = [pa.array([m[k] for m in merged], kind) for k, kind in enumerate((pa.list_(pa.int64()), pa.int64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + arrays, [*names, *FOUND])
 
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in blocks of bounded size; the driver holds one or two partitions at a time."""
-    block: list[tuple[int, str]] = []
-    held = 0
-    rows = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).distinct()
-    for key, text in rows.toLocalIterator():
-        block.append((key, text))
-        held += len(text) // 4 + 1
-        if held >= size:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+FOUND = ("items", "best_item", "coverage")
+
+
+def _merged(old: tuple, new: list[tuple[int, float]]) -> tuple[list[int], int | None, float]:
+    items, best, coverage = old
+    every = [*new] if best is None else [*new, (best, coverage)]
+    top = max(every, key=lambda x: (x[1], -x[0]), default=(None, 0.0))
+    return sorted([*items, *(k for k, _ in new)]), top[0], top[1]
+
+
+def _share(pattern: list[int], words: np.ndarray, ours: set[int], theirs: set[int], least: int, coverage: float) -> float:
+    """Share of an item's tokens that tiles cover; 0 where its seeds can't come to ``coverage``."""
+    if len({j + x for j in theirs for x in range(least)}) < coverage * len(pattern):
+        return 0.0
+    # only stretches of seeds can be tiled; a mark that matches nothing parts them
+    text: list[int] = []
+    last = None
+    for p in sorted(ours):
+        if last is None or p > last:
+            text.append(-1)
+            last = p
+        for x in range(last, p + least):
+            text.append(int(words[x]))
+        last = max(last, p + least)
+    return sum(n for _, _, n in tile(pattern, text, least)) / len(pattern)
+
+
+def _staged(benchmark: DataFrame, item_col: str, size: int) -> tuple[str, int]:
+    """The benchmark as a table in hashed blocks of about ``size`` tokens in the shared folder, and their number; the driver sees no text."""
+    rows = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if rows.filter("item is null").limit(1).count():
+        raise TypeError(f"{item_col} holds ids that are no whole numbers")
+    rows = rows.distinct()
+    total = rows.agg(F.sum(F.floor(F.length("text") / 4) + 1)).first()[0] or 0
+    blocks = -(-total // size)
+    folder = new_path(benchmark.sparkSession, "benchmark")
+    if blocks:
+        rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).repartition(blocks, "block").write.partitionBy("block").parquet(folder)
+    return folder, blocks
+
+
+def _searched(rows: DataFrame, schema: str, text: str, benchmark: DataFrame, item_col: str, least: int, coverage: float, block_tokens: int, only_clean: bool) -> DataFrame:
+    """``rows`` with FOUND, a pass a block."""
+    folder, blocks = _staged(benchmark, item_col, block_tokens)
+    out = rows.withColumns({"items": F.array().cast("array<bigint>"), "best_item": F.lit(None).cast("long"), "coverage": F.lit(0.0)})
+    spark = rows.sparkSession
+    for block in range(blocks):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/block={block}")
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):  # a block may have got no item
+            out = out.mapInArrow(_tiled(folder, block, least, coverage, text), f"{schema}, items array<long>, best_item long, coverage double")
+            out = out.filter(F.size("items") == 0) if only_clean else out
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MATCH, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -168,38 +204,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MATCH, cove
     Tokens are runs of letters and digits in lower case, in all scripts.  Documents meet the
     items with which they share a run of ``least`` tokens; each pair is tiled,
     and an item is held if the tiles cover ``coverage`` of its tokens, in
-    whatever order they stand in the document.  The benchmark is the query set:
-    tasks get it in blocks of about ``block_tokens`` tokens, a pass over the documents
-    a block, so its size isn't bounded.
+    whatever order they stand in the document.  The benchmark is the query set: a table in the shared folder, whose
+    hashed blocks of about ``block_tokens`` tokens the tasks read one at a time, a pass over the documents
+    a block and no shuffle, so its size isn't bounded and the driver never holds it.
 
     Null and empty texts hold nothing; items with fewer than ``least`` tokens or
-    without an id are held nowhere.  Each row is judged by itself.
+    without an id are held nowhere; ids that are no whole numbers are refused.  Each row is judged by itself.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, _row long, items array<long>, best_item long, coverage double"
-    blocks = list(_blocks(benchmark, item_col, "text", block_tokens)) or [[]]
-    parts = [rows.mapInArrow(_tiled(b, least, coverage), schema) for b in blocks]
-    out = parts[0]
-    if len(parts) > 1:
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        top = F.max(F.when(F.col("best_item").isNotNull(), F.struct("coverage", (-F.col("best_item")).alias("minus"))))
-        out = (
-            every.groupBy("_row", "_id").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), top.alias("top"))
-            .select("_id", "items", (-F.col("top.minus")).alias("best_item"), F.coalesce("top.coverage", F.lit(0.0)).alias("coverage"))
-        )
-    return out.select(F.col("_id").alias(id_col), "items", "best_item", "coverage", (F.size("items") == 0).alias("kept"))
+    out = _searched(rows, f"_id {kind}, text string", "text", benchmark, item_col, least, coverage, block_tokens, False)
+    return out.select(F.col("_id").alias(id_col), *FOUND, (F.size("items") == 0).alias("kept"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = MATCH, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The rows of ``docs``, with their columns, that hold no item; a pass a benchmark block, no shuffle."""
     small_batches(docs.sparkSession)
     rows, text, schema = positional(docs, text_col)
-    for block in _blocks(benchmark, item_col, "text", block_tokens):
-        out = rows.mapInArrow(_tiled(block, least, coverage, text, False), f"{schema}, items array<long>, best_item long, coverage double")
-        rows = out.filter(F.size("items") == 0).drop("items", "best_item", "coverage")
-    return rows.toDF(*docs.columns)
+    return _searched(rows, schema, text, benchmark, item_col, least, coverage, block_tokens, True).drop(*FOUND).toDF(*docs.columns)
