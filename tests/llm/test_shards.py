@@ -55,6 +55,13 @@ def test_slots_over_blocks(spark, monkeypatch):
     assert all(r.d == r.n == r.m + 1 for r in got)
 
 
+def test_a_row_written_very_often(spark, monkeypatch):
+    monkeypatch.setattr(shards, "COPIES", 7)
+    often = spark.range(500).select(F.lit(1).alias("g"), F.lit("same").alias("k")).unionByName(spark.range(60).select(F.lit(1).alias("g"), F.col("id").cast("string").alias("k")))
+    got = shards.numbered(often, "g", ["k"], 560, 1).collect()
+    assert sorted(r.slot for r in got) == list(range(560)) and sum(r.k == "same" for r in got) == 500
+
+
 def test_odd_rows(spark):
     got = shards.sharded(odd(spark)).collect()
     assert len(got) == 10

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SHARDS = 40
 #: Rows of one shard that are numbered by one task, about.
 BLOCK_ROWS = 20_000
+#: Copies of a row that one list holds.
+COPIES = 10_000
 
 
 def scores(key: Column, weights: Sequence[float]) -> Column:
@@ -50,18 +52,24 @@ def rendezvous(df: DataFrame, weights: Sequence[float], key: str = "doc_id", gro
 
 
 def numbered(df: DataFrame, group: str, order: Sequence[str], total: int, groups: int, name: str = "slot") -> DataFrame:
-    """Adds ``name``: 0, 1, 2 ... within each group, without gaps.
+    """Adds ``name``: 0, 1, 2 ... within each group, without gaps, in hashed blocks of about BLOCK_ROWS different rows.
 
-    Each group is cut into hashed blocks of about BLOCK_ROWS rows; a task
-    numbers a block, and offsets come from a table of block counts.  Rows equal
-    in all of ``order`` are interchangeable.
+    Equal rows are interchangeable: they are counted as one before anything is
+    dealt, and made again from their number, so however often a row
+    repeats, no task numbers its copies.  Offsets come from a table of block counts.
     """
     blocks = max(1, -(-total // (groups * BLOCK_ROWS)))
-    cut = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
-    counts = cut.groupBy(group, "_block").count()
-    offsets = counts.select(group, "_block", (F.sum("count").over(W.partitionBy(group).orderBy("_block")) - F.col("count")).alias("_before"))
-    within = F.row_number().over(W.partitionBy(group, "_block").orderBy(*order)) - 1
-    return cut.withColumn("_at", within).join(offsets, [group, "_block"]).withColumn(name, (F.col("_before") + F.col("_at")).cast("long")).drop("_block", "_at", "_before")
+    own = list(df.columns)
+    kinds = df.groupBy(*own).agg(F.count("*").alias("_copies")).withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
+    counts = kinds.groupBy(group, "_block").agg(F.sum("_copies").alias("_rows"))
+    offsets = counts.select(group, "_block", (F.sum("_rows").over(W.partitionBy(group).orderBy("_block")) - F.col("_rows")).alias("_before"))
+    within = F.sum("_copies").over(W.partitionBy(group, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col("_copies")
+    placed = kinds.withColumn("_at", within).join(offsets, [group, "_block"]).withColumn("_first", F.col("_before") + F.col("_at"))
+    # copies in two steps, so that a row's list is short
+    step = F.lit(COPIES)
+    parts = placed.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_copies") - 1) / step))))
+    each = F.sequence(F.col("_part") * step, F.least((F.col("_part") + 1) * step, F.col("_copies")) - 1)
+    return parts.withColumn("_copy", F.explode(each)).select(*own, (F.col("_first") + F.col("_copy")).cast("long").alias(name))
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
