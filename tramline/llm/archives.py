@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -92,19 +93,33 @@ def _http(payload: bytes | None, size: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + (payload or b"")
 
 
+NO_URL = "urn:none"
+
+
+def _target(url: str | None) -> tuple[str, bool]:
+    """A url as a header value, and whether it had to be escaped: what a header can't hold as it is comes back the same."""
+    if url is None:
+        return NO_URL, False
+    if url and url != NO_URL and url.isprintable() and url == url.strip():
+        return url, False
+    return "%" + quote(url, safe=""), True
+
+
 def _one(row: dict) -> bytes:
     payload = row["payload"]
     revisit = row["refers_to"] is not None
     block = _http(None if revisit else payload, len(payload))
-    url = "".join(c for c in row["url"] or "" if c.isprintable()).strip()
+    url, escaped = _target(row["url"])
     headers = {
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": f"<urn:page:{'' if row['page_id'] is None else row['page_id']}>",
         "WARC-Date": _DATE,
-        "WARC-Target-URI": url or "urn:none",
+        "WARC-Target-URI": url,
         "WARC-Payload-Digest": f"sha256:{row['payload_digest']}",
         "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}",
     }
+    if escaped:
+        headers["X-Target-Escaped"] = "percent"
     if revisit:
         headers |= {"WARC-Refers-To": f"<urn:page:{row['refers_to']}>", "WARC-Profile": _PROFILE}
     return member(headers | {"Content-Type": "application/http; msgtype=response"}, block)
@@ -146,7 +161,8 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES,
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), known(id_col).alias("_k"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("large", F.octet_length("payload") >= least)
     first = rows.filter("large").groupBy("payload_digest").agg(F.min("_k").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    linked = rows.join(first, "payload_digest", "left")
+    # payloads that can't be revisited needn't meet others: the empty ones alone may be a third of all rows
+    linked = rows.filter("large").join(first, "payload_digest", "left").unionByName(rows.filter("not large").withColumn("first", F.lit(None).cast("long")))
     # of rows that repeat the smallest id, each is a response: nothing smaller holds its payload
     refers = F.when(F.col("large") & F.col("first").isNotNull() & (F.col("_k") > F.col("first")), F.col("first"))
     made = linked.select("page_id", "url", "payload", "payload_digest", refers.alias("refers_to"))
@@ -192,7 +208,8 @@ def _row(record: Record) -> tuple:
     if h["warc-type"] == "response" and (len(body) != size or hashlib.sha256(body).hexdigest() != said):
         raise ValueError(f"payload of {h['warc-record-id']} doesn't hold")
     url = h["warc-target-uri"]
-    return _id(h["warc-record-id"]), None if url == "urn:none" else url, size, said, h["warc-type"], _id(h.get("warc-refers-to"))
+    url = unquote(url[1:]) if "x-target-escaped" in h else None if url == NO_URL else url
+    return _id(h["warc-record-id"]), url, size, said, h["warc-type"], _id(h.get("warc-refers-to"))
 
 
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
@@ -208,7 +225,8 @@ def read_archives(spark: SparkSession, folder: str, manifest: DataFrame) -> Data
 def round_trip(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """Writes ``pages`` as archives in the shared folder and reads them back.
 
-    Null html is an empty payload, a null url is left out of the record.  Null
+    Null html is an empty payload; a null url is left out of the record, and one that a header can't hold
+    (blank, line ends, control characters) is escaped there and comes back unchanged.  Null
     ids come after all others.  An empty table gives no files and no rows.
     """
     spark = pages.sparkSession
