@@ -23,12 +23,15 @@ def importable(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset and driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         kept = spark.sparkContext.getCheckpointDir()
         if kept:
             return kept
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         key = id(spark.sparkContext)
         if key not in _folders:
             _folders[key] = f"file://{tempfile.mkdtemp(prefix='tramline-')}"
