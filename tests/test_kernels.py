@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tramline.operators import graph, kernels, routing
 
@@ -23,13 +24,39 @@ def test_hull_and_circle():
         assert r >= best - 1e-9 and r <= best * 2 / math.sqrt(3) + 1e-6
 
 
-def test_cover_covers_and_keeps_apart():
-    rng = random.Random(2)
-    pts = {f"s{i:03d}": (rng.random() * 10, rng.random() * 10) for i in range(120)}
-    near = {a: {b for b in pts if b != a and math.dist(pts[a], pts[b]) <= 1} for a in pts}
-    centres = kernels.greedy_cover(sorted(pts), {a: rng.randint(0, 5) for a in pts}, near)
-    assert all(a in centres or near[a] & set(centres) for a in pts)
-    assert not any(b in near[a] for a, b in itertools.combinations(centres, 2))
+def cover_graph(seed, n=120):
+    rng = random.Random(seed)
+    pts = [(rng.random() * 10, rng.random() * 10) for _ in range(n)]
+    near = {a: {b for b in range(n) if b != a and math.dist(pts[a], pts[b]) <= 1} for a in range(n)}
+    return near, [rng.randint(0, 5) for _ in range(n)]
+
+
+def brute_cover(near, events):
+    """One pick at a time: the uncovered vertex with the most uncovered neighbours, then events, then the smaller one."""
+    left, out = set(near), []
+    while left:
+        best = min(left, key=lambda v: (-len(near[v] & left), -events[v], v))
+        out.append((best, len(near[best] & left)))
+        left -= near[best] | {best}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cover_equals_one_pick_at_a_time(seed):
+    near, events = cover_graph(seed)
+    pairs = np.array([(a, b) for a in near for b in near[a] if a < b]).reshape(-1, 2)
+    centres, degree = kernels.greedy_cover(len(near), np.array(events), pairs[:, 0], pairs[:, 1])
+    assert list(zip(centres.tolist(), degree.tolist(), strict=True)) == brute_cover(near, events)
+
+
+def test_cover_by_joins_equals_the_kernel(spark, monkeypatch):
+    near, events = cover_graph(9, 60)
+    stops = spark.createDataFrame([(f"s{v:03d}", e) for v, e in enumerate(events)], "stop_id string, events long")
+    pairs = spark.createDataFrame([(f"s{a:03d}", f"s{b:03d}") for a in near for b in near[a] if a < b], "a string, b string")
+    expected = {(f"s{v:03d}", events[v], d) for v, d in brute_cover(near, events)}
+    assert {tuple(r) for r in kernels.cover(stops, pairs).collect()} == expected
+    monkeypatch.setattr(kernels, "KERNEL_PAIRS", 0)
+    assert {tuple(r) for r in kernels.cover(stops, pairs).select("stop_id", "events", "degree").collect()} == expected
 
 
 def test_simplified_lines_stay_near():
@@ -98,26 +125,57 @@ def brute(events, walks, start, depart, legs, slack):
     return best
 
 
-def test_rounds_and_kernel_equal_brute_force(spark):
+def day_frames(spark, origin, time):
     events, walks = day()
-    expected = brute(events, walks, "s00", 0, 5, 30)
-    origins = spark.createDataFrame([("o", "s00", 0)], "origin_id string, stop_id string, dep_s long")
-    got = routing.rounds(spark.createDataFrame(events), spark.createDataFrame(walks), origins, slack=30)
-    assert {r.stop_id: r.arr_s for r in got.collect()} == expected
-    table = routing.Timetable.of(events, walks)
-    best = table.earliest(["s00"], 0, slack=30)
-    assert {s: b[0] for s, b in best.items()} == expected
-    for s in best:
-        steps = table.journey(best, s)
-        assert (not steps and s == "s00") or (steps[0][1] == "s00" and steps[-1][2] == s)
-
-
-def test_latest_mirrors_earliest():
+    return spark.createDataFrame(events), spark.createDataFrame(walks), spark.createDataFrame([("o", origin, time), ("far", "nowhere", 7)], "origin_id string, stop_id string, dep_s long")
+
+
+def test_rounds_and_kernel_equal_brute_force(spark):
+    events, walks, origins = day_frames(spark, "s00", 0)
+    expected = brute(*day(), "s00", 0, 5, 30)
+    got = {r.stop_id: (r.arr_s, r.legs) for r in routing.rounds(events, walks, origins, slack=30).filter("origin_id = 'o'").collect()}
+    kernel = routing.journeys(events, walks, origins, slack=30).collect()
+    assert {s: t for s, (t, _) in got.items()} == expected
+    assert {r.stop_id: (r.arr_s, r.legs) for r in kernel if r.origin_id == "o"} == got
+    assert [(r.stop_id, r.arr_s, r.legs) for r in kernel if r.origin_id == "far"] == [("nowhere", 7, 0)]
+
+
+def test_steps_are_journeys():
+    """Each step is a walk of the table or a ride that a trip makes, and the times add up."""
     events, walks = day()
-    table = routing.Timetable.of(events, walks)
-    late = table.latest(["s03"], 3600, slack=30)
+    net = routing.Network(events, walks)
+    best = net.earliest(net.stops.get_indexer(["s00", "s04"]), np.array([0, 500]), slack=30)
+    trips = [v.sort_values("seq").to_dict("records") for _, v in events.groupby("trip_id")]
+    hop = {(r.from_stop, r.to_stop): r.walk_s for r in walks.itertuples()}
+    for column, (origin, start) in enumerate([("s00", 0), ("s04", 500)]):
+        for stop in np.flatnonzero(best.arrival[:, column] < routing.NEVER):
+            at, t, rides = origin, start, 0
+            for how, a, b in net.steps(best, stop, column):
+                assert a == at
+                if how == "walk":
+                    t += hop[a, b]
+                else:
+                    rides += 1
+                    t = min(off["arr_s"] for rows in trips for i, on in enumerate(rows) if on["stop_id"] == a and on["dep_s"] >= t + 30 for off in rows[i + 1 :] if off["stop_id"] == b)
+                at = b
+            assert at == net.stops[stop] and t <= best.arrival[stop, column] and rides <= 5
+
+
+def test_trips_that_overtake_are_apart():
+    events = pd.DataFrame([(1, "a", 0, 0, 10), (1, "b", 1, 900, 900), (2, "a", 0, 0, 20), (2, "b", 1, 100, 100)], columns=["trip_id", "stop_id", "seq", "arr_s", "dep_s"])
+    net = routing.Network(events, pd.DataFrame({"from_stop": [], "to_stop": [], "walk_s": []}))
+    best = net.earliest(net.stops.get_indexer(["a"]), np.array([0]), slack=0)
+    assert len(net.chains) == 2 and best.arrival[net.stops.get_loc("b"), 0] == 100
+
+
+def test_latest_departures(spark):
+    """Leaving then, one is there in time; a second later, one isn't. Both forms agree."""
+    events, walks, targets = day_frames(spark, "s03", 3600)
+    late = {r.stop_id: r.dep_s for r in routing.latest(events, walks, targets, slack=30).filter("origin_id = 'o'").collect()}
+    kernel = {r.stop_id: r.arr_s for r in routing.journeys(events, walks, targets, slack=30, backward=True).collect() if r.origin_id == "o"}
+    assert kernel == late and len(late) > 5
     for s, t in late.items():
-        assert table.earliest([s], t - 30, slack=30).get("s03", (10**9,))[0] <= 3600
+        assert brute(*day(), s, t - 30, 5, 30).get("s03", 10**9) <= 3600
 
 
 def test_representative_points_lie_inside():

@@ -1,31 +1,67 @@
-"""Names, clock times, dates and JSON as column expressions."""
+"""Names, clock times, dates, JSON and wording as column expressions."""
 
 from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import numeric
+
+# Colour names of tags, words for directions and shapes, plurals.
+CSS_COLOURS = {
+    "aqua": "00FFFF", "black": "000000", "blue": "0000FF", "brown": "A52A2A", "cyan": "00FFFF", "darkblue": "00008B", "darkgreen": "006400", "darkred": "8B0000", "fuchsia": "FF00FF",
+    "gold": "FFD700", "gray": "808080", "green": "008000", "grey": "808080", "lightblue": "ADD8E6", "lime": "00FF00", "magenta": "FF00FF", "maroon": "800000", "navy": "000080", "olive": "808000",
+    "orange": "FFA500", "pink": "FFC0CB", "purple": "800080", "red": "FF0000", "silver": "C0C0C0", "teal": "008080", "violet": "EE82EE", "white": "FFFFFF", "yellow": "FFFF00",
+}
+DIRECTIONS = {"0": "outbound", "1": "inbound"}
+SHAPES = {"radial-hub": "hub-and-spoke", "semi-radial": "partly hub-and-spoke", "polycentric": "multi-centred"}
+PLURALS = {"library": "libraries", "water": "bodies of water", "high_speed_rail": "high-speed rail lines", "commercial_airport": "commercial airports", "foreign_consulate": "foreign consulates", "rail_station": "rail stations"}
+#: Seconds that an interval tag may stand for.
+LEAST_INTERVAL_S, MOST_INTERVAL_S = 120, 7200
+M_PER_MILE, M_PER_KM, SQM_PER_SQMI = 1609.344, 1000.0, 1609.344 * 1609.344
+
+
+def _looked_up(key: Column, table: dict[str, str]) -> Column:
+    pairs = [F.lit(x) for kv in table.items() for x in kv]
+    return F.try_element_at(F.create_map(*pairs), key)
+
 
 def base_name(name: Column) -> Column:
-    """A stop's name without a direction in brackets at its end."""
-    return F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s*\((NB|SB|EB|WB)\)\s*$", ""))
+    """A stop's name without a direction in brackets at its very end."""
+    return F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"\s*\((NB|SB|EB|WB)\)$", ""))
 
 
 def seconds(text: Column) -> Column:
-    """Seconds of an H:MM:SS clock, which may pass 24 hours; null for anything else."""
+    """Seconds of an H:MM:SS clock, which may pass 24 hours; null for a blank, an error for anything else."""
     t = F.trim(text)
-    parts = F.split(t, ":")
-    good = t.rlike(r"^\d{1,3}:[0-5]\d:[0-5]\d$")
-    return F.when(good, parts[0].try_cast("int") * 3600 + parts[1].try_cast("int") * 60 + parts[2].try_cast("int"))
+    parts = F.transform(F.split(t, ":"), lambda x: F.trim(x))
+    good = (F.size(parts) == 3) & F.forall(parts, lambda x: x.rlike(r"^[+-]?\d+$"))
+    whole = F.aggregate(parts, F.lit(0).cast("long"), lambda total, x: total * 60 + x.try_cast("long"))
+    # hours and minutes of one sign are the rule, so the sum is the same as part by part
+    return F.when(F.coalesce(t, F.lit("")) == "", F.lit(None)).when(good, whole.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no clock time: "), text)).cast("int"))
+
+
+def _clock(s: Column) -> tuple[Column, Column, Column]:
+    whole = numeric.half_up(s, 0).cast("long")
+    rest = F.pmod(whole, F.lit(3600))
+    two = lambda x: F.format_string("%02d", x)
+    return F.floor(whole / 3600).cast("string"), two(F.floor(rest / 60)), two(F.pmod(whole, F.lit(60)))
 
 
 def hhmm(s: Column) -> Column:
-    """HH:MM of seconds since the service day began; hours don't wrap."""
-    return F.concat(F.lpad(F.floor(s / 3600).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(s / 60) % 60).cast("string"), 2, "0"))
+    """H:MM of seconds since the service day began; hours aren't padded and don't wrap."""
+    hours, minutes, _ = _clock(s)
+    return F.concat(hours, F.lit(":"), minutes)
+
+
+def hhmmss(s: Column) -> Column:
+    """H:MM:SS, as hhmm()."""
+    return F.concat_ws(":", *_clock(s))
 
 
 def date8(text: Column) -> Column:
@@ -34,20 +70,37 @@ def date8(text: Column) -> Column:
     return F.when(t.rlike(r"^\d{8}$"), F.try_to_timestamp(t, F.lit("yyyyMMdd")).cast("date"))
 
 
+def pretty_date(day: Column) -> Column:
+    """``Mon 1 Jan 2024``."""
+    return F.date_format(day, "EEE d MMM yyyy")
+
+
+def window_monday(text: Column, fallback: str) -> Column:
+    """The Monday of the week of a date in eight digits, with or without dashes; of ``fallback`` for a blank, null for anything else."""
+    t = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), "-", "")
+    day = date8(F.when(t == "", F.lit(fallback)).otherwise(t))
+    return F.date_sub(day, F.weekday(day))
+
+
+def day_count(start: Column, end: Column) -> Column:
+    """Days from one eight-digit date to another, both counted; 0 if one isn't a date."""
+    return F.coalesce(F.datediff(date8(end), date8(start)) + 1, F.lit(0))
+
+
 def interval_s(text: Column) -> Column:
-    """Seconds of an interval tag: minutes, or H:MM or H:MM:SS; null if it is none or not positive."""
+    """Seconds of an interval tag: minutes, or H:MM or H:MM:SS; null if it is none or out of bounds."""
     t = F.trim(text)
     p = F.split(t, ":")
-    n = lambda i: p[i].try_cast("int")
-    s = F.when(t.rlike(r"^\d+$"), t.try_cast("int") * 60).when(t.rlike(r"^\d+:\d{2}$"), n(0) * 3600 + n(1) * 60).when(t.rlike(r"^\d+:\d{2}:\d{2}$"), n(0) * 3600 + n(1) * 60 + n(2))
-    return F.when(s > 0, s)
+    n = lambda i: F.get(p, F.lit(i)).try_cast("long")
+    s = F.when(t.rlike(r"^\d+$"), t.try_cast("long") * 60).when(t.rlike(r"^\d+:\d{2}$"), n(0) * 3600 + n(1) * 60).when(t.rlike(r"^\d+:\d{2}:\d{2}$"), n(0) * 3600 + n(1) * 60 + n(2))
+    return F.when(s.between(LEAST_INTERVAL_S, MOST_INTERVAL_S), s.cast("int"))
 
 
 def colour(text: Column) -> Column:
-    """Six upper-case hex digits of a colour tag of three or six; null for anything else."""
-    t = F.upper(F.regexp_replace(F.trim(text), "^#", ""))
-    twice = F.regexp_replace(t, "(.)", "$1$1")
-    return F.when(t.rlike("^[0-9A-F]{6}$"), t).when(t.rlike("^[0-9A-F]{3}$"), twice)
+    """Six upper-case hex digits of a colour tag: six digits, # and three, or a colour's name; null for anything else."""
+    t = F.trim(text)
+    plain = F.upper(F.regexp_replace(t, "^#", ""))
+    return F.when(t.rlike("^#?[0-9A-Fa-f]{6}$"), plain).when(t.rlike("^#[0-9A-Fa-f]{3}$"), F.regexp_replace(plain, "(.)", "$1$1")).otherwise(_looked_up(F.lower(t), CSS_COLOURS))
 
 
 @F.pandas_udf(StringType())
@@ -57,6 +110,160 @@ def place_key(names: pd.Series) -> pd.Series:
     return plain.map(lambda x: None if x is None else " ".join(x.lower().split()))
 
 
+@F.pandas_udf(StringType())
+def composed_name(names: pd.Series) -> pd.Series:
+    """Composed characters (NFC), spaces squeezed, case kept; null is blank."""
+    return names.map(lambda x: "" if x is None else " ".join(unicodedata.normalize("NFC", x).split()))
+
+
+def stable_hashes(texts: list[str]) -> list[str]:
+    """Two 32-bit lanes over UTF-16 units, as 16 hex digits; all texts advance by a unit at a time."""
+    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2") for t in texts]
+    lens = np.array([len(u) for u in units], np.int64)
+    order = np.argsort(-lens, kind="stable")
+    flat = np.concatenate(units).astype(np.uint32) if len(units) else np.zeros(0, np.uint32)
+    start = (np.cumsum(lens) - lens)[order]
+    a, b = np.full(len(texts), 0x811C9DC5, np.uint32), np.full(len(texts), 0x01000193, np.uint32)
+    longer = lens[order]
+    for i in range(int(lens.max(initial=0))):
+        n = int(np.searchsorted(-longer, -i))  # texts with a unit i
+        c = flat[start[:n] + i]
+        a[:n] = (a[:n] ^ c) * np.uint32(0x01000193)
+        x = (b[:n] ^ (c + np.uint32(i))) * np.uint32(0x85EBCA6B)
+        b[:n] = x << np.uint32(13) | x >> np.uint32(19)
+    out = [""] * len(texts)
+    for place, one, two in zip(order.tolist(), a.tolist(), b.tolist(), strict=True):
+        out[place] = f"{one:08x}{two:08x}"
+    return out
+
+
+@F.pandas_udf(StringType())
+def stable_hash(texts: pd.Series) -> pd.Series:
+    """stable_hashes() of a column; null stays null."""
+    full = texts[texts.notna()]
+    return pd.Series(stable_hashes(full.tolist()), index=full.index, dtype=object).reindex(texts.index)
+
+
 def sorted_json(**columns: Column) -> Column:
     """JSON of the columns with sorted keys."""
     return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]))
+
+
+def cap_word(text: Column) -> Column:
+    """The first character in upper case, the rest as it is."""
+    t = F.coalesce(text, F.lit(""))
+    return F.concat(F.upper(F.substring(t, 1, 1)), F.substr(t, F.lit(2)))
+
+
+def explain_text(lead: Column, detail: Column) -> Column:
+    """A lead that ends in a stop, then the detail; either may be blank."""
+    a, b = F.trim(F.coalesce(lead, F.lit(""))), F.trim(F.coalesce(detail, F.lit("")))
+    head = F.when(a.rlike("""[.!?…]['"’”)]*$"""), a).otherwise(F.concat(a, F.lit(".")))
+    return F.when(a == "", b).when(b == "", head).otherwise(F.concat(head, F.lit(" "), b))
+
+
+def joined_words(words: Column) -> Column:
+    """``A``, ``A and B`` or ``A, B and C`` of an array."""
+    n = F.size(words)
+    return F.when(n < 1, "").when(n == 1, F.get(words, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.get(words, n - 1)))
+
+
+def noun(category: Column, label: Column, count: Column) -> Column:
+    """A category's label in lower case (its key in words without one), plural but for one."""
+    key = F.coalesce(category, F.lit(""))
+    one = F.lower(F.coalesce(label, F.replace(key, F.lit("_"), F.lit(" "))))
+    return F.when(count == 1, one).otherwise(F.coalesce(_looked_up(key, PLURALS), F.concat(one, F.lit("s"))))
+
+
+def direction_word(direction: Column) -> Column:
+    key = F.coalesce(direction.cast("string"), F.lit(""))
+    return F.coalesce(_looked_up(key, DIRECTIONS), F.concat(F.lit("direction "), key))
+
+
+def shape_word(shape: Column) -> Column:
+    key = F.coalesce(shape, F.lit(""))
+    return F.coalesce(_looked_up(key, SHAPES), F.replace(key, F.lit("-"), F.lit(" ")))
+
+
+def fare(price: Column, currency: Column) -> Column:
+    """A price to two places, if it is one, and its currency in capitals."""
+    raw = F.trim(F.coalesce(price, F.lit("")))
+    amount = F.when(raw.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), number(raw.try_cast("double"), 2)).otherwise(raw)
+    return F.trim(F.concat(amount, F.lit(" "), F.upper(F.trim(F.coalesce(currency, F.lit(""))))))
+
+
+def number(x: Column, places: int = 0, comma: bool = True) -> Column:
+    """Digits with ``places`` decimals, halves away from zero on the shortest decimal text; a negative that rounds to nothing keeps its sign."""
+    rounded = F.abs(numeric.half_up(x, places, as_double=False)).cast(f"decimal(38,{places})")
+    body = F.format_number(rounded, places) if comma else rounded.cast("string")
+    return F.concat(F.when(x < 0, "-").otherwise(""), body)
+
+
+def percent(share: Column, places: int = 1) -> Column:
+    return F.concat(number(share * 100, places, comma=False), F.lit("%"))
+
+
+def minutes(x: Column, places: int = 0) -> Column:
+    return F.concat(number(x, places), F.lit(" min"))
+
+
+def kilometres(metres: Column, places: int = 1) -> Column:
+    return F.concat(number(metres / M_PER_KM, places), F.lit(" km"))
+
+
+def square_miles(square_metres: Column, places: int = 1) -> Column:
+    return F.concat(number(square_metres / SQM_PER_SQMI, places), F.lit(" sq mi"))
+
+
+def _miles(metres: Column, places: int) -> Column:
+    text = number(metres / M_PER_MILE, places)
+    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
+def miles(metres: Column, places: int = 2) -> Column:
+    """Miles without the decimals that say nothing."""
+    return F.concat(_miles(metres, places), F.lit(" mi"))
+
+
+def miles_range(lo: Column, hi: Column, places: int = 2) -> Column:
+    return F.concat(_miles(lo, places), F.lit("–"), miles(hi, places))
+
+
+def natural_key(text: Column) -> Column:
+    """A key by which runs of digits sort as numbers, the rest in lower case, and the text itself last."""
+    parts = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), 1)
+    blank = F.array(F.lit(""))
+    parts = F.concat(F.when(text.rlike(r"^\d"), blank).otherwise(F.array().cast("array<string>")), parts, F.when(text.rlike(r"(\d|^)$"), blank).otherwise(F.array().cast("array<string>")))
+    part = lambda x: F.struct(x.rlike(r"^\d+$").cast("int").alias("tag"), F.when(x.rlike(r"^\d+$"), x.try_cast("decimal(38,0)")).alias("number"), F.when(~x.rlike(r"^\d+$"), F.lower(x)).alias("text"))
+    whole = F.array(F.struct(F.lit(0).alias("tag"), F.lit(None).cast("decimal(38,0)").alias("number"), text.alias("text")))
+    return F.concat(F.transform(parts, part), whole)
+
+
+def class_key(value: Column, kind: str) -> Column:
+    """A type-tagged key of an answer: null, ``n:`` a number, ``b:`` a truth value, ``s:`` a quoted text, ``a:[...]`` a list of texts."""
+    quoted = lambda x: F.concat(F.lit("s:"), F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", ""))
+    if kind == "number":
+        d = value.cast("double")
+        key = F.concat(F.lit("n:"), F.when(d == F.floor(d), F.floor(d).cast("string")).otherwise(d.cast("string")))
+    elif kind == "boolean":
+        key = F.when(value, "b:1").otherwise("b:0")
+    elif kind == "texts":
+        key = F.concat(F.lit("a:["), F.array_join(F.transform(value, lambda x: F.when(x.isNull(), "null").otherwise(quoted(x))), ","), F.lit("]"))
+    else:
+        key = quoted(value)
+    return F.when(value.isNull(), "null").otherwise(key)
+
+
+def is_http_url(text: Column) -> Column:
+    return F.coalesce(text.startswith("http://") | text.startswith("https://"), F.lit(False))
+
+
+def osm_identity(kind: Column, ident: Column) -> Column:
+    """(kind, id) of a feature: from a kind and an id, or from an id that starts with the kind's letter; null if neither holds."""
+    raw = F.coalesce(ident.cast("string"), F.lit(""))
+    lead = lambda x: F.regexp_extract(x, r"^\s*([+-]?\d+)", 1).try_cast("long")
+    letter = _looked_up(F.substring(raw, 1, 1), {"n": "node", "w": "way", "r": "relation"})
+    both = kind.isNotNull() & ident.isNotNull()
+    own = F.when(both, F.when(kind.isin("node", "way", "relation"), kind)).otherwise(letter)
+    number_ = F.when(both, lead(raw)).otherwise(lead(F.substr(raw, F.lit(2))))
+    return F.when(own.isNotNull() & number_.isNotNull(), F.struct(own.alias("kind"), number_.alias("id")))

@@ -5,7 +5,6 @@ Each runs on one group, or on partitions whose partial results are small.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import clusters
+from ..stage import dropped, staged
 
 
 def hull_points(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
@@ -98,36 +97,92 @@ def enclosing_circle(points: DataFrame) -> DataFrame:
     return hull(points).groupBy().applyInPandas(one, "x_cm long, y_cm long, radius_cm long")
 
 
-def greedy_cover(ids: list[str], events: dict[str, int], near: dict[str, set[str]]) -> list[str]:
-    """Centres that cover all ids: most uncovered neighbours first, then most events, then the smaller id."""
-    left = set(ids)
-    heap = [(-len(near.get(i, ())), -events[i], i) for i in ids]
-    heapq.heapify(heap)
-    out = []
-    while heap:
-        degree, e, i = heapq.heappop(heap)
-        if i not in left:
-            continue
-        now = -len(near.get(i, set()) & left)
-        if now != degree:
-            heapq.heappush(heap, (now, e, i))
-            continue
-        out.append(i)
-        left -= near.get(i, set()) | {i}
-    return out
-
-
-def cover(stops: DataFrame, pairs: DataFrame, radius: float) -> DataFrame:
-    """(stop_id, place) of the centres of a greedy radius cover; components of the radius graph are independent."""
-    linked = pairs.select("a", "b").union(pairs.select("b", "a")).groupBy("a").agg(F.collect_set("b").alias("near")).withColumnRenamed("a", "stop_id")
-    rows = clusters(stops, "stop_id", pairs).join(stops.select("stop_id", "events"), "stop_id").join(linked, "stop_id", "left")
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        near = {i: set() if n is None else set(n) for i, n in zip(frame.stop_id, frame.near, strict=True)}
-        centres = greedy_cover(list(frame.stop_id), dict(zip(frame.stop_id, frame.events, strict=True)), near)
-        return pd.DataFrame({"component": frame.cluster.iloc[0], "place": range(len(centres)), "stop_id": centres})
-
-    return rows.groupBy("cluster").applyInPandas(one, "component string, place int, stop_id string")
+#: Pairs of a radius graph that one task can hold.
+KERNEL_PAIRS = 5_000_000
+
+
+def greedy_cover(n: int, events: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, their uncovered neighbours when picked) of 0..n-1 under the pairs (a, b), in the order of a greedy cover.
+
+    Greedy takes the vertex with the most uncovered neighbours, then the most events, then
+    the smaller number.  A pick changes nothing beyond two steps, so every vertex
+    that is first within two steps can be picked at once, and the picks are sorted at the end.
+    """
+    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
+    open_ = np.ones(n, bool)
+    centres, degrees = [], []
+    while open_.any():
+        live = open_[src] & open_[dst]
+        src, dst = src[live], dst[live]
+        degree = np.bincount(src, minlength=n)
+        place = np.empty(n, np.int64)
+        place[np.lexsort((np.arange(n), -events, -degree))] = np.arange(n)
+        place[~open_] = n
+        one = place.copy()
+        np.minimum.at(one, src, place[dst])
+        two = one.copy()
+        np.minimum.at(two, src, one[dst])
+        picked = open_ & (place == two)
+        centres.append(np.flatnonzero(picked))
+        degrees.append(degree[picked])
+        open_ &= ~picked
+        open_[dst[picked[src]]] = False
+    if not centres:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found, degree = np.concatenate(centres), np.concatenate(degrees)
+    order = np.lexsort((found, -events[found], -degree))
+    return found[order], degree[order]
+
+
+def cover(stops: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(stop_id, events, degree) of the centres of a greedy radius cover; degree is what they newly cover, and
+    their order is degree, then events, both descending, then the smaller id.
+
+    A graph of at most KERNEL_PAIRS pairs goes through one task's arrays, a larger one through
+    rounds of joins; both pick every vertex that is first within two steps.
+    """
+    links, links_at = staged(pairs.select("a", "b"), "pairs")
+    if links.count() > KERNEL_PAIRS:
+        return _cover_rounds(stops.select("stop_id", "events"), links)
+    kind = dict(stops.dtypes)["stop_id"]
+
+    def one(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("stop_id").reset_index(drop=True)
+        at = pd.Index(nodes.stop_id)
+        events = nodes.events.to_numpy(np.int64)
+        centres, degree = greedy_cover(len(nodes), events, at.get_indexer(edges.a), at.get_indexer(edges.b))
+        return pd.DataFrame({"stop_id": nodes.stop_id.to_numpy()[centres], "events": events[centres], "degree": degree})
+
+    return stops.select("stop_id", "events").groupBy().cogroup(links.groupBy()).applyInPandas(one, f"stop_id {kind}, events long, degree long")
+
+
+def _cover_rounds(stops: DataFrame, links: DataFrame) -> DataFrame:
+    """cover() by joins: each round picks the vertices that are first within two steps and takes them and their neighbours out."""
+    both, at = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "ends")
+    left, left_at = staged(stops, "open")
+    done = None
+    while not left.isEmpty():
+        degree = both.groupBy(F.col("a").alias("stop_id")).agg(F.count("*").alias("degree"))
+        keyed = left.join(degree, "stop_id", "left").select("stop_id", F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), (-F.col("events")).alias("e"), "stop_id").alias("key"))
+        ranked, ranked_at = staged(keyed, "keys")
+        one = _least(ranked, both, "key")
+        two = _least(one, both, "key").withColumnRenamed("key", "least")
+        picked, _ = staged(ranked.join(two, "stop_id").filter("key = least").select("stop_id", (-F.col("key.e")).alias("events"), (-F.col("key.d")).alias("degree")), "centres")
+        done = picked if done is None else done.unionByName(picked)
+        gone = picked.select("stop_id").unionByName(both.join(picked.select(F.col("stop_id").alias("a")), "a", "left_semi").select(F.col("b").alias("stop_id"))).distinct()
+        gone, _ = staged(gone, "covered")
+        left, new_at = staged(left.join(gone, "stop_id", "left_anti"), "open")
+        kept = both.join(gone.withColumnRenamed("stop_id", "a"), "a", "left_anti").join(gone.withColumnRenamed("stop_id", "b"), "b", "left_anti")
+        both, both_at = staged(kept, "ends")
+        dropped(stops.sparkSession, at, left_at, ranked_at)
+        at, left_at = both_at, new_at
+    return done if done is not None else stops.select("stop_id", "events", F.lit(0).cast("long").alias("degree"))
+
+
+def _least(rows: DataFrame, both: DataFrame, value: str) -> DataFrame:
+    """The smallest value of each vertex and its neighbours."""
+    near = both.join(rows.withColumnRenamed("stop_id", "b"), "b").select(F.col("a").alias("stop_id"), value)
+    return rows.unionByName(near).groupBy("stop_id").agg(F.min(value).alias(value))
 
 
 def rdp(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:

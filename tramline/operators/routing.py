@@ -1,196 +1,244 @@
-"""Earliest arrivals and latest departures over a service day.
-
-Two forms.  ``rounds`` is relational: per round, every trip is boarded at its
-first stop that is reached in time, later stops take its times, then one walk.
-``journeys`` is a kernel per origin on a timetable that fits a task; it boards the
-trip that leaves first, walks in stop order, and remembers how it came.
+"""Earliest arrivals and latest departures over a service day, in rounds of one ride and one walk.
+
+Both forms follow the published round-based algorithm: a round boards with the
+labels of the rounds before it, and a walk follows only a ride that improved its
+stop in the same round.  ``rounds`` is relational and holds at any size.
+``journeys`` is an array kernel: all origins of a task advance together along one
+chain of trips after the other, on a timetable that a task reads from the shared folder.
+Latest departures are earliest arrivals of the day run backwards, in either form.
 """
 
 from __future__ import annotations
 
-import bisect
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..stage import dropped, staged
+from ..stage import dropped, new_path, staged
 
 LEGS = 5
 SLACK_S = 120
-#: Stop events of a timetable that one task can hold.
-KERNEL_EVENTS = 5_000_000
+NEVER = 1 << 60
+STEPS = 512
+
+
+def mirrored(events: DataFrame, walks: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The day run backwards: what arrives by ``dep_s`` at the targets leaves there; times are negated."""
+    back = events.select("trip_id", "stop_id", (-F.col("seq")).alias("seq"), (-F.col("dep_s")).alias("arr_s"), (-F.col("arr_s")).alias("dep_s"))
+    return back, walks.select(F.col("to_stop").alias("from_stop"), F.col("from_stop").alias("to_stop"), "walk_s"), targets.withColumn("dep_s", -F.col("dep_s"))
 
 
 def rounds(events: DataFrame, walks: DataFrame, origins: DataFrame, legs: int = LEGS, slack: int = SLACK_S) -> DataFrame:
     """(origin_id, stop_id, arr_s, legs): earliest arrivals from origins (origin_id, stop_id, dep_s).
 
     ``events`` are (trip_id, stop_id, seq, arr_s, dep_s), ``walks`` (from_stop, to_stop,
-    walk_s).  A walk follows only a ride of the same round that improved its stop.
+    walk_s).  A round boards at the stops that the round before improved only: others have been boarded at.
     """
-    spark = events.sparkSession
     events, events_at = staged(events.select("trip_id", "stop_id", "seq", "arr_s", "dep_s"), "events")  # read twice a round
     walks, walks_at = staged(walks, "walks")
-    start = origins.select("origin_id", "stop_id", F.col("dep_s").alias("arr_s"), F.lit(0).alias("legs"))
-    first = start.join(walks, F.col("stop_id") == F.col("from_stop")).select("origin_id", F.col("to_stop").alias("stop_id"), (F.col("arr_s") + F.col("walk_s")).alias("arr_s"), F.lit(0).alias("legs"))
-    best = _earliest(start.unionByName(first))
-    best, at = staged(best, "arrivals")
+    start = origins.select("origin_id", "stop_id", F.col("dep_s").cast("long").alias("arr_s"), F.lit(0).alias("legs"))
+    best, at = staged(_earliest(start.unionByName(_walked(start, walks))), "arrivals")
     for k in range(1, legs + 1):
-        ready = best.select("origin_id", "stop_id", (F.col("arr_s") + slack).alias("ready_s"))
+        ready = best.filter(F.col("legs") == k - 1).select("origin_id", "stop_id", (F.col("arr_s") + slack).alias("ready_s"))
         board = ready.join(events, "stop_id").filter("dep_s >= ready_s").groupBy("origin_id", "trip_id").agg(F.min("seq").alias("on"))
-        ride = board.join(events, "trip_id").filter(F.col("seq") > F.col("on")).groupBy("origin_id", "stop_id").agg(F.min("arr_s").alias("arr_s"))
+        ride = board.join(events, "trip_id").filter(F.col("seq") > F.col("on")).groupBy("origin_id", "stop_id").agg(F.min("arr_s").cast("long").alias("arr_s"))
         old = best.select("origin_id", "stop_id", F.col("arr_s").alias("old"))
         better = ride.join(old, ["origin_id", "stop_id"], "left").filter("old is null or arr_s < old").select("origin_id", "stop_id", "arr_s", F.lit(k).alias("legs"))
-        walk = better.join(walks, F.col("stop_id") == F.col("from_stop")).select("origin_id", F.col("to_stop").alias("stop_id"), (F.col("arr_s") + F.col("walk_s")).alias("arr_s"), "legs")
-        new, new_at = staged(_earliest(best.unionByName(better).unionByName(walk)), "arrivals")
-        dropped(spark, at)
+        new, new_at = staged(_earliest(best.unionByName(better).unionByName(_walked(better, walks))), "arrivals")
+        dropped(events.sparkSession, at)
         best, at = new, new_at
         if best.filter(F.col("legs") == k).isEmpty():  # nothing got better, so nothing will
             break
-    dropped(spark, events_at, walks_at)
+    dropped(events.sparkSession, events_at, walks_at)
     return best
 
 
+def _walked(rows: DataFrame, walks: DataFrame) -> DataFrame:
+    return rows.join(walks, F.col("stop_id") == F.col("from_stop")).select("origin_id", F.col("to_stop").alias("stop_id"), (F.col("arr_s") + F.col("walk_s")).alias("arr_s"), "legs")
+
+
 def _earliest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("origin_id", "stop_id").agg(F.min(F.struct("arr_s", "legs")).alias("m")).select("origin_id", "stop_id", "m.arr_s", "m.legs")
 
 
+def latest(events: DataFrame, walks: DataFrame, targets: DataFrame, legs: int = LEGS, slack: int = SLACK_S) -> DataFrame:
+    """(origin_id, stop_id, dep_s, legs): the latest departures that still reach targets (origin_id, stop_id, dep_s: to be there by)."""
+    return rounds(*mirrored(events, walks, targets), legs, slack).select("origin_id", "stop_id", (-F.col("arr_s")).alias("dep_s"), "legs")
+
+
 @dataclass
-class Timetable:
-    """Trips by pattern, walks, and where each stop is served."""
-
-    patterns: list[tuple[list[str], list[list[tuple[int, int]]]]] = field(default_factory=list)
-    served: dict[str, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
-    walks: dict[str, list[tuple[str, int]]] = field(default_factory=lambda: defaultdict(list))
-    departures: list[list[tuple[list[int], bool]]] = field(default_factory=list)
-
-    @classmethod
-    def of(cls, events: pd.DataFrame, walks: pd.DataFrame) -> Timetable:
-        out = cls()
-        by_stops: dict[tuple[str, ...], list[tuple[int, list[tuple[int, int]]]]] = defaultdict(list)
-        rows = events.sort_values(["trip_id", "seq"])
-        last, stops, times = None, [], []
-        for trip, stop, arr, dep in [*zip(rows.trip_id.tolist(), rows.stop_id.tolist(), rows.arr_s.astype(int).tolist(), rows.dep_s.astype(int).tolist(), strict=True), (None, None, 0, 0)]:
-            if trip != last:
-                if stops:
-                    by_stops[tuple(stops)].append((last, times))
-                last, stops, times = trip, [], []
-            stops.append(stop)
-            times.append((arr, dep))
-        for stops in sorted(by_stops):
-            trips = [times for _, times in sorted(by_stops[stops], key=lambda x: (x[1][0][1], x[0]))]
-            for i, s in enumerate(stops):
-                out.served[s].append((len(out.patterns), i))
-            out.add(list(stops), trips)
-        for a, b, w in sorted(zip(walks.from_stop, walks.to_stop, walks.walk_s, strict=True)):
-            out.walks[a].append((b, int(w)))
+class Chain:
+    """Trips over the same stops of which none overtakes another: departures and arrivals, a row a trip, ascending in every column."""
+
+    stops: np.ndarray
+    leaves: np.ndarray
+    comes: np.ndarray
+
+
+@dataclass
+class Labels:
+    """What earliest() finds, a row a stop and a column an origin: arrivals, legs, and the stop each was reached from (-1: none) and how."""
+
+    arrival: np.ndarray
+    legs: np.ndarray
+    parent: np.ndarray
+    rode: np.ndarray
+
+
+class Network:
+    """A service day as arrays."""
+
+    def __init__(self, events: pd.DataFrame, walks: pd.DataFrame):
+        rows = events.sort_values(["trip_id", "seq"], kind="stable")
+        ends = pd.concat([walks.from_stop, walks.to_stop]) if len(walks) else pd.Series([], dtype=object)
+        self.stops = pd.Index(pd.unique(pd.concat([rows.stop_id, ends]))).sort_values()
+        self.chains = self._chained(self.stops.get_indexer(rows.stop_id), rows.trip_id.to_numpy(), rows.arr_s.to_numpy(np.int64), rows.dep_s.to_numpy(np.int64))
+        order = np.lexsort((self.stops.get_indexer(walks.from_stop), self.stops.get_indexer(walks.to_stop)))
+        self.hop_from, self.hop_to = self.stops.get_indexer(walks.from_stop)[order], self.stops.get_indexer(walks.to_stop)[order]
+        self.hop_s = walks.walk_s.to_numpy(np.int64)[order]
+
+    @staticmethod
+    def _chained(stop: np.ndarray, trip: np.ndarray, comes: np.ndarray, leaves: np.ndarray) -> list[Chain]:
+        """Trips grouped by their stops, and each group dealt into as few chains as first fit finds."""
+        cut = np.flatnonzero(np.concatenate([[True], trip[1:] != trip[:-1]])) if len(trip) else np.zeros(0, np.int64)
+        groups: dict[bytes, list[slice]] = {}
+        for a, b in zip(cut, np.append(cut[1:], len(trip)), strict=True):
+            groups.setdefault(stop[a:b].tobytes(), []).append(slice(a, b))
+        out = []
+        for _, own in sorted(groups.items()):
+            stops = stop[own[0]]
+            away, here = np.stack([leaves[s] for s in own]), np.stack([comes[s] for s in own])
+            order = np.lexsort((here[:, -1], away[:, 0]))
+            chains: list[list[int]] = []
+            for i in order:
+                fit = next((c for c in chains if (away[c[-1]] <= away[i]).all() and (here[c[-1]] <= here[i]).all()), None)
+                if fit is None:
+                    chains.append([i])
+                else:
+                    fit.append(i)
+            out += [Chain(stops, away[c], here[c]) for c in chains]
         return out
 
-    def add(self, stops: list[str], trips: list[list[tuple[int, int]]]) -> None:
-        """A pattern with its departures by place, and whether they ascend."""
-        self.patterns.append((stops, trips))
-        columns = [[t[i][1] for t in trips] for i in range(len(stops))]
-        self.departures.append([(c, all(x <= y for x, y in zip(c, c[1:], strict=False))) for c in columns])
-
-    def next_trip(self, p: int, i: int, ready: int) -> int | None:
-        """The trip of a pattern that leaves place i first at or after ``ready``; the one that starts first of several."""
-        times, ascend = self.departures[p][i]
-        if ascend:
-            j = bisect.bisect_left(times, ready)
-            return j if j < len(times) else None
-        late = [(d, j) for j, d in enumerate(times) if d >= ready]
-        return min(late)[1] if late else None
-
-    def earliest(self, origins: list[str], depart: int, legs: int = LEGS, slack: int = SLACK_S) -> dict[str, tuple[int, int, tuple]]:
-        """stop -> (arrival, legs, how): how is (\"start\",), (\"walk\", from) or (\"ride\", pattern, trip, on, off)."""
-        best: dict[str, tuple[int, int, tuple]] = {s: (depart, 0, ("start",)) for s in origins}
-        label = {s: depart for s in origins}
-        reached = set(label)
-
-        def walk(seeds: list[str], now: dict[str, int], k: int) -> set[str]:
-            touched = set()
-            for s in seeds:  # labels change while stops are walked through in order
-                for other, w in self.walks.get(s, ()):
-                    if other not in best or now[s] + w < best[other][0]:
-                        best[other], now[other] = (now[s] + w, k, ("walk", s)), now[s] + w
-                        touched.add(other)
-            return touched
-
-        reached |= walk(sorted(reached), label, 0)
+    def _walk(self, best: Labels, fresh: np.ndarray, k: int) -> np.ndarray:
+        """One walk from the fresh labels; where it got better."""
+        better = np.zeros_like(fresh)
+        if not len(self.hop_s):
+            return better
+        offered = np.where(fresh[self.hop_from], best.arrival[self.hop_from] + self.hop_s[:, None], NEVER)
+        head = np.flatnonzero(np.concatenate([[True], self.hop_to[1:] != self.hop_to[:-1]]))
+        to, least = self.hop_to[head], np.minimum.reduceat(offered, head, axis=0)
+        won = least < best.arrival[to]
+        # hops are in order of their ends, so the first that offers the least is the smallest stop
+        first = np.minimum.reduceat(np.where(offered == np.repeat(least, np.diff(np.append(head, len(offered))), axis=0), self.hop_from[:, None], len(self.stops)), head, axis=0)
+        self._settle(best, to, won, least, first, k, False)
+        better[to] = won
+        return better
+
+    @staticmethod
+    def _settle(best: Labels, to: np.ndarray, won: np.ndarray, time: np.ndarray, parent: np.ndarray, k: int, rode: bool) -> None:
+        best.arrival[to] = np.where(won, time, best.arrival[to])
+        best.legs[to] = np.where(won, k, best.legs[to])
+        best.parent[to] = np.where(won, parent, best.parent[to])
+        best.rode[to] = np.where(won, rode, best.rode[to])
+
+    def earliest(self, origins: np.ndarray, depart: np.ndarray, legs: int = LEGS, slack: int = SLACK_S) -> Labels:
+        """Labels of all origins (places of stops) at their departures."""
+        n, m = len(self.stops), len(origins)
+        best = Labels(np.full((n, m), NEVER), np.zeros((n, m), np.int32), np.full((n, m), -1), np.zeros((n, m), bool))
+        best.arrival[origins, np.arange(m)] = depart
+        fresh = best.arrival < NEVER
+        fresh |= self._walk(best, fresh, 0)
         for k in range(1, legs + 1):
-            entry: dict[int, int] = {}
-            for s in reached:
-                for p, i in self.served.get(s, ()):
-                    entry[p] = min(entry.get(p, i), i)
-            now: dict[str, int] = {}
-            rode: set[str] = set()
-            for p in sorted(entry):
-                stops, trips = self.patterns[p]
-                trip = on = None
-                for i in range(entry[p], len(stops)):
-                    s = stops[i]
-                    if trip is not None and (s not in best or trips[trip][i][0] < best[s][0]):
-                        best[s], now[s] = (trips[trip][i][0], k, ("ride", p, trip, on, i)), trips[trip][i][0]
-                        rode.add(s)
-                    if s in label and (trip is None or label[s] + slack <= trips[trip][i][1]):
-                        other = self.next_trip(p, i, label[s] + slack)
-                        if other is not None and (trip is None or trips[other][i][1] < trips[trip][i][1]):
-                            trip, on = other, i
-            reached = rode | walk(sorted(rode), now, k)
-            label = now
-            if not reached:
+            ready = np.where(fresh, best.arrival + slack, NEVER)
+            open_ = fresh.any(axis=1)
+            ride, source = np.full((n, m), NEVER), np.full((n, m), -1)
+            for chain in self.chains:
+                at = np.flatnonzero(open_[chain.stops])
+                if not len(at):
+                    continue
+                size = len(chain.leaves)
+                trip, on = np.full(m, size), np.full(m, -1)
+                for i in range(int(at[0]), len(chain.stops)):
+                    s = chain.stops[i]
+                    aboard = trip < size
+                    if aboard.any():
+                        time = np.where(aboard, chain.comes[np.minimum(trip, size - 1), i], NEVER)
+                        won = time < ride[s]
+                        ride[s], source[s] = np.where(won, time, ride[s]), np.where(won, on, source[s])
+                    if open_[s]:
+                        other = np.searchsorted(chain.leaves[:, i], ready[s])
+                        sooner = other < trip
+                        trip, on = np.where(sooner, other, trip), np.where(sooner, s, on)
+            won = ride < best.arrival
+            self._settle(best, np.arange(n), won, ride, source, k, True)
+            fresh = won
+            fresh = fresh | self._walk(best, fresh, k)
+            if not fresh.any():
                 break
         return best
 
-    def latest(self, targets: list[str], arrive: int, legs: int = LEGS, slack: int = SLACK_S) -> dict[str, int]:
-        """stop -> the latest departure that still reaches a target: the mirror image of earliest()."""
-        back = Timetable()
-        for stops, trips in self.patterns:
-            back.add(stops[::-1], sorted(([(-d, -a) for a, d in t[::-1]] for t in trips), key=lambda t: t[0][1]))
-        for p, (stops, _) in enumerate(back.patterns):
-            for i, s in enumerate(stops):
-                back.served[s].append((p, i))
-        for a, pairs in self.walks.items():
-            for b, w in pairs:
-                back.walks[b].append((a, w))
-        return {s: -t for s, (t, _, _) in back.earliest(targets, -arrive, legs, slack).items()}
-
-    def journey(self, best: dict[str, tuple[int, int, tuple]], stop: str, most: int = 512) -> list[tuple[str, str, str]]:
-        """Steps (kind, from, to) to a stop, from the start on."""
-        steps = []
-        while stop in best and best[stop][2][0] != "start" and len(steps) < most:
-            how = best[stop][2]
-            before = how[1] if how[0] == "walk" else self.patterns[how[1]][0][how[3]]
-            steps.append((how[0], before, stop))
+    def mirrored(self) -> Network:
+        """The day run backwards."""
+        back = object.__new__(Network)
+        back.stops = self.stops
+        back.chains = [Chain(c.stops[::-1], -c.comes[::-1, ::-1], -c.leaves[::-1, ::-1]) for c in self.chains]
+        order = np.lexsort((self.hop_to, self.hop_from))
+        back.hop_from, back.hop_to, back.hop_s = self.hop_to[order], self.hop_from[order], self.hop_s[order]
+        return back
+
+    def steps(self, best: Labels, stop: int, origin: int) -> list[tuple[str, str, str]]:
+        """(ride or walk, from, to) from an origin (a column) to a stop, at most STEPS of them."""
+        out = []
+        while best.parent[stop, origin] >= 0 and len(out) < STEPS:
+            before = best.parent[stop, origin]
+            out.append(("ride" if best.rode[stop, origin] else "walk", self.stops[before], self.stops[stop]))
             stop = before
-        return steps[::-1]
+        return out[::-1]
+
+
+@lru_cache(maxsize=2)
+def _network(events_at: str, walks_at: str) -> Network:
+    """A staged day, read once by each worker."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    def read(uri: str) -> pd.DataFrame:
+        store, root = fs.FileSystem.from_uri(uri)
+        return ds.dataset(root, filesystem=store, format="parquet", exclude_invalid_files=False).to_table().to_pandas()
+
+    return Network(read(events_at), read(walks_at))
 
 
 def journeys(events: DataFrame, walks: DataFrame, origins: DataFrame, legs: int = LEGS, slack: int = SLACK_S, backward: bool = False) -> DataFrame:
     """The kernel for each origin (origin_id, stop_id, dep_s): (origin_id, stop_id, arr_s, legs, steps).
 
-    The timetable of one service day is grouped into each origin's task; it must
-    not exceed KERNEL_EVENTS stop events, beyond which ``rounds`` is the way.
+    The day is written to the shared folder and read by the workers, which must be
+    able to hold one service day; beyond that rounds() and latest() give the same arrivals.
+    ``backward`` takes dep_s as the time to be there by and gives latest departures.
     """
-    n = events.count()
-    if n > KERNEL_EVENTS:
-        raise ValueError(f"{n} stop events are too many for the kernel; use rounds()")
     spark = events.sparkSession
-    timetable = spark.sparkContext.broadcast(Timetable.of(events.select("trip_id", "stop_id", "seq", "arr_s", "dep_s").toPandas(), walks.toPandas()))  # at most KERNEL_EVENTS rows
+    events_at, walks_at = new_path(spark, "day"), new_path(spark, "hops")
+    events.select("trip_id", "stop_id", "seq", "arr_s", "dep_s").write.parquet(events_at)
+    walks.select("from_stop", "to_stop", "walk_s").write.parquet(walks_at)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        day = _network(events_at, walks_at)
+        net = day.mirrored() if backward else day
         for frame in frames:
-            for origin, stop, dep in zip(frame.origin_id, frame.stop_id, frame.dep_s, strict=True):
-                day = timetable.value
-                if backward:
-                    found = day.latest([stop], int(dep), legs, slack)
-                    yield pd.DataFrame({"origin_id": origin, "stop_id": list(found), "arr_s": list(found.values()), "legs": 0, "steps": 0})
-                else:
-                    best = day.earliest([stop], int(dep), legs, slack)
-                    yield pd.DataFrame({"origin_id": origin, "stop_id": list(best), "arr_s": [b[0] for b in best.values()], "legs": [b[1] for b in best.values()], "steps": [len(day.journey(best, s)) for s in best]})
-
-    spread = origins.repartition(max(1, min(64, origins.count())), "origin_id")
-    return spread.mapInPandas(run, "origin_id string, stop_id string, arr_s long, legs int, steps int")
+            at = net.stops.get_indexer(frame.stop_id)
+            alone = frame[at < 0]  # a stop that nothing serves reaches itself
+            yield pd.DataFrame({"origin_id": alone.origin_id, "stop_id": alone.stop_id, "arr_s": alone.dep_s, "legs": 0, "steps": ""})
+            frame, at = frame[at >= 0], at[at >= 0]
+            sign = -1 if backward else 1
+            best = net.earliest(at, sign * frame.dep_s.to_numpy(np.int64), legs, slack)
+            stop, column = np.nonzero(best.arrival < NEVER)
+            told = ["" if backward else ">".join(f"{how} {there}" for how, _, there in net.steps(best, s, c)) for s, c in zip(stop, column, strict=True)]
+            yield pd.DataFrame({"origin_id": frame.origin_id.to_numpy()[column], "stop_id": net.stops.to_numpy()[stop], "arr_s": sign * best.arrival[stop, column], "legs": best.legs[stop, column], "steps": told})
+
+    spread = origins.repartition(max(1, min(64, -(-origins.count() // 16))), F.xxhash64("origin_id"))
+    return spread.mapInPandas(run, "origin_id string, stop_id string, arr_s long, legs int, steps string")

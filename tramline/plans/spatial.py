@@ -309,10 +309,10 @@ def enclosing_circle(t: Tables) -> DataFrame:
 
 @query("i2_zone_cover", views=["stops"])
 def zone_cover(t: Tables) -> DataFrame:
-    """Centres of a greedy radius cover, a kernel a component of the radius graph."""
+    """Centres of a greedy radius cover, with what each newly covers."""
     events = t.stop_times.groupBy("stop_id").agg(F.count("*").alias("events"))
     stops = _xy(t.stops).join(events, "stop_id", "left").fillna(0, ["events"])
-    return K.cover(stops, S.pairs_within(stops, "stop_id", 150), 150.0)
+    return K.cover(stops, S.pairs_within(stops, "stop_id", 150))
 
 
 @query("g10_simplified_lines", views=["stops"])
