@@ -31,8 +31,9 @@ def best_headways(departures: DataFrame, stop: str = "stop_id", route_dir: str =
 
 
 def stop_facts(departures: DataFrame, frequent_s: int = 900) -> DataFrame:
-    """Departures, routes, first and last, median and worst gap, best route direction of each stop."""
-    base = departures.groupBy("stop_id").agg(F.countDistinct("trip_id").alias("n_departures"), F.countDistinct("route_dir").alias("n_routes"), F.min("dep_s").alias("first_s"), F.max("dep_s").alias("last_s"))
+    """Departures (one a trip, in order) and routes as lists of a day's length, first and last, median and worst gap, best route direction of each stop."""
+    first = first_departures(departures).groupBy("stop_id").agg(F.count("*").alias("n_departures"), F.array_sort(F.collect_list("dep_s")).alias("departures"))
+    base = departures.groupBy("stop_id").agg(F.array_sort(F.collect_set("route_dir")).alias("routes"), F.min("dep_s").alias("first_s"), F.max("dep_s").alias("last_s")).join(first, "stop_id").withColumn("n_routes", F.size("routes").cast("long"))
     spread = gaps(departures.select("stop_id", "dep_s").distinct(), ["stop_id"]).groupBy("stop_id").agg(F.median("gap").alias("median_gap_s"), F.max("gap").alias("worst_gap_s"))
     out = base.join(spread, "stop_id").join(best_headways(departures), "stop_id", "left")
     return out.withColumn("frequent", F.coalesce(F.col("best_s") <= frequent_s, F.lit(False)))

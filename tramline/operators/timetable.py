@@ -22,20 +22,28 @@ def date_profiles(active: DataFrame, trips: DataFrame) -> DataFrame:
     return active.join(per, "service_id").groupBy("date").agg(F.sum("trips").alias("trips")).filter("trips > 0")
 
 
-def day_types(profiles: DataFrame, alike: float = 1.5) -> DataFrame:
-    """Weekdays grouped to day types: Monday to Friday are one if their median trips differ by ``alike`` times at most.
+def day_types(profiles: DataFrame, active: DataFrame, alike: float = 1.5) -> DataFrame:
+    """Weekdays grouped to day types, in calendar order: day_type, label, trips, n_dates, representative, dates, service_ids.
 
-    The representative date has the lower median of trips, and of several such dates it is the middle one.
+    Monday to Friday are one type if two or more of them run and their lower median
+    trips differ by ``alike`` times at most.  The representative date has the lower
+    median of trips, and of several such dates it is the middle one, the later of two.
+    Dates and services are lists of one calendar, so their length is bounded.
     """
     day = profiles.withColumn("dow", F.weekday("date"))
     medians = day.filter("dow < 5").groupBy("dow").agg(F.expr("percentile_disc(0.5) within group (order by trips)").alias("m"))
-    merged = medians.agg((F.max("m") <= F.min("m") * alike).alias("merge"))
-    keyed = day.crossJoin(F.broadcast(merged)).withColumn("day_type", F.when((F.col("dow") < 5) & F.coalesce("merge", F.lit(False)), F.lit("weekday")).otherwise(F.concat(F.lit("d"), "dow")))  # one row
-    middle = keyed.groupBy("day_type").agg(F.expr("percentile_disc(0.5) within group (order by trips)").alias("trips"), F.count("*").alias("n_dates"))
-    tied = keyed.join(middle, ["day_type", "trips"])
+    merged = medians.agg(((F.max("m") <= F.min("m") * alike) & (F.count("*") > 1)).alias("merge"))
+    weekday = (F.col("dow") < 5) & F.coalesce("merge", F.lit(False))
+    key = F.when(weekday, "weekday").when(F.col("dow") == 5, "saturday").when(F.col("dow") == 6, "sunday").otherwise(F.concat(F.lit("dow"), F.col("dow")))
+    keyed = day.crossJoin(F.broadcast(merged)).withColumn("day_type", key).withColumn("rank", F.when(weekday, 0).otherwise(F.col("dow")))  # one row
+    middle = keyed.groupBy("day_type", "rank").agg(F.expr("percentile_disc(0.5) within group (order by trips)").alias("trips"), F.count("*").alias("n_dates"), F.array_sort(F.collect_list("date")).alias("dates"))
+    tied = keyed.select("day_type", "trips", "date").join(middle, ["day_type", "trips"])
     place = W.partitionBy("day_type").orderBy("date")
     ranked = tied.withColumn("rn", F.row_number().over(place)).withColumn("n", F.count("*").over(W.partitionBy("day_type")))
-    return ranked.filter(F.col("rn") == F.floor((F.col("n") - 1) / 2) + 1).select("day_type", "trips", "n_dates", F.col("date").alias("representative"))
+    chosen = ranked.filter(F.col("rn") == F.floor(F.col("n") / 2) + 1)
+    services = active.groupBy(F.col("date").alias("on")).agg(F.array_sort(F.collect_set("service_id")).alias("service_ids"))
+    label = F.when(F.col("day_type") == "weekday", "Weekday").otherwise(F.date_format("date", "EEEE"))
+    return chosen.join(services, F.col("date") == F.col("on")).select("day_type", label.alias("label"), "trips", "n_dates", F.col("date").alias("representative"), "dates", "service_ids", "rank")
 
 
 def service_gaps(profiles: DataFrame, reduced: float = 0.8) -> DataFrame:
@@ -48,19 +56,26 @@ def service_gaps(profiles: DataFrame, reduced: float = 0.8) -> DataFrame:
 
 
 def filled_times(stop_times: DataFrame) -> DataFrame:
-    """Blank times by position between the known ones around them, halves to even; edges copy the nearest.
+    """Blank times filled between the known ones around them, halves to even; beyond the first and last known one the nearest.
 
-    A time known on one side only counts for both; 0 is a time that the reader takes as unknown.
+    A row's time is its departure, or its arrival where that is missing or 0.  The axis is the distance
+    travelled where all rows of the trip have one and the trip goes anywhere, else the place in
+    the trip.  In a trip with a blank, one-sided times are completed too.
+    Returns the columns with arr_s and dep_s filled, and time_s.
     """
-    known = F.coalesce(F.nullif("dep_s", F.lit(0)), F.nullif("arr_s", F.lit(0)))
-    back = W.partitionBy("trip_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy("trip_id").orderBy("seq").rowsBetween(0, W.unboundedFollowing)
-    mark = F.when(F.col("known").isNotNull(), F.struct("seq", "known"))
-    rows = stop_times.withColumn("known", known).withColumn("a", F.last(mark, True).over(back)).withColumn("b", F.first(mark, True).over(ahead))
-    share = (F.col("seq") - F.col("a.seq")) / (F.col("b.seq") - F.col("a.seq"))
-    between = F.bround(F.col("a.known") + (F.col("b.known") - F.col("a.known")) * share).cast("long")
-    filled = F.when(F.col("known").isNotNull(), F.col("known")).when(F.col("a").isNull(), F.col("b.known")).when(F.col("b").isNull(), F.col("a.known")).otherwise(between)
-    return rows.withColumn("time_s", filled).select("trip_id", "stop_id", "seq", "arr_s", "dep_s", "time_s")
+    rows = stop_times if "dist" in stop_times.columns else stop_times.withColumn("dist", F.lit(None).cast("double"))
+    whole, trip = W.partitionBy("trip_id"), W.partitionBy("trip_id").orderBy("seq")
+    rows = rows.withColumn("known", F.coalesce(F.nullif("dep_s", F.lit(0)), "arr_s")).withColumn("at", F.row_number().over(trip).cast("double"))
+    every = (F.count("dist").over(whole) == F.count("*").over(whole)) & (F.last("dist").over(trip.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) != F.first("dist").over(trip.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    rows = rows.withColumn("axis", F.when(every, F.col("dist")).otherwise(F.col("at"))).withColumn("blank", F.count("known").over(whole) < F.count("*").over(whole))
+    mark = F.when(F.col("known").isNotNull(), F.struct("axis", "known"))
+    rows = rows.withColumn("a", F.last(mark, True).over(trip.rowsBetween(W.unboundedPreceding, 0))).withColumn("b", F.first(mark, True).over(trip.rowsBetween(0, W.unboundedFollowing)))
+    span = F.col("b.axis") - F.col("a.axis")
+    share = F.when(span != 0, F.try_divide(F.col("axis") - F.col("a.axis"), span)).otherwise(F.lit(0.5))
+    between = F.bround(F.col("a.known") + share * (F.col("b.known") - F.col("a.known"))).cast("long")
+    time = F.when(F.col("known").isNotNull(), F.col("known")).when(F.col("a").isNull(), F.col("b.known")).when(F.col("b").isNull(), F.col("a.known")).otherwise(between).cast("long")
+    full = lambda c: F.when(F.col("blank"), F.coalesce(c, "time_s")).otherwise(F.col(c)).cast("long").alias(c)
+    return rows.withColumn("time_s", time).select("trip_id", "stop_id", "seq", full("arr_s"), full("dep_s"), "time_s")
 
 
 def expanded(frequencies: DataFrame, stop_times: DataFrame) -> DataFrame:
@@ -68,14 +83,14 @@ def expanded(frequencies: DataFrame, stop_times: DataFrame) -> DataFrame:
 
     The template's own rows go, also where its frequency row can't be used.
     """
-    anchor = stop_times.groupBy("trip_id").agg(F.min_by(F.coalesce("dep_s", "arr_s", F.lit(0)), "seq").alias("anchor"))
+    anchor = stop_times.groupBy("trip_id").agg(F.min_by(F.coalesce(F.nullif("dep_s", F.lit(0)), "arr_s", F.lit(0)), "seq").alias("anchor"))
     good = frequencies.filter("headway_s > 0 and end_s > start_s")
     slots = good.select("trip_id", F.posexplode(F.expr("sequence(start_s, end_s - 1, headway_s)")).alias("_p", "at_s"))
     order = W.partitionBy("trip_id").orderBy("at_s", "_p")
     slots = slots.withColumn("slot", F.row_number().over(order) - 1).drop("_p")
     made = slots.join(anchor, "trip_id").join(stop_times, "trip_id")
     shift = F.col("at_s") - F.col("anchor")
-    copies = made.select(F.concat(F.col("trip_id").cast("string"), F.lit("#"), F.lpad(F.col("slot").cast("string"), 4, "0")).alias("trip_id"), "stop_id", "seq", (F.col("arr_s") + shift).alias("arr_s"), (F.col("dep_s") + shift).alias("dep_s"))
+    copies = made.select(F.concat(F.col("trip_id").cast("string"), F.lit("#"), F.format_string("%04d", F.col("slot"))).alias("trip_id"), "stop_id", "seq", (F.col("arr_s") + shift).alias("arr_s"), (F.col("dep_s") + shift).alias("dep_s"))
     rest = stop_times.join(frequencies.select("trip_id").distinct(), "trip_id", "left_anti")
     return rest.select(F.col("trip_id").cast("string").alias("trip_id"), "stop_id", "seq", "arr_s", "dep_s").unionByName(copies)
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from ..adapters import Tables
 from ..catalog import query
+from ..functions import geo
+from ..operators import audit as A
 from ..operators import spatial as S
 from ..operators import survival as V
+from ..stage import staged
 from .spatial import DIST, SEEKERS, XY, seekers
 
 Z = XY["zones"] + ", " + SEEKERS
@@ -77,11 +80,11 @@ def thermometer(t: Tables) -> DataFrame:
     return V.thermometer(_zones(t), seekers(t), 800.0)
 
 
-FEATURES = "features AS (SELECT feature_id, x, y FROM (SELECT poi_id AS feature_id, x, y, row_number() OVER (ORDER BY poi_id) - 1 AS p, greatest(1, ceil(count(*) OVER () / 64.0)::BIGINT) AS s FROM pois_xy WHERE category = 'PROMO') WHERE p % s = 0)"
+FEATURES = "features AS (SELECT poi_id AS feature_id, x, y FROM pois_xy WHERE category = 'PROMO')"
 
 
 def features(t: Tables, category: str = "PROMO") -> DataFrame:
-    """Every POI of a category; the DuckDB text still strides them to 64, so it agrees up to 64 only."""
+    """Every POI of a category."""
     rows = S.projected(t.pois.filter(F.col("category") == category))
     return rows.select(F.col("poi_id").alias("feature_id"), F.col("x").alias("fx"), F.col("y").alias("fy"))
 
@@ -175,35 +178,113 @@ def photo_answers(t: Tables) -> DataFrame:
     return out.select("zone_id", F.when(F.col("trees").isNotNull(), F.col("trees") > 0).alias("tree"), F.when(F.col("water") > 1, True).when(F.col("water") == 0, False).alias("shore"))
 
 
-QUESTIONS = "q AS (SELECT n_nationkey AS question_id, n_regionkey AS category, (n_nationkey * 37 % 100) / 100.0::DOUBLE AS quality, (n_nationkey * 53 % 100) / 100.0::DOUBLE AS coverage, n_nationkey % 6 = 5 AS unknown FROM nation), s AS (SELECT *, CASE WHEN unknown THEN 'unknown' WHEN quality < 0.12 THEN 'dead' WHEN coverage < 0.15 THEN 'degenerate' WHEN quality < 0.30 THEN 'weak' ELSE 'functional' END AS status, CASE WHEN NOT unknown THEN abs(quality - 0.30) < 0.05 OR abs(quality - 0.12) < 0.05 ELSE false END AS borderline FROM q)"
+#: The audited map: a border, its margin, the categories asked for (one has no features) and the lengths.
+BORDER = (42.805, -85.892, 42.822, -85.868)
+MARGIN_M, REACH_M, RADIUS_M = 804.672, 900.0, 402.336
+CATEGORIES = ("ECONOMY", "LARGE", "NONE", "PROMO", "SMALL", "STANDARD")
+RADARS, LEGS = (200.0, 800.0, 100_000.0), (400.0, 3600.0, 100_000.0)
+#: Question categories of the game's size.
+GAME_CATEGORIES = 6
+CATS_SQL = "(VALUES " + ", ".join(f"('{c}')" for c in CATEGORIES) + ") c(category)"
+AUDIT_VIEWS = ("zones", "pois", "stops")
+_S, _W, _N, _E = BORDER
+_UP = f"{MARGIN_M} / {geo.DEGREE_M!r}"
+AUDIT = f"""{Z}, {XY['pois']}, nz AS (SELECT count(*) AS n, sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y))) AS diameter FROM zones_xy),
+inb AS (SELECT * FROM pois_xy WHERE lat BETWEEN {_S} AND {_N} AND lon BETWEEN {_W} AND {_E}),
+cnt AS (SELECT category, (SELECT count(*) FROM inb i WHERE i.category = c.category) AS instances, (SELECT count(*) FROM pois p WHERE p.category = c.category AND lat BETWEEN {_S} - {_UP} AND {_N} + {_UP} AND lon BETWEEN {_W} - {_UP} / cos(radians({_N}::DOUBLE)) AND {_E} + {_UP} / cos(radians({_N}::DOUBLE))) AS margin FROM {CATS_SQL}),
+np AS (SELECT zone_id, category, poi_id, d FROM (SELECT a.zone_id, b.category, b.poi_id, {DIST} AS d, row_number() OVER (PARTITION BY a.zone_id, b.category ORDER BY {DIST}, b.poi_id) AS k FROM zones_xy a, inb b) WHERE k = 1),
+ans AS (SELECT 'match_' || category AS question, zone_id, poi_id::VARCHAR AS class_key FROM np UNION ALL SELECT 'name_length', 'z' || substr(stop_id, 2), length(stop_name)::VARCHAR FROM stops),
+bl AS (SELECT question, class_key, count(*) AS block FROM ans GROUP BY 1, 2),
+pm AS (SELECT question, avg(block) / any_value(n) AS p FROM ans JOIN bl USING (question, class_key), nz WHERE zone_id IN (SELECT seeker_id FROM seekers) GROUP BY 1),
+mq AS (SELECT question, least(p, 1 - p) / 0.5 AS quality, classes FROM pm JOIN (SELECT question, count(*) AS classes FROM bl GROUP BY 1) USING (question)),
+vv AS (SELECT 'measure_' || category AS question, zone_id, round(d) AS value FROM np),
+vc AS (SELECT question, s.zone_id, count(*) FILTER (WHERE v.value > s.value)::DOUBLE AS g, count(*) FILTER (WHERE v.value = s.value)::DOUBLE AS e, count(*) FILTER (WHERE v.value < s.value)::DOUBLE AS l FROM vv v JOIN vv s USING (question) WHERE s.zone_id IN (SELECT seeker_id FROM seekers) GROUP BY 1, 2),
+vq AS (SELECT question, least(1, greatest(0, (1 - sum(g * g + e * e + l * l) / (count(*) * any_value(n)::DOUBLE * any_value(n))) / 0.5)) AS quality FROM vc, nz GROUP BY 1),
+rq AS (SELECT r, avg(CASE WHEN {DIST} <= r THEN 1.0::DOUBLE ELSE 0 END) AS p FROM zones_xy a, seekers b, (VALUES ({'), ('.join(f'{r}::DOUBLE' for r in RADARS)})) v(r) GROUP BY 1),
+tq AS (SELECT leg, avg(CASE WHEN a.x * ux + a.y * uy < b.x * ux + b.y * uy + leg / 2 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM zones_xy a, seekers b, (VALUES {BEARINGS}) w(i, ux, uy), (VALUES ({'), ('.join(f'{r}::DOUBLE' for r in LEGS)})) v(leg) GROUP BY 1),
+ph AS (SELECT a.zone_id, count(*) FILTER (WHERE b.category = 'PROMO' AND size < 10) AS trees, count(*) FILTER (WHERE b.category = 'SMALL' AND size < 10) AS water FROM zones_xy a JOIN pois_xy b ON {DIST} <= 250 GROUP BY 1),
+pa AS (SELECT 'photo_tree' AS question, trees > 0 AS yes FROM ph UNION ALL SELECT 'photo_shore', CASE WHEN water > 1 THEN TRUE WHEN water = 0 THEN FALSE END FROM ph),
+pq AS (SELECT question, count(yes) AS evaluated, avg(yes::INT) AS coverage FROM pa GROUP BY 1),
+arms AS (SELECT category, quantile_disc(k, 0.5) AS median_arms FROM (SELECT zone_id, category, (SELECT count(*) FROM inb b WHERE b.category = c.category AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {REACH_M * REACH_M}) AS k FROM zones_xy a, {CATS_SQL}) GROUP BY 1),
+verdicts AS (
+  SELECT 'match_' || category AS question_id, 'matching' AS category, instances, CASE WHEN instances = 0 THEN 'dead' WHEN instances = 1 THEN 'degenerate' WHEN quality < 0.12 THEN 'weak' ELSE 'functional' END AS status, CASE WHEN instances > 1 THEN quality ELSE 0 END AS quality, (instances = 0 AND margin >= 1) OR (instances = 1 AND margin >= 2) AS borderline FROM cnt LEFT JOIN mq ON question = 'match_' || category
+  UNION ALL SELECT 'measure_' || category, 'measuring', instances, CASE WHEN instances = 0 THEN 'dead' WHEN quality < 0.30 THEN 'weak' ELSE 'functional' END, CASE WHEN instances > 0 THEN quality ELSE 0 END, instances = 0 AND margin >= 1 FROM cnt LEFT JOIN vq ON question = 'measure_' || category
+  UNION ALL SELECT 'tentacle_' || category, 'tentacle', instances, CASE WHEN instances = 0 THEN 'dead' WHEN instances = 1 THEN 'degenerate' WHEN median_arms >= 2 THEN 'functional' ELSE 'weak' END, 0, (instances = 0 AND margin >= 1) OR (instances = 1 AND margin >= 2) FROM cnt JOIN arms USING (category)
+  UNION ALL SELECT 'name_length', 'matching', classes, CASE WHEN classes < 2 THEN 'degenerate' WHEN quality < 0.12 THEN 'weak' ELSE 'functional' END, CASE WHEN classes < 2 THEN 0 ELSE quality END, false FROM mq WHERE question = 'name_length'
+  UNION ALL SELECT 'radar_' || r::BIGINT, 'radar', NULL, CASE WHEN diameter > 0 AND r >= diameter THEN 'degenerate' WHEN r < {RADIUS_M} THEN 'weak' WHEN least(p, 1 - p) / 0.5 < 0.25 THEN 'weak' ELSE 'functional' END, least(p, 1 - p) / 0.5, false FROM rq, nz
+  UNION ALL SELECT 'thermometer_' || leg::BIGINT, 'thermometer', NULL, CASE WHEN diameter > 0 AND leg > diameter THEN 'dead' WHEN diameter > 0 AND leg > 0.7 * diameter THEN 'degenerate' WHEN least(p, 1 - p) / 0.5 < 0.20 THEN 'weak' ELSE 'functional' END, least(p, 1 - p) / 0.5, false FROM tq, nz
+  UNION ALL SELECT question, 'photo', NULL, CASE WHEN evaluated = 0 THEN 'unknown' WHEN coverage <= 0 THEN 'dead' WHEN coverage >= 1 THEN 'degenerate' WHEN coverage < 0.15 OR coverage > 0.85 THEN 'weak' ELSE 'functional' END, least(coverage, 1 - coverage) / 0.5, false FROM pq)"""
+STATS = f"""st0 AS (SELECT category, count(*) AS n, count(*) FILTER (WHERE status = 'functional') AS f, count(*) FILTER (WHERE status IN ('dead', 'degenerate')) AS d, count(*) FILTER (WHERE status = 'weak') AS w, sum(quality) FILTER (WHERE status = 'functional') AS q FROM verdicts WHERE status <> 'unknown' GROUP BY 1),
+qs AS (SELECT sum(n)::BIGINT AS total, (sum(f) + 0.5::DOUBLE * sum(w)) / sum(n) AS live_share, count(*) FILTER (WHERE f >= 2) / {GAME_CATEGORIES}.0::DOUBLE AS category_depth, count(*) FILTER (WHERE f >= 1) AS live_categories, sum(q) / sum(f) AS mean_quality, sum(d)::DOUBLE / sum(n) AS randomize_risk FROM st0)"""
+
+
+def question_facts(t: Tables) -> DataFrame:
+    """What the audit knows of each question on the map: a row a question, from the features inside the border."""
+    zones, asked = _zones(t), staged(seekers(t), "seekers")[0]
+    inside = geo.in_box(F.col("lat"), F.col("lon"), *map(F.lit, BORDER))
+    up = F.lit(MARGIN_M / geo.DEGREE_M)
+    s, w, n, e = map(F.lit, BORDER)
+    wide = up / F.cos(F.radians(n))
+    around = geo.in_box(F.col("lat"), F.col("lon"), s - up, w - wide, n + up, e + wide)
+    kinds = t.spark.createDataFrame([(c,) for c in CATEGORIES], "category string")
+    counts = t.pois.groupBy("category").agg(F.count_if(inside).alias("instances"), F.count_if(around).alias("margin"))
+    counts = staged(kinds.join(counts, "category", "left").select("category", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("instances", "margin")]), "counts")[0]
+    pois, _ = staged(S.projected(t.pois.filter(inside)).select("poi_id", "category", "x", "y").join(F.broadcast(kinds), "category", "left_semi"), "inside")
+    there = pois.select("category").distinct()
+    near, _ = staged(S.nearest(zones.crossJoin(F.broadcast(there)), pois, ["zone_id", "category"], "poi_id", 400.0, on=["category"]), "nearest")  # a short dimension
+    lengths = t.stops.select(F.lit("name_length").alias("question"), F.concat(F.lit("z"), F.substr("stop_id", F.lit(2))).alias("zone_id"), F.char_length("stop_name").cast("string").alias("class_key"))
+    answers = near.select(F.concat(F.lit("match_"), "category").alias("question"), "zone_id", F.col("poi_id").cast("string").alias("class_key")).unionByName(lengths)
+    match = A.matching_quality(answers, asked)
+    measure = A.measuring_quality(near.select(F.concat(F.lit("measure_"), "category").alias("question"), "zone_id", F.round("dist").alias("value")), asked)
+    hits = S.within(zones, pois, REACH_M).groupBy("zone_id", "category").agg(F.count("*").alias("k"))
+    every = zones.select("zone_id").crossJoin(F.broadcast(kinds)).join(hits, ["zone_id", "category"], "left")
+    arms = every.groupBy("category").agg(F.expr("percentile_disc(0.5) within group (order by coalesce(k, 0))").cast("long").alias("median_arms"))
+    row = lambda q, c, k, **more: [F.concat(F.lit(q), "category").alias("question_id"), F.lit(c).alias("cat"), F.lit(k).alias("kind"), F.lit(True).alias("queried"), "instances", "margin", *[v.alias(n) for n, v in more.items()]]
+    parts = [
+        counts.select(*row("match_", "matching", "nearest")).join(match.withColumnRenamed("question", "question_id"), "question_id", "left"),
+        counts.select(*row("measure_", "measuring", "distance")).join(measure.withColumnRenamed("question", "question_id"), "question_id", "left"),
+        counts.join(arms, "category").select(*row("tentacle_", "tentacle", "tentacle", median_arms=F.col("median_arms"))),
+        match.filter("question = 'name_length'").select(F.col("question").alias("question_id"), F.lit("matching").alias("cat"), F.lit("name_length").alias("kind"), F.col("classes").alias("instances"), "classes", "quality"),
+    ]
+    both, _ = staged(zones.crossJoin(F.broadcast(asked)), "pairs")  # at most V.FULL seekers
+    d = F.sqrt((F.col("x") - F.col("sx")) ** 2 + (F.col("y") - F.col("sy")) ** 2)
+    hot = lambda u, v, leg: F.col("x") * F.lit(u) + F.col("y") * F.lit(v) < F.col("sx") * F.lit(u) + F.col("sy") * F.lit(v) + F.lit(leg / 2)
+    mean = lambda flag: F.avg(F.when(flag, 1.0).otherwise(0.0))
+    shares = both.agg(*[mean(d <= r).alias(f"r{i}") for i, r in enumerate(RADARS)], *[(sum((mean(hot(u, v, leg)) for u, v in V.BEARINGS), F.lit(0.0)) / len(V.BEARINGS)).alias(f"t{i}") for i, leg in enumerate(LEGS)])
+    size = zones.agg(F.sqrt((F.max("x") - F.min("x")) ** 2 + (F.max("y") - F.min("y")) ** 2).alias("diameter_m"))
+    lines = [F.struct(F.lit(f"{kind}_{int(m)}").alias("question_id"), F.lit(kind).alias("cat"), F.lit(kind).alias("kind"), F.lit(m).alias("length_m"), V.binary_quality(F.col(f"{kind[0]}{i}")).alias("quality")) for kind, own in (("radar", RADARS), ("thermometer", LEGS)) for i, m in enumerate(own)]
+    parts.append(shares.crossJoin(size).select("diameter_m", F.lit(RADIUS_M).alias("zone_radius_m"), F.explode(F.array(*lines)).alias("l")).select("l.*", "diameter_m", "zone_radius_m"))  # one row each
+    photos = photo_answers(t).select(F.explode(F.array(F.struct(F.lit("photo_tree").alias("question_id"), F.col("tree").alias("yes")), F.struct(F.lit("photo_shore").alias("question_id"), F.col("shore").alias("yes")))).alias("p")).select("p.*")
+    share = F.avg(F.col("yes").cast("int"))
+    parts.append(photos.groupBy("question_id").agg(F.count("yes").alias("evaluated"), share.alias("coverage")).select("question_id", F.lit("photo").alias("cat"), F.lit("photo").alias("kind"), "evaluated", "coverage", V.binary_quality(F.col("coverage")).alias("quality")))
+    whole = t.spark.createDataFrame([], A.FACTS.replace("category string", "cat string"))
+    for part in parts:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole.withColumnRenamed("cat", "category")
 
 
 def questions(t: Tables) -> DataFrame:
-    k = F.col("n_nationkey")
-    q = t("nation").select(k.alias("question_id"), F.col("n_regionkey").alias("category"), ((k * 37 % 100) / 100.0).alias("quality"), ((k * 53 % 100) / 100.0).alias("coverage"), (k % 6 == 5).alias("unknown"))
-    status = F.when(F.col("unknown"), "unknown").when(F.col("quality") < 0.12, "dead").when(F.col("coverage") < 0.15, "degenerate").when(F.col("quality") < 0.30, "weak").otherwise("functional")
-    near = (F.abs(F.col("quality") - 0.30) < 0.05) | (F.abs(F.col("quality") - 0.12) < 0.05)
-    return q.withColumn("status", status).withColumn("borderline", ~F.col("unknown") & near)
+    return A.judged(question_facts(t))
 
 
-@query("d8_question_audit", sql=f"WITH {QUESTIONS} SELECT question_id, category, status, borderline FROM s")
+@query("d8_question_audit", views=AUDIT_VIEWS, sql=f"WITH {AUDIT} SELECT question_id, category, instances, status, borderline, round(quality * 1e6)::BIGINT AS quality_e6 FROM verdicts")
 def question_audit(t: Tables) -> DataFrame:
-    return questions(t).select("question_id", "category", "status", "borderline")
+    q = questions(t)
+    shown = F.when(F.col("kind") == "tentacle", F.lit(0.0)).otherwise(F.col("quality"))
+    return q.select("question_id", "category", "instances", "status", "borderline", F.round(shown * 1e6).cast("long").alias("quality_e6"))
 
 
-@query("a38_category_health", sql=f"WITH {QUESTIONS} SELECT category, count(*) AS n, count(*) FILTER (WHERE status = 'functional') AS functional, count(*) FILTER (WHERE status IN ('dead', 'degenerate')) AS wasted FROM s GROUP BY 1")
+@query("a38_category_health", views=AUDIT_VIEWS, sql=f"WITH {AUDIT} SELECT category, count(*) AS n, count(*) FILTER (WHERE status = 'functional') AS functional, count(*) FILTER (WHERE status IN ('dead', 'degenerate')) AS wasted FROM verdicts GROUP BY 1")
 def category_health(t: Tables) -> DataFrame:
     return questions(t).groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.expr("status = 'functional'")).alias("functional"), F.count_if(F.expr("status in ('dead', 'degenerate')")).alias("wasted"))
 
 
-@query("a39_question_stats", sql=f"""
-WITH {QUESTIONS}, k AS (SELECT * FROM s WHERE status <> 'unknown'), c AS (SELECT category, count(*) AS n, count(*) FILTER (WHERE status = 'functional') AS f, count(*) FILTER (WHERE status IN ('dead', 'degenerate')) AS d FROM k GROUP BY 1), n AS (SELECT count(*) AS total FROM k)
-SELECT (SELECT total FROM n) AS total, (SELECT round((count(*) FILTER (WHERE status = 'functional') + 0.5 * count(*) FILTER (WHERE status = 'weak')) / count(*) * 1e6)::BIGINT FROM k) AS live_e6, count(*) FILTER (WHERE f >= 2) AS deep, count(*) FILTER (WHERE f >= 1) AS live, (SELECT round(avg(quality) * 1e6)::BIGINT FROM k WHERE status = 'functional') AS quality_e6, round(sum(d::DOUBLE) / (SELECT total FROM n) * 1e6)::BIGINT AS wasted_e6 FROM c""")
+@query("a39_question_stats", views=AUDIT_VIEWS, sql=f"WITH {AUDIT}, {STATS} SELECT total, round(live_share * 1e6)::BIGINT AS live_e6, round(category_depth * 1e6)::BIGINT AS depth_e6, live_categories AS live, round(mean_quality * 1e6)::BIGINT AS quality_e6, round(randomize_risk * 1e6)::BIGINT AS risk_e6 FROM qs")
 def question_stats(t: Tables) -> DataFrame:
-    k = questions(t).filter("status <> 'unknown'")
-    whole = k.agg(F.count("*").alias("total"), F.round((F.count_if(F.expr("status = 'functional'")) + 0.5 * F.count_if(F.expr("status = 'weak'"))) / F.count("*") * 1e6).cast("long").alias("live_e6"), F.round(F.avg(F.when(F.col("status") == "functional", F.col("quality"))) * 1e6).cast("long").alias("quality_e6"), F.count_if(F.expr("status in ('dead', 'degenerate')")).alias("d"))
-    depth = k.groupBy("category").agg(F.count_if(F.expr("status = 'functional'")).alias("f")).agg(F.count_if(F.expr("f >= 2")).alias("deep"), F.count_if(F.expr("f >= 1")).alias("live"))
-    return whole.crossJoin(depth).select("total", "live_e6", "deep", "live", "quality_e6", F.round(F.col("d") / F.col("total") * 1e6).cast("long").alias("wasted_e6"))  # one row each
+    """How much of the catalogue works on the map; mean quality is that of the functional questions."""
+    q = questions(t).withColumn("quality", F.when(F.col("kind") == "tentacle", F.lit(0.0)).otherwise(F.col("quality")))
+    e6 = lambda c, name: F.round(F.col(c) * 1e6).cast("long").alias(name)
+    return A.stats(q, GAME_CATEGORIES).select("total", e6("live_share", "live_e6"), e6("category_depth", "depth_e6"), F.col("live_categories").alias("live"), e6("mean_quality", "quality_e6"), e6("randomize_risk", "risk_e6"))
 
 
 @query("p16_question_catalogue", sql="SELECT n_nationkey AS question_id, size FROM nation, (VALUES ('small', 3), ('medium', 2), ('large', 1)) v(size, m) WHERE n_nationkey % m = 0")

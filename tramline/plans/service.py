@@ -37,12 +37,13 @@ WITH g AS (SELECT stop_id, dep_s - lag(dep_s) OVER (PARTITION BY stop_id ORDER B
 r AS (SELECT stop_id, route_dir, dep_s - lag(dep_s) OVER (PARTITION BY stop_id, route_dir ORDER BY dep_s) AS gap FROM (SELECT DISTINCT stop_id, route_dir, dep_s FROM departures WHERE dep_s >= 21600 AND dep_s < 79200)),
 m AS (SELECT stop_id, route_dir, median(gap) AS h FROM r GROUP BY ALL HAVING count(*) >= 2),
 b AS (SELECT stop_id, min(h) AS best FROM m GROUP BY 1)
-SELECT d.stop_id, d.n_departures, d.n_routes, d.first_s, d.last_s, (g2.med * 2)::BIGINT AS median_gap_2s, g2.worst AS worst_gap_s, (best * 2)::BIGINT AS best_2s, coalesce(best <= 900, false) AS frequent
-FROM (SELECT stop_id, count(DISTINCT trip_id) AS n_departures, count(DISTINCT route_dir) AS n_routes, min(dep_s) AS first_s, max(dep_s) AS last_s FROM departures GROUP BY 1) d
+SELECT d.stop_id, d.n_departures, d.departures, d.n_routes, d.routes, d.first_s, d.last_s, (g2.med * 2)::BIGINT AS median_gap_2s, g2.worst AS worst_gap_s, (best * 2)::BIGINT AS best_2s, coalesce(best <= 900, false) AS frequent
+FROM (SELECT stop_id, count(*) AS n_departures, string_agg(dep_s, ',' ORDER BY dep_s) AS departures, (SELECT count(DISTINCT route_dir) FROM departures x WHERE x.stop_id = f.stop_id) AS n_routes, (SELECT string_agg(DISTINCT route_dir, ',' ORDER BY route_dir) FROM departures x WHERE x.stop_id = f.stop_id) AS routes, min(dep_s) AS first_s, (SELECT max(dep_s) FROM departures x WHERE x.stop_id = f.stop_id) AS last_s
+  FROM (SELECT stop_id, trip_id, min(dep_s) AS dep_s FROM departures GROUP BY ALL) f GROUP BY 1) d
 JOIN (SELECT stop_id, median(gap) AS med, max(gap) AS worst FROM g GROUP BY 1) g2 USING (stop_id) LEFT JOIN b USING (stop_id)""")
 def stop_headways(t: Tables) -> DataFrame:
     facts = H.stop_facts(t.departures)
-    return facts.select("stop_id", "n_departures", "n_routes", "first_s", "last_s", (F.col("median_gap_s") * 2).cast("long").alias("median_gap_2s"), "worst_gap_s", (F.col("best_s") * 2).cast("long").alias("best_2s"), "frequent")
+    return facts.select("stop_id", "n_departures", F.array_join("departures", ",").alias("departures"), "n_routes", F.array_join("routes", ",").alias("routes"), "first_s", "last_s", (F.col("median_gap_s") * 2).cast("long").alias("median_gap_2s"), "worst_gap_s", (F.col("best_s") * 2).cast("long").alias("best_2s"), "frequent")
 
 
 @query("a4_first_departures", views=["stop_times"], sql="SELECT stop_id, trip_id, min(dep_s) AS dep_s FROM stop_times WHERE dep_s IS NOT NULL GROUP BY ALL")
@@ -80,13 +81,14 @@ def trips_by_service(t: Tables) -> DataFrame:
 
 @query("a26_day_types", views=CAL, sql=f"""
 WITH {PROFILES}, k AS (SELECT *, isodow(date) - 1 AS dow FROM profiles),
-m AS (SELECT max(m) <= min(m) * 1.5 AS merge FROM (SELECT quantile_disc(trips, 0.5) AS m FROM k WHERE dow < 5 GROUP BY dow)),
-t2 AS (SELECT k.*, CASE WHEN dow < 5 AND coalesce(merge, false) THEN 'weekday' ELSE 'd' || dow END AS day_type FROM k, m),
-q AS (SELECT day_type, quantile_disc(trips, 0.5) AS trips, count(*) AS n_dates FROM t2 GROUP BY 1),
-r AS (SELECT t2.day_type, t2.trips, n_dates, date, row_number() OVER (PARTITION BY t2.day_type ORDER BY date) AS rn, count(*) OVER (PARTITION BY t2.day_type) AS n FROM t2 JOIN q ON q.day_type = t2.day_type AND q.trips = t2.trips)
-SELECT day_type, trips, n_dates, date AS representative FROM r WHERE rn = (n - 1) // 2 + 1""")
+m AS (SELECT max(m) <= min(m) * 1.5 AND count(*) > 1 AS merge FROM (SELECT quantile_disc(trips, 0.5) AS m FROM k WHERE dow < 5 GROUP BY dow)),
+t2 AS (SELECT k.*, CASE WHEN dow < 5 AND coalesce(merge, false) THEN 'weekday' WHEN dow = 5 THEN 'saturday' WHEN dow = 6 THEN 'sunday' ELSE 'dow' || dow END AS day_type FROM k, m),
+q AS (SELECT day_type, quantile_disc(trips, 0.5) AS trips, count(*) AS n_dates, string_agg(strftime(date, '%Y%m%d'), ',' ORDER BY date) AS dates FROM t2 GROUP BY 1),
+r AS (SELECT t2.day_type, t2.trips, n_dates, dates, date, row_number() OVER (PARTITION BY t2.day_type ORDER BY date) AS rn, count(*) OVER (PARTITION BY t2.day_type) AS n FROM t2 JOIN q ON q.day_type = t2.day_type AND q.trips = t2.trips)
+SELECT day_type, CASE WHEN day_type = 'weekday' THEN 'Weekday' ELSE dayname(date) END AS label, trips, n_dates, date AS representative, sha256(dates) AS dates_sha, (SELECT string_agg(DISTINCT service_id, ',' ORDER BY service_id) FROM active a WHERE a.date = r.date) AS services FROM r WHERE rn = n // 2 + 1""")
 def day_types(t: Tables) -> DataFrame:
-    return T.day_types(_profiles(t))
+    dates = F.array_join(F.transform("dates", lambda d: F.date_format(d, "yyyyMMdd")), ",")
+    return T.day_types(_profiles(t), _active(t)).select("day_type", "label", "trips", "n_dates", "representative", F.sha2(dates, 256).alias("dates_sha"), F.array_join("service_ids", ",").alias("services"))
 
 
 @query("a27_service_gaps", views=CAL, sql=f"""
@@ -128,13 +130,17 @@ def row_order(t: Tables) -> DataFrame:
     return t.stop_times.select("trip_id", "stop_id", "seq", (F.row_number().over(W.partitionBy("trip_id").orderBy("seq")) - 1).alias("at"))
 
 
-@query("w3_filled_times", views=["stop_times"], sql="""
-WITH k AS (SELECT *, coalesce(nullif(dep_s, 0), nullif(arr_s, 0)) AS known FROM stop_times),
-f AS (SELECT *, last_value(CASE WHEN known IS NOT NULL THEN seq END IGNORE NULLS) OVER b AS sa, last_value(known IGNORE NULLS) OVER b AS ka,
-             first_value(CASE WHEN known IS NOT NULL THEN seq END IGNORE NULLS) OVER a AS sb, first_value(known IGNORE NULLS) OVER a AS kb FROM k
-      WINDOW b AS (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT trip_id, stop_id, seq, arr_s, dep_s, CASE WHEN known IS NOT NULL THEN known WHEN ka IS NULL THEN kb WHEN kb IS NULL THEN ka
-  ELSE round_even(ka + (kb - ka) * ((seq - sa)::DOUBLE / (sb - sa)), 0)::BIGINT END AS time_s FROM f""")
+#: After k (trip_id, seq, known, at): times filled by the place in the trip.
+FILLED = """fw AS (SELECT *, CASE WHEN count(known) OVER (PARTITION BY trip_id) < count(*) OVER (PARTITION BY trip_id) THEN 1 ELSE 0 END AS blank,
+             last_value(CASE WHEN known IS NOT NULL THEN pos END IGNORE NULLS) OVER b AS sa, last_value(known IGNORE NULLS) OVER b AS ka,
+             first_value(CASE WHEN known IS NOT NULL THEN pos END IGNORE NULLS) OVER a AS sb, first_value(known IGNORE NULLS) OVER a AS kb FROM k
+      WINDOW b AS (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+h AS (SELECT *, CASE WHEN known IS NOT NULL THEN known WHEN ka IS NULL THEN kb WHEN kb IS NULL THEN ka ELSE round_even(ka + (kb - ka) * ((pos - sa)::DOUBLE / (sb - sa)), 0)::BIGINT END AS time_s FROM fw)"""
+
+
+@query("w3_filled_times", views=["stop_times"], sql=f"""
+WITH k AS (SELECT *, coalesce(nullif(dep_s, 0), arr_s) AS known, row_number() OVER (PARTITION BY trip_id ORDER BY seq) AS pos FROM stop_times), {FILLED}
+SELECT trip_id, stop_id, seq, CASE WHEN blank = 1 THEN coalesce(arr_s, time_s) ELSE arr_s END AS arr_s, CASE WHEN blank = 1 THEN coalesce(dep_s, time_s) ELSE dep_s END AS dep_s, time_s FROM h""")
 def filled_times(t: Tables) -> DataFrame:
     return T.filled_times(t.stop_times)
 
@@ -177,7 +183,7 @@ FREQUENCIES = "SELECT trip_id, 21600 AS start_s, 21600 + (trip_id % 5)::INT * 18
 
 @query("d1_frequencies", views=["trips", "stop_times"], sql=f"""
 WITH f AS ({FREQUENCIES}),
-a AS (SELECT trip_id, arg_min(coalesce(dep_s, arr_s, 0), seq) AS anchor FROM stop_times GROUP BY 1),
+a AS (SELECT trip_id, arg_min(coalesce(nullif(dep_s, 0), arr_s, 0), seq) AS anchor FROM stop_times GROUP BY 1),
 s AS (SELECT trip_id, at_s, row_number() OVER (PARTITION BY trip_id ORDER BY at_s) - 1 AS slot FROM (SELECT trip_id, unnest(range(start_s, end_s, headway_s)) AS at_s FROM f WHERE end_s > start_s))
 SELECT trip_id::VARCHAR AS trip_id, stop_id, seq, arr_s, dep_s FROM stop_times WHERE trip_id NOT IN (SELECT trip_id FROM f)
 UNION ALL SELECT s.trip_id || '#' || lpad(slot::VARCHAR, 4, '0'), stop_id, seq, arr_s + at_s - anchor, dep_s + at_s - anchor FROM s JOIN a USING (trip_id) JOIN stop_times USING (trip_id)""")
@@ -188,16 +194,12 @@ def frequencies(t: Tables) -> DataFrame:
 
 @query("d2_normalised_times", views=["trips", "stop_times"], sql=f"""
 WITH f AS ({FREQUENCIES}),
-a AS (SELECT trip_id, arg_min(coalesce(dep_s, arr_s, 0), seq) AS anchor FROM stop_times GROUP BY 1),
+a AS (SELECT trip_id, arg_min(coalesce(nullif(dep_s, 0), arr_s, 0), seq) AS anchor FROM stop_times GROUP BY 1),
 s AS (SELECT trip_id, at_s, row_number() OVER (PARTITION BY trip_id ORDER BY at_s) - 1 AS slot FROM (SELECT trip_id, unnest(range(start_s, end_s, headway_s)) AS at_s FROM f WHERE end_s > start_s)),
 x AS (SELECT trip_id::VARCHAR AS trip_id, seq, arr_s, dep_s FROM stop_times WHERE trip_id NOT IN (SELECT trip_id FROM f)
   UNION ALL SELECT s.trip_id || '#' || lpad(slot::VARCHAR, 4, '0'), seq, arr_s + at_s - anchor, dep_s + at_s - anchor FROM s JOIN a USING (trip_id) JOIN stop_times USING (trip_id)),
-k AS (SELECT *, coalesce(nullif(dep_s, 0), nullif(arr_s, 0)) AS known FROM x),
-g AS (SELECT *, last_value(CASE WHEN known IS NOT NULL THEN seq END IGNORE NULLS) OVER b AS sa, last_value(known IGNORE NULLS) OVER b AS ka,
-             first_value(CASE WHEN known IS NOT NULL THEN seq END IGNORE NULLS) OVER c AS sb, first_value(known IGNORE NULLS) OVER c AS kb FROM k
-      WINDOW b AS (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), c AS (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-h AS (SELECT trip_id, seq, CASE WHEN known IS NOT NULL THEN known WHEN ka IS NULL THEN kb WHEN kb IS NULL THEN ka ELSE round_even(ka + (kb - ka) * ((seq - sa)::DOUBLE / (sb - sa)), 0)::BIGINT END AS t FROM g),
-m AS (SELECT trip_id, t < max(t) OVER (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM h)
+k AS (SELECT *, coalesce(nullif(dep_s, 0), arr_s) AS known, row_number() OVER (PARTITION BY trip_id ORDER BY seq) AS pos FROM x), {FILLED},
+m AS (SELECT trip_id, time_s < max(time_s) OVER (PARTITION BY trip_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM h)
 SELECT trip_id, count(*) AS n, count(*) FILTER (WHERE late) AS n_late FROM m GROUP BY 1""")
 def normalised(t: Tables) -> DataFrame:
     """Expand, fill, check: in that order."""

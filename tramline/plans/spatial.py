@@ -261,11 +261,11 @@ def radar_hits(t: Tables) -> DataFrame:
     return rings.select(F.explode(F.array(*[F.struct(F.lit(r).alias("radius_m"), F.col("pairs"), F.col(f"h{r}").alias("hits")) for r in (400, 800, 1600, 3200)])).alias("r")).select("r.*")
 
 
-SEEKERS = "seekers AS (SELECT zone_id AS seeker_id, x, y FROM (SELECT *, row_number() OVER (ORDER BY zone_id) - 1 AS p, greatest(1, count(*) OVER () // 20) AS s FROM zones_xy) WHERE p % s = 0 AND p // s < 20)"
+SEEKERS = f"seekers AS (SELECT zone_id AS seeker_id, x, y FROM (SELECT *, row_number() OVER (ORDER BY zone_id) - 1 AS p, count(*) OVER () AS n FROM zones_xy) WHERE p % CASE WHEN n <= {V.FULL} THEN 1 ELSE ceil(n / {V.SEEKERS}.0)::BIGINT END = 0)"
 
 
 def seekers(t: Tables) -> DataFrame:
-    """The seekers: every zone up to V.FULL zones, beyond that a strided sample of at most V.SEEKERS; the DuckDB text still takes 20."""
+    """The seekers: every zone up to V.FULL zones, beyond that a strided sample of at most V.SEEKERS."""
     n = t.zones.count()
     stride = 1 if n <= V.FULL else -(-n // V.SEEKERS)
     rows = _xy(t.zones).withColumn("p", F.row_number().over(W.orderBy("zone_id")) - 1)
