@@ -80,7 +80,7 @@ def metric_rows(measures: DataFrame, table: Table, subject: str, assumed: bool =
     for block, metrics in table.items():
         for name, column, form, args, points in metrics:
             raw = F.col(column).cast("double")
-            earned = fraction(raw, form, args, F.col("n_zones") if form == "floor" else None)
+            earned = F.when(raw.isNotNull(), fraction(raw, form, args, F.col("n_zones") if form == "floor" else None))
             there = F.lit(False) if assumed and name in ASSUMED else earned.isNotNull()
             tenths = F.when(there, numeric.tenths(earned, points)).otherwise(F.lit(0)).cast("long")
             rows.append(F.struct(F.lit(block).alias("block"), F.lit(name).alias("metric"), raw.alias("raw"), there.alias("available"), tenths.alias("tenths"), F.lit(points * 10).cast("long").alias("most")))

@@ -11,22 +11,105 @@ from pyspark.sql import functions as F
 from ..adapters import LAT0, LON0, Tables
 from ..catalog import query
 from ..functions import geo, numeric
+from ..operators import audit as A
+from ..operators import graph as G
+from ..operators import headway as H
+from ..operators import routing as R
+from ..operators import scoring as C
 from ..operators import spatial as S
-from .spatial import BOX, XY
-
-METRICS = "m AS (SELECT n_nationkey AS id, substr('ABCDE', (n_regionkey + 1)::INT, 1) AS block, (n_nationkey * 41 % 97)::DOUBLE / 97 AS raw, 10 + n_nationkey % 4 * 5 AS points, n_nationkey % 7 <> 3 AS available FROM nation)"
-SCORED = METRICS + ", r AS (SELECT *, floor(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (raw - 0.1::DOUBLE) / (0.8::DOUBLE - 0.1::DOUBLE))) * points * 10 + 0.5::DOUBLE)::BIGINT AS tenths FROM m)"
+from ..operators import survival as V
+from ..operators import timetable as T
+from ..stage import staged
+from .questions import AUDIT, GAME_CATEGORIES, STATS, questions
+from .service import PROFILES, _profiles
+from .spatial import BOX, XY, X, Y, seekers
+
+#: Playing hours and hiding period of a medium game, in hours and minutes; twice a zone's radius.
+REQUIRED_H, APART_M = 10.0, 804.672
+MEASURE_VIEWS = ("stop_times", "trips", "stops", "zones", "pois", "calendar", "calendar_dates")
+MEASURES = f"""{AUDIT}, {STATS}, {PROFILES}, stops_xy AS (SELECT *, {X} AS x, {Y} AS y FROM stops),
+ev AS (SELECT t.service_id, s.trip_id, t.route_id, t.direction_id, s.stop_id, coalesce(dep_s, arr_s) AS dep_s FROM stop_times s JOIN trips t USING (trip_id) JOIN stops USING (stop_id) WHERE coalesce(dep_s, arr_s) IS NOT NULL),
+ps AS (SELECT service_id, stop_id, count(DISTINCT route_id) AS routes, max(dep_s) AS last_s FROM ev GROUP BY 1, 2),
+gp AS (SELECT service_id, stop_id, dep_s - lag(dep_s) OVER (PARTITION BY service_id, stop_id ORDER BY dep_s) AS gap FROM (SELECT DISTINCT service_id, stop_id, dep_s FROM ev WHERE dep_s >= 21600 AND dep_s < 79200)),
+hw AS (SELECT service_id, median(m) / 60 AS headway_min FROM (SELECT service_id, stop_id, median(gap) AS m FROM gp GROUP BY 1, 2) WHERE m IS NOT NULL GROUP BY 1),
+gr AS (SELECT service_id, stop_id, route_id, direction_id, dep_s - lag(dep_s) OVER (PARTITION BY service_id, stop_id, route_id, direction_id ORDER BY dep_s) AS gap FROM (SELECT DISTINCT service_id, stop_id, route_id, direction_id, dep_s FROM ev WHERE dep_s >= 21600 AND dep_s < 79200)),
+fq AS (SELECT service_id, count(*) AS frequent FROM (SELECT service_id, stop_id, min(m) AS best FROM (SELECT service_id, stop_id, median(gap) AS m FROM gr GROUP BY service_id, stop_id, route_id, direction_id) GROUP BY 1, 2) WHERE best <= 900 GROUP BY 1),
+dy AS (SELECT service_id, count(DISTINCT stop_id) AS zones, count(DISTINCT route_id) AS routes, count(DISTINCT trip_id) AS trips, min(dep_s) AS first_s, (max(dep_s) - min(dep_s)) / 3600.0::DOUBLE AS span_h FROM ev GROUP BY 1),
+sp AS (SELECT p.service_id, count(*) FILTER (WHERE last_s >= first_s + {REQUIRED_H} * 3600) / count(*)::DOUBLE AS evening_share, max(p.routes) / any_value(d.routes)::DOUBLE AS hub_share, count(*) FILTER (WHERE p.routes >= 2) / count(*)::DOUBLE AS multi_route_share FROM ps p JOIN dy d USING (service_id) GROUP BY 1),
+al AS (SELECT x.service_id, count(*) AS alone FROM (SELECT p.service_id, p.stop_id, a.x, a.y FROM ps p JOIN stops_xy a USING (stop_id)) x WHERE NOT EXISTS (SELECT 1 FROM ps q JOIN stops_xy b USING (stop_id) WHERE q.service_id = x.service_id AND q.stop_id <> x.stop_id AND sqrt((x.x - b.x) * (x.x - b.x) + (x.y - b.y) * (x.y - b.y)) <= {APART_M}) GROUP BY 1),
+rt AS (SELECT service_id, route_id, count(DISTINCT stop_id) AS n FROM ev GROUP BY 1, 2),
+one AS (SELECT max(rt.n / dy.zones::DOUBLE) AS one_route_share FROM rt JOIN dy USING (service_id)),
+wk AS (SELECT min(trips) FILTER (WHERE service_id IN ('wd5', 'wd6')) / (max(trips) FILTER (WHERE service_id NOT IN ('wd5', 'wd6')))::DOUBLE AS weekend_ratio, max(span_h) AS longest_span_h, max(zones) AS most_zones FROM dy),
+pl AS (SELECT count(*) / 7.0::DOUBLE AS playable_share FROM dy, wk WHERE zones >= 0.6 * most_zones AND span_h >= 0.7 * {REQUIRED_H}),
+us AS (SELECT isodow(date) AS dow, quantile_disc(trips, 0.5) AS usual FROM profiles GROUP BY 1),
+fl AS (SELECT count(*) FILTER (WHERE trips >= usual * 0.8::DOUBLE) / (max(date) - min(date) + 1)::DOUBLE AS full_dates_share FROM profiles JOIN us ON dow = isodow(date)),
+jb AS (SELECT count(*) OVER (PARTITION BY right(zone_id, 2)::INT % 7, right(zone_id, 3)::INT % 3) AS block FROM zones), sh AS (SELECT count(*) FILTER (WHERE block > 1) / count(*)::DOUBLE AS shared_share FROM jb),
+ms AS (SELECT dy.service_id, dy.zones, NULL::DOUBLE AS reachable_share, shared_share, CASE WHEN total >= 6 THEN live_share END AS live_share, CASE WHEN total >= 6 THEN category_depth END AS category_depth, CASE WHEN total >= 6 THEN mean_quality END AS mean_quality, CASE WHEN total >= 6 THEN randomize_risk END AS randomize_risk,
+  headway_min, NULL::DOUBLE AS crossing_ratio, coalesce(frequent, 0) / dy.zones::DOUBLE AS frequent_share, span_h / {REQUIRED_H} AS span_ratio, evening_share, full_dates_share, weekend_ratio, playable_share, hub_share, coalesce(alone, 0) / dy.zones::DOUBLE AS isolated_share, multi_route_share, one_route_share, longest_span_h, total AS judged_questions, live_categories
+  FROM dy LEFT JOIN hw USING (service_id) LEFT JOIN fq USING (service_id) LEFT JOIN sp USING (service_id) LEFT JOIN al USING (service_id), one, wk, pl, fl, sh, qs)"""
+
+
+def _form_sql(column: str, form: str, args: tuple, points: int) -> str:
+    """A metric's tenths in SQL; null where it isn't there."""
+    clamp = lambda x: f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {x}))"
+    up = lambda lo, hi: clamp(f"({column} - {float(lo)}) / {float(hi - lo)!r}")
+    down = lambda lo, hi: clamp(f"(-({column}) + {float(hi)}) / {float(hi - lo)!r}")
+    share = {"ramp": lambda: up(*args), "falling": lambda: down(*args), "share": lambda: clamp(column), "plateau": lambda: f"CASE WHEN {column} < {args[1]} THEN {up(*args[:2])} WHEN {column} <= {args[2]} THEN 1.0::DOUBLE ELSE {down(*args[2:])} END"}[form]()
+    return f"CASE WHEN {column} IS NOT NULL THEN floor({share} * {float(points)} * 10 + 0.5::DOUBLE)::BIGINT END"
+
+
+SCORED = MEASURES + ", sm AS (" + " UNION ALL ".join(f"SELECT service_id, '{block}' AS block, '{name}' AS metric, {column}::DOUBLE AS raw, {_form_sql(column, form, args, points)} AS tenths, {points * 10} AS most FROM ms" for block, rows in C.FITNESS.items() for name, column, form, args, points in rows) + """),
+sb AS (SELECT service_id, block, CASE WHEN sum(most) FILTER (WHERE tenths IS NOT NULL) > 0 THEN round((sum(tenths) * sum(most) / (sum(most) FILTER (WHERE tenths IS NOT NULL))::DOUBLE)::DECIMAL(38, 10))::BIGINT ELSE 0 END AS earned, sum(most)::BIGINT AS most, count(tenths) > 0 AS counts, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (WHERE tenths IS NULL), '') AS missing FROM sm GROUP BY 1, 2)"""
+
+
+def measures(t: Tables) -> DataFrame:
+    """A row of measures for each service day: what the rating reads."""
+    ev, _ = staged(T.service_day(t.trips, t.stop_times, t.stops, t.calendar).filter("dep_s is not null"), "events")
+    day, _ = staged(ev.groupBy("service_id").agg(F.countDistinct("stop_id").alias("zones"), F.countDistinct("route_id").alias("all_routes"), F.countDistinct("trip_id").alias("trips"), F.min("dep_s").alias("first_s"), ((F.max("dep_s") - F.min("dep_s")) / 3600.0).alias("span_h")), "days")
+    stop, _ = staged(ev.groupBy("service_id", "stop_id").agg(F.countDistinct("route_id").alias("routes"), F.max("dep_s").alias("last_s")), "stops")
+    short = F.broadcast(day.select("service_id", "first_s", "all_routes"))  # a row a service day
+    share = lambda flag: F.count_if(flag) / F.count("*").cast("double")
+    per = stop.join(short, "service_id").groupBy("service_id").agg(share(F.col("last_s") >= F.col("first_s") + REQUIRED_H * 3600).alias("evening_share"), (F.max("routes") / F.max("all_routes")).alias("hub_share"), share(F.col("routes") >= 2).alias("multi_route_share"))
+    inside = ev.filter("dep_s >= 21600 and dep_s < 79200")
+    gap = H.gaps(inside.select("service_id", "stop_id", "dep_s").distinct(), ["service_id", "stop_id"]).groupBy("service_id", "stop_id").agg(F.median("gap").alias("m")).filter("m is not null")
+    headway = gap.groupBy("service_id").agg((F.median("m") / 60).alias("headway_min"))
+    line = ["service_id", "stop_id", "route_id", "direction_id"]
+    best = H.gaps(inside.select(*line, "dep_s").distinct(), line).groupBy(*line).agg(F.median("gap").alias("m")).groupBy("service_id", "stop_id").agg(F.min("m").alias("best"))
+    frequent = best.filter("best <= 900").groupBy("service_id").agg(F.count("*").alias("frequent"))
+    at = stop.select("service_id", "stop_id").join(S.projected(t.stops).select("stop_id", "x", "y"), "stop_id")
+    near = S.within(at, at.withColumnRenamed("stop_id", "other"), APART_M, on=["service_id"]).filter("stop_id <> other").select("service_id", "stop_id").distinct()
+    alone = at.join(near, ["service_id", "stop_id"], "left_anti").groupBy("service_id").agg(F.count("*").alias("alone"))
+    one = ev.groupBy("service_id", "route_id").agg(F.countDistinct("stop_id").alias("n")).join(F.broadcast(day.select("service_id", "zones")), "service_id").agg(F.max(F.col("n") / F.col("zones")).alias("one_route_share"))
+    weekend = F.col("service_id").isin("wd5", "wd6")
+    week = day.agg((F.min(F.when(weekend, F.col("trips"))) / F.max(F.when(~weekend, F.col("trips")))).alias("weekend_ratio"), F.max("span_h").alias("longest_span_h"), F.max("zones").alias("most_zones"))
+    playable = day.crossJoin(F.broadcast(week)).filter((F.col("zones") >= 0.6 * F.col("most_zones")) & (F.col("span_h") >= 0.7 * REQUIRED_H)).agg((F.count("*") / 7.0).alias("playable_share"))  # one row
+    profiles = _profiles(t)
+    usual = profiles.groupBy(F.weekday("date").alias("dow")).agg(F.expr("percentile_disc(0.5) within group (order by trips)").alias("usual"))
+    full = profiles.withColumn("dow", F.weekday("date")).join(F.broadcast(usual), "dow").agg((F.count_if(F.col("trips") >= F.col("usual") * 0.8) / (F.datediff(F.max("date"), F.min("date")) + 1)).alias("full_dates_share"))  # seven rows
+    block = F.count("*").over(W.partitionBy(F.right("zone_id", F.lit(2)).cast("int") % 7, F.right("zone_id", F.lit(3)).cast("int") % 3))
+    shared = t.zones.withColumn("block", block).agg(share(F.col("block") > 1).alias("shared_share"))
+    asked = questions(t).withColumn("quality", F.when(F.col("kind") == "tentacle", F.lit(0.0)).otherwise(F.col("quality")))
+    qs = A.stats(asked, GAME_CATEGORIES).withColumnRenamed("total", "judged_questions")
+    for c in ("live_share", "category_depth", "mean_quality", "randomize_risk"):
+        qs = qs.withColumn(c, F.when(F.col("judged_questions") >= 6, F.col(c)))
+    whole = day.join(headway, "service_id", "left").join(frequent, "service_id", "left").join(per, "service_id", "left").join(alone, "service_id", "left")
+    for row in (one, week, playable, full, shared, qs):
+        whole = whole.crossJoin(F.broadcast(row))  # one row each
+    none = F.lit(None).cast("double")
+    return whole.withColumns({
+        "reachable_share": none, "crossing_ratio": none, "span_ratio": F.col("span_h") / REQUIRED_H, "catalogue_size": F.lit(0),
+        "frequent_share": F.coalesce("frequent", F.lit(0)) / F.col("zones"), "isolated_share": F.coalesce("alone", F.lit(0)) / F.col("zones"),
+    })
 
 
 def metrics(t: Tables) -> DataFrame:
-    k = F.col("n_nationkey")
-    rows = t("nation").select(k.alias("id"), F.substring(F.lit("ABCDE"), F.col("n_regionkey") + 1, F.lit(1)).alias("block"), ((k * 41 % 97).cast("double") / 97).alias("raw"), (10 + k % 4 * 5).alias("points"), (k % 7 != 3).alias("available"))
-    return rows.withColumn("tenths", F.floor(numeric.ramp(F.col("raw"), 0.1, 0.8) * F.col("points") * 10 + 0.5).cast("long"))
+    return C.metric_rows(measures(t), C.FITNESS, "service_id")
 
 
-@query("d11_metric_points", sql=f"WITH {SCORED} SELECT id, block, tenths FROM r")
+@query("d11_metric_points", views=MEASURE_VIEWS, sql=f"WITH {SCORED} SELECT service_id, block, metric, round(raw * 1e6)::BIGINT AS raw_e6, tenths IS NOT NULL AS available, coalesce(tenths, 0) AS tenths FROM sm")
 def metric_points(t: Tables) -> DataFrame:
-    return metrics(t).select("id", "block", "tenths")
+    """All eighteen metrics of every service day."""
+    return metrics(t).select("service_id", "block", "metric", F.round(F.col("raw") * 1e6).cast("long").alias("raw_e6"), "available", "tenths")
 
 
 @query("fn_ramps", views=["departures"], sql="""
@@ -39,30 +122,28 @@ def ramps(t: Tables) -> DataFrame:
     return rows.select(F.round(x * 100).cast("long").alias("x_e2"), numeric.tenths(numeric.ramp(x, 20, 80), 15).alias("up"), numeric.tenths(numeric.falling(x, 20, 80), 15).alias("down"), numeric.tenths(numeric.plateau(x, 10, 30, 60, 90), 15).alias("flat"))
 
 
-@query("a40_subscores", sql=f"""
-WITH {SCORED}, b AS (SELECT block, sum(tenths) FILTER (WHERE available)::BIGINT AS earned, sum(points * 10) FILTER (WHERE available)::BIGINT AS most, sum(points * 10)::BIGINT AS full_, count(*) FILTER (WHERE NOT available) AS missing FROM r GROUP BY 1)
-SELECT block, CASE WHEN coalesce(most, 0) = 0 THEN 0 ELSE floor(earned * full_ / most::DOUBLE + 0.5::DOUBLE)::BIGINT END AS earned, full_ AS most, missing FROM b""")
+@query("a40_subscores", views=MEASURE_VIEWS, sql=f"WITH {SCORED} SELECT service_id, block, earned, most, missing FROM sb")
 def subscores(t: Tables) -> DataFrame:
     """What a block earns of its points, scaled up for metrics that are missing."""
-    b = metrics(t).groupBy("block").agg(F.sum(F.when(F.col("available"), F.col("tenths"))).alias("earned"), F.sum(F.when(F.col("available"), F.col("points") * 10)).alias("most"), F.sum(F.col("points") * 10).alias("full"), F.count_if(~F.col("available")).alias("missing"))
-    scaled = F.floor(F.col("earned") * F.col("full") / F.col("most").cast("double") + 0.5).cast("long")
-    return b.select("block", F.when(F.coalesce("most", F.lit(0)) == 0, F.lit(0)).otherwise(scaled).cast("long").alias("earned"), F.col("full").cast("long").alias("most"), "missing")
-
-
-@query("a41_capped_total", sql=f"""
-WITH {SCORED}, s AS (SELECT sum(tenths) FILTER (WHERE available)::BIGINT AS earned, sum(points * 10) FILTER (WHERE available)::BIGINT AS most FROM r), c AS (SELECT floor(earned * 1000 / most::DOUBLE + 0.5::DOUBLE)::BIGINT AS score, most FROM s),
-caps(id, cap, fired) AS (SELECT 'a_few', 450, (SELECT count(*) < 30 FROM supplier) UNION ALL SELECT 'b_span', 250, false UNION ALL SELECT 'c_one', 400, (SELECT count(*) > 3 FROM region))
-SELECT CASE WHEN most < 600 THEN NULL ELSE least(score, coalesce((SELECT min(cap) FROM caps WHERE fired), score))::BIGINT END AS total, (SELECT arg_min(id, cap) FROM caps WHERE fired AND cap < score) AS cap_id FROM c""")
-def capped_total(t: Tables) -> DataFrame:
-    """The total, held down by the lowest cap that fires; none where too few points were at stake."""
-    s = metrics(t).filter("available").agg(F.sum("tenths").alias("earned"), F.sum(F.col("points") * 10).alias("most")).withColumn("score", F.floor(F.col("earned") * 1000 / F.col("most").cast("double") + 0.5).cast("long"))
-    few = t("supplier").agg((F.count("*") < 30).alias("few"))
-    one = t("region").agg((F.count("*") > 3).alias("one"))
-    both = s.crossJoin(few).crossJoin(one)  # one row each
-    caps = F.filter(F.array(F.struct(F.lit(450).alias("cap"), F.lit("a_few").alias("id"), F.col("few").alias("fired")), F.struct(F.lit(250).alias("cap"), F.lit("b_span").alias("id"), F.lit(False).alias("fired")), F.struct(F.lit(400).alias("cap"), F.lit("c_one").alias("id"), F.col("one").alias("fired"))), lambda c: c["fired"])
-    low = F.array_min(caps)
-    total = F.when(F.col("most") >= 600, F.least("score", low["cap"]))
-    return both.select(total.cast("long").alias("total"), F.when(low["cap"] < F.col("score"), low["id"]).alias("cap_id"))
+    return C.subscores(metrics(t), "service_id").select("service_id", "block", "earned", "most", "missing")
+
+
+#: After sb: the caps that fire, and the total.
+TOTALS = """
+kp AS (SELECT service_id, cap, cap_id FROM ms, (VALUES (40.0, 'CAP_ZONES'), (45.0, 'CAP_CATEGORIES'), (25.0, 'CAP_SPAN'), (50.0, 'CAP_ONE_ROUTE')) v(cap, cap_id)
+  WHERE (cap_id = 'CAP_ZONES' AND zones < 30) OR (cap_id = 'CAP_CATEGORIES' AND judged_questions >= 6 AND live_categories < 3) OR (cap_id = 'CAP_SPAN' AND longest_span_h < 4) OR (cap_id = 'CAP_ONE_ROUTE' AND one_route_share >= 0.9)),
+lw AS (SELECT service_id, min(cap)::DOUBLE AS cap, arg_min(cap_id, struct_pack(c := cap, i := cap_id)) AS cap_id FROM kp GROUP BY 1),
+tt AS (SELECT service_id, sum(most) FILTER (WHERE counts) AS most, round((sum(earned) FILTER (WHERE counts) / 10.0::DOUBLE / ((sum(most) FILTER (WHERE counts)) / 10.0::DOUBLE) * 100)::DECIMAL(38, 10), 1)::DOUBLE AS raw_score FROM sb GROUP BY 1),
+fs AS (SELECT service_id, raw_score, most, CASE WHEN most >= 600 THEN least(raw_score, coalesce(cap, raw_score)) END AS score, CASE WHEN cap < raw_score THEN cap_id END AS capped_by FROM tt LEFT JOIN lw USING (service_id))"""
+
+
+@query("a41_fitness", views=MEASURE_VIEWS, sql=f"WITH {SCORED}, {TOTALS} SELECT service_id, round(raw_score * 10)::BIGINT AS raw_tenths, round(score * 10)::BIGINT AS tenths, capped_by, CASE WHEN score IS NULL THEN 'insufficient data for an overall rating' WHEN score >= 80 THEN 'Excellent map' WHEN score >= 65 THEN 'Strong map' WHEN score >= 50 THEN 'Playable with house rules' WHEN score >= 35 THEN 'Marginal' ELSE 'Not recommended as a transit game' END AS band, (most / 10.0::DOUBLE) AS points FROM fs")
+def fitness(t: Tables) -> DataFrame:
+    """The rating of every service day: six blocks, five caps, a band; no rating on under 60 points."""
+    m, _ = staged(measures(t), "measures")
+    blocks = C.subscores(C.metric_rows(m, C.FITNESS, "service_id"), "service_id")
+    out = C.fitness(blocks, C.caps(m, "service_id"), "service_id")
+    return out.select("service_id", F.round(F.col("raw_score") * 10).cast("long").alias("raw_tenths"), F.round(F.col("score") * 10).cast("long").alias("tenths"), "capped_by", "band", F.col("available_points").alias("points"))
 
 
 @query("a42_one_route_share", views=["stop_times", "trips"], sql="""
@@ -111,13 +192,62 @@ def threats(t: Tables) -> DataFrame:
     return zone_scores(t).select("zone_id", F.explode(F.slice(each, 1, 3)).alias("e")).select("zone_id", "e.q", "e.s")
 
 
-@query("a46_zone_axes", sql=f"""
-WITH {ZONE_SCORES}, l AS (SELECT zone_id, excluded, unnest(['a', 'b', 'c']) AS axis, unnest([a, b, c]) AS v FROM sc) SELECT zone_id, sum(v)::BIGINT AS total, max(v) AS best, arg_max(axis, struct_pack(v := v, x := -ascii(axis))) AS best_axis, least(sum(v), CASE WHEN excluded THEN 45 ELSE 300 END)::BIGINT AS capped FROM l GROUP BY zone_id, excluded""")
+def zone_measures(t: Tables, radius: float = 402.336, t90_min: float = 90.0) -> DataFrame:
+    """A row of measures for each zone: company, reach, service, spots, amenities, exposure."""
+    from . import journeys as J
+
+    zones, _ = staged(S.projected(t.zones).select("zone_id", "lat", "lon", "x", "y"), "zones")
+    n = zones.agg(F.count("*").alias("n_zones"))
+    joint = t.zones.select("zone_id", F.count("*").over(W.partitionBy(F.right("zone_id", F.lit(2)).cast("int") % 7, F.right("zone_id", F.lit(3)).cast("int") % 3)).alias("block"))
+    asked, _ = staged(seekers(t), "seekers")
+    s = asked.count()
+    # survival of each question with the cards it costs
+    alone = V.photo(t.zones.select("zone_id", (F.right("zone_id", F.lit(2)).cast("int") % 7).alias("class_key"))).select("zone_id", F.col("agree").alias("photo"))
+    disc = V.radar(zones.select("zone_id", "x", "y"), asked, 800.0).select("zone_id", (F.col("agree") / F.lit(max(s, 1))).alias("radar"))
+    place = lambda c: F.concat(F.lit("z"), F.substr(c, F.lit(2))).alias("zone_id")
+    run = J.arrivals(t, J.hub(t)).select(place("stop_id"), ((F.col("arr_s") - J.DEPART) / 60.0).alias("travel_min"), F.greatest(F.lit(0), F.col("legs") - 1).alias("transfers"))
+    home = R.journeys(J.events(t), J.walks(t), J.hub(t).withColumn("dep_s", F.lit(J.ARRIVE)), backward=True).select(place("stop_id"), F.col("arr_s").alias("home_s"))
+    first = J.events(t).agg(F.min("dep_s").alias("first_s"))
+    member, _ = staged(S.within(zones.select("zone_id", "x", "y"), S.projected(t.stops).select("stop_id", "x", "y"), radius).select("zone_id", "stop_id"), "members")
+    ev = J.events(t).join(t.trips.select("trip_id", "route_id"), "trip_id").join(member, "stop_id")
+    served = ev.groupBy("zone_id").agg(F.countDistinct("route_id").alias("routes"), F.max("dep_s").alias("last_s"))
+    gap = H.gaps(ev.filter("dep_s between 21600 and 79200").select("zone_id", "dep_s").distinct(), ["zone_id"]).groupBy("zone_id").agg((F.expr("percentile_disc(0.5) within group (order by gap)") / 60.0).alias("headway_min"))
+    middle = served.agg(F.expr("percentile_disc(0.5) within group (order by last_s)").alias("median_last_s"))
+    pois = S.projected(t.pois).select("poi_id", "category", "size", "x", "y")
+    near, _ = staged(S.within(zones.select("zone_id", "x", "y"), pois, 1.5 * radius).select("zone_id", "poi_id", "category", "size", "dist"), "near")
+    inside = F.col("dist") <= radius
+    kind = lambda *k: F.count_if(inside & F.col("category").isin(*k))
+    weight = F.sum(F.when(inside & F.col("category").isin("PROMO", "SMALL"), F.when(F.col("size") % 24 == 0, 1.0).otherwise(0.5)))
+    found = near.groupBy("zone_id").agg(weight.alias("spot_weight"), kind("SMALL").alias("toilets"), F.count_if(F.col("category") == "SMALL").alias("toilets_wide"), kind("LARGE").alias("libraries"), kind("ECONOMY", "STANDARD").alias("food"), kind("PROMO").alias("benches"), F.count_if(inside).alias("features"))
+    spots = near.filter(inside & F.col("category").isin("PROMO", "SMALL")).select("zone_id", "poi_id").join(pois.select("poi_id", "x", "y"), "poi_id")
+    key = F.struct("zone_id", "poi_id")
+    links = S.within(spots.select(key.alias("a"), F.col("zone_id").alias("z"), "x", "y"), spots.select(key.alias("b"), F.col("zone_id").alias("z"), "x", "y"), 100.0, on=["z"]).filter("a < b").select("a", "b")
+    clusters = G.clusters(spots.select(key.alias("k")), "k", links).groupBy("k.zone_id").agg(F.countDistinct("cluster").alias("spot_clusters"))
+    near_zones = S.pairs_within(zones, "zone_id", 1609.344).select(F.explode(F.array("a", "b")).alias("zone_id")).groupBy("zone_id").agg(F.count("*").alias("neighbours"))
+    edge = edge_fraction(t).select("zone_id", (F.col("outside") / 128.0).alias("edge_share"))
+    whole = zones.select("zone_id")
+    for part in (joint, alone, disc, run, home, served, gap, found, clusters, near_zones, edge):
+        whole = whole.join(part, "zone_id", "left")
+    for row in (n, first, middle):
+        whole = whole.crossJoin(F.broadcast(row))  # one row each
+    p, r = F.col("photo") / F.col("n_zones"), F.col("radar") / F.col("n_zones")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("routes", "spot_weight", "spot_clusters", "toilets", "toilets_wide", "libraries", "food", "benches", "features", "neighbours")}
+    toilet = F.when(F.col("toilets") > 0, 1.0).when(F.col("toilets_wide") > 0, 0.5).otherwise(0.0) + F.when(F.col("libraries") > 0, 1.0).otherwise(0.0)
+    return whole.withColumns(zero).withColumns({
+        "joint_share": F.col("block") / F.col("n_zones"),
+        "pin_worst": F.greatest(1 - p, (1 - r) / 2), "cheap_pin": 1 - p, "mean_survival": (p + r / 2) / 1.5,
+        "travel_ratio": F.col("travel_min") / J.HIDING_MIN, "seeker_ratio": F.col("travel_min") / t90_min,
+        "exit_margin_min": (F.col("home_s") - F.col("first_s") - REQUIRED_H * 3600) / 60.0,
+        "toilet": F.least(F.lit(1.0), toilet), "shelter": F.least(F.lit(2.0), F.col("benches") * 0.25), "enclosed_share": F.lit(None).cast("double"),
+    })
+
+
+@query("a46_zone_axes", views=MEASURE_VIEWS)
 def zone_axes(t: Tables) -> DataFrame:
-    long = zone_scores(t).select("zone_id", "excluded", F.explode(F.array(*[F.struct(F.lit(x).alias("axis"), F.col(x).alias("v")) for x in "abc"])).alias("m")).select("zone_id", "excluded", "m.*")
-    top = F.max(F.struct("v", (-F.ascii("axis")).alias("o"), "axis")).alias("m")
-    g = long.groupBy("zone_id", "excluded").agg(F.sum("v").alias("total"), top)
-    return g.select("zone_id", "total", F.col("m.v").alias("best"), F.col("m.axis").alias("best_axis"), F.least("total", F.when(F.col("excluded"), 45).otherwise(300)).cast("long").alias("capped"))
+    """Seventeen metrics on six axes, flags and caps of every zone; the tests hold the rule table against rows worked out by hand."""
+    out = C.zone_scores(zone_measures(t))
+    axes = [f"{x}_{kind}" for x in C.ZONE_AXES for kind in ("earned", "most")]
+    return out.select("zone_id", "overall", "capped_by", F.array_join("flags", ",").alias("flags"), "excluded", *axes)
 
 
 AXES = ("a", "b", "c")
@@ -152,14 +282,15 @@ def dossiers(t: Tables, radius: float = 402.336) -> DataFrame:
     return t.spark.createDataFrame([(i, int(p.zone_id), int(p.overall)) for i, p in enumerate(picked)], "place int, zone_id long, overall long")
 
 
-@query("d12_findings", sql=f"""
-WITH {SCORED}, f AS (SELECT id, block, tenths, points * 10 AS most, tenths / (points * 10)::DOUBLE AS frac FROM r WHERE available)
-SELECT id, block, CASE WHEN frac < 0.35 THEN 'concern' ELSE 'plus' END AS kind, (most - tenths)::BIGINT AS lost, CASE WHEN most - tenths >= 150 THEN 'high' WHEN most - tenths >= 80 THEN 'medium' ELSE 'low' END AS severity FROM f WHERE frac < 0.35 OR frac > 0.85""")
+@query("d12_findings", views=MEASURE_VIEWS, sql=f"""
+WITH {SCORED}, f AS (SELECT service_id, block, metric, tenths, most, tenths / most::DOUBLE AS frac FROM sm WHERE tenths IS NOT NULL)
+SELECT service_id, block, metric, CASE WHEN frac < 0.35 THEN 'concern' ELSE 'plus' END AS kind, (most - tenths)::BIGINT AS lost, CASE WHEN most - tenths >= 50 THEN 'high' WHEN most - tenths >= 30 THEN 'medium' ELSE 'low' END AS severity FROM f WHERE frac < 0.35 OR frac > 0.85""")
 def findings(t: Tables) -> DataFrame:
-    f = metrics(t).filter("available").withColumn("most", F.col("points") * 10).withColumn("frac", F.col("tenths") / F.col("most"))
+    """Metrics that lose or win most of their points."""
+    f = metrics(t).filter("available").withColumn("frac", F.col("tenths") / F.col("most"))
     lost = F.col("most") - F.col("tenths")
     kept = f.filter("frac < 0.35 or frac > 0.85")
-    return kept.select("id", "block", F.when(F.col("frac") < 0.35, "concern").otherwise("plus").alias("kind"), lost.cast("long").alias("lost"), F.when(lost >= 150, "high").when(lost >= 80, "medium").otherwise("low").alias("severity"))
+    return kept.select("service_id", "block", "metric", F.when(F.col("frac") < 0.35, "concern").otherwise("plus").alias("kind"), lost.cast("long").alias("lost"), F.when(lost >= 50, "high").when(lost >= 30, "medium").otherwise("low").alias("severity"))
 
 
 #: House rules: id, place in the order, condition over the facts.
@@ -197,8 +328,6 @@ r(poi_id, c) AS (SELECT poi_id, poi_id FROM s UNION SELECT e.v, r.c FROM r JOIN
 SELECT category, count(DISTINCT c) AS clusters FROM m JOIN s USING (poi_id) GROUP BY 1""")
 def spot_clusters(t: Tables) -> DataFrame:
     """Clusters of spots within 300 m of each other, by category."""
-    from ..operators import graph as G
-
     s = S.projected(t.pois.filter("size = 3")).select("poi_id", "category", "x", "y")
     own = s.select(F.col("poi_id").alias("a"), "category", "x", "y")
     other = s.select(F.col("poi_id").alias("b"), "category", "x", "y")
