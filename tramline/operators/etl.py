@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -53,6 +54,33 @@ def signed_count(terms: DataFrame) -> DataFrame:
     return terms.groupBy("curse").agg(F.when(~base, total).alias("n"))
 
 
+def where(df: DataFrame, predicate: str) -> DataFrame:
+    """Rows that hold a predicate in which double quotes name columns; a column that the layer lacks is null, so what rests on it alone holds nowhere."""
+    named = {n.replace('""', '"') for n in re.findall(r'"((?:[^"]|"")*)"', re.sub(r"'(?:[^']|'')*'", "''", predicate))}
+    bare = set(re.findall(r"\b[A-Za-z_][A-Za-z0-9_]*\b", re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"", " ", predicate)))
+    own = {c.lower() for c in df.columns}
+    lacking = sorted(n for n in named | {b for b in bare if b.upper() not in WORDS} if n.lower() not in own)
+    text = re.sub(r"'(?:[^']|'')*'|\"((?:[^\"]|\"\")*)\"", lambda m: m.group(0) if m.group(0)[0] == "'" else "`" + m.group(1).replace('""', '"') + "`", predicate)
+    return df.withColumns({n: F.lit(None).cast("string") for n in lacking}).filter(text).drop(*lacking)
+
+
+#: Words of a predicate that are no columns.
+WORDS = {"AND", "OR", "NOT", "IN", "IS", "NULL", "LIKE", "BETWEEN", "TRUE", "FALSE", "ILIKE", "RLIKE", "CAST", "AS", "INT", "DOUBLE", "STRING", "COALESCE"}
+
+
+def manifest_union(parts: Sequence[DataFrame]) -> DataFrame:
+    """Shards' manifests (layer, ..., cell_deg) one after the other; raises where two shards name a layer or cells differ in size."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part, allowMissingColumns=True)
+    twice = [r.layer for r in every.groupBy("layer").count().filter("count > 1").orderBy("layer").limit(5).collect()]
+    if twice:
+        raise ValueError(f"more than one shard holds {', '.join(twice)}")
+    if every.filter("cell_deg is not null").select("cell_deg").distinct().limit(2).count() > 1:
+        raise ValueError("the shards' cells differ in size")
+    return every
+
+
 def max_speed_kmh(tag: str):
     """The largest speed of a tag like ``160;200 mph``, in km/h."""
     numbers = F.regexp_extract_all(F.col(tag), F.lit(r"(\d+(?:\.\d+)?)\s*(?:mph|knots|km/h)?"), 1)

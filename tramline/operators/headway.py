@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 
 def first_departures(departures: DataFrame, keys: Sequence[str] = ("stop_id", "trip_id")) -> DataFrame:
     """One departure of a trip at a stop: its earliest."""
@@ -64,6 +66,5 @@ def changes(rows: DataFrame, by: str, order: Sequence[str], value: str) -> DataF
 
 
 def strided(rows: DataFrame, order: Sequence[str], stride: int, offset: int = 0) -> DataFrame:
-    """Every ``stride``-th row in order.  Meant for tables of places, which one task can number."""
-    at = F.row_number().over(W.orderBy(*order)) - 1
-    return rows.withColumn("position", at).filter((F.col("position") % stride) == offset)
+    """Every ``stride``-th row in order, which must be total."""
+    return numbered(rows, order).filter((F.col("position") % stride) == offset)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import LAT0, LON0
 from ..functions import geo
+from ..stage import staged
 
 
 def projected(df: DataFrame, lat0: float = LAT0, lon0: float = LON0) -> DataFrame:
@@ -42,10 +43,12 @@ def pairs_within(points: DataFrame, key: str, radius: float) -> DataFrame:
     return within(own, other, radius).filter("a < b")
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: Sequence[str], target: str, first_m: float = 200.0, last_m: float = 1e7, on: Sequence[str] = (), where: str | None = None) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, key: Sequence[str], target: str, first_m: float = 200.0, last_m: float = 5e7, on: Sequence[str] = (), where: str | None = None) -> DataFrame:
     """Each point's nearest target (ties to the smaller one) and dist: rings that grow until all have one.
 
     Targets must agree in the columns of ``on`` and hold ``where``, an expression over the columns of both sides.
+    The last ring is wider than the earth, so only points that no target fits are left out.  Points without a target yet are
+    written between rings, so a ring reads them and doesn't repeat those before it.
     """
     keys = list(key)
     found: DataFrame | None = None
@@ -53,12 +56,12 @@ def nearest(points: DataFrame, targets: DataFrame, key: Sequence[str], target: s
     while True:
         near = within(left, targets, radius, on)
         near = near if where is None else near.filter(where)
-        hit = near.groupBy(*keys).agg(F.min(F.struct("dist", target)).alias("m")).select(*keys, f"m.{target}", "m.dist")
+        hit, _ = staged(near.groupBy(*keys).agg(F.min(F.struct("dist", target)).alias("m")).select(*keys, f"m.{target}", "m.dist"), "ring")
         found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit, keys, "left_anti")
-        radius *= 4
+        left, _ = staged(left.join(hit, keys, "left_anti"), "left")
         if radius > last_m or left.isEmpty():
             return found
+        radius *= 4
 
 
 def footpaths(stops: DataFrame, transfers: DataFrame, radius: float = 400.0, detour: float = 1.3, speed: float = 1.2) -> DataFrame:
@@ -74,11 +77,17 @@ def footpaths(stops: DataFrame, transfers: DataFrame, radius: float = 400.0, det
     return out.select("from_stop", "to_stop", F.coalesce(F.greatest("walk_s", "least"), "given").cast("int").alias("walk_s"))
 
 
-def inventory(zones: DataFrame, pois: DataFrame, categories: list[str], radius: float) -> DataFrame:
-    """POIs of each category within ``radius`` of each zone; categories without any are 0."""
-    hits = within(zones.select("zone_id", "x", "y"), pois.select("poi_id", "category", "x", "y"), radius)
-    counts = hits.groupBy("zone_id").pivot("category", categories).count()
-    return zones.select("zone_id").join(counts, "zone_id", "left").fillna(0, categories)
+def inventory(zones: DataFrame, pois: DataFrame, categories: list[str], radius: float, wide: dict[str, float] | None = None) -> DataFrame:
+    """POIs of each category within ``radius`` of each zone; categories without any are 0.
+
+    ``wide`` gives categories that also count, as ``category_wide``, within so many times the radius.
+    """
+    wide = wide or {}
+    hits = within(zones.select("zone_id", "x", "y"), pois.select("poi_id", "category", "x", "y"), radius * max([1.0, *wide.values()]))
+    own = [F.count_if((F.col("category") == c) & (F.col("dist") <= radius)).alias(c) for c in categories]
+    own += [F.count_if((F.col("category") == c) & (F.col("dist") <= radius * k)).alias(f"{c}_wide") for c, k in wide.items()]
+    counts = hits.groupBy("zone_id").agg(*own)
+    return zones.select("zone_id").join(counts, "zone_id", "left").fillna(0, [*categories, *(f"{c}_wide" for c in wide)])
 
 
 def edges(areas: DataFrame, key: str, ring: str) -> DataFrame:

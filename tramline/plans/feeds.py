@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..adapters import Tables
 from ..catalog import query
+from ..operators import merge as M
 
 #: Three feeds cut from the orders by month: their trips, windows and order.
 FEEDS = "tf AS (SELECT o_orderkey AS trip_id, o_custkey % 25 AS route, (month(o_orderdate) % 3)::INT AS feed, o_orderdate::DATE AS day FROM orders), fw AS (SELECT feed, count(*) AS trips, min(day) AS a, max(day) AS b FROM tf GROUP BY 1), ord AS (SELECT *, 'f' || (row_number() OVER (ORDER BY md5(feed::VARCHAR), feed) - 1) AS tag FROM fw)"
@@ -35,6 +38,35 @@ def merged_trips(t: Tables) -> DataFrame:
     return rows.select(F.concat("tag", F.lit(":"), "trip_id").alias("trip_id"), F.concat("tag", F.lit(":r"), "route").alias("route_id"))
 
 
+@query("u1_merged_tables", views=["stops", "stop_times", "calendar"], sql=f"""
+WITH {FEEDS}, st AS (SELECT tag, s.trip_id, s.stop_id FROM stop_times s JOIN tf USING (trip_id) JOIN ord USING (feed))
+SELECT 'trips' AS name, count(*) AS n, count(DISTINCT tag || ':' || trip_id) AS ids, min(tag || ':' || trip_id) AS first_id FROM tf JOIN ord USING (feed)
+UNION ALL SELECT 'routes', count(*), count(*), min(id) FROM (SELECT DISTINCT tag || ':r' || route AS id FROM tf JOIN ord USING (feed))
+UNION ALL SELECT 'stop_times', count(*), count(DISTINCT tag || ':' || trip_id), min(tag || ':' || trip_id) FROM st
+UNION ALL SELECT 'stops', count(*), count(*), min(tag || ':' || stop_id) FROM stops, ord
+UNION ALL SELECT 'calendar', count(*), count(*), min(tag || ':' || service_id) FROM calendar, ord
+UNION ALL SELECT 'agency', count(*), count(*), min(tag || ':a') FROM ord""")
+def merged_tables(t: Tables) -> DataFrame:
+    """Three feeds' tables as one: rows, ids and the first id of each."""
+    rows = feed_trips(t)
+    dates = {r.feed: r for r in merge_order(t).collect()}  # a row a feed
+    feeds = []
+    for k, r in sorted(dates.items()):
+        own = rows.filter(F.col("feed") == k)
+        tables = {
+            "agency": t.spark.createDataFrame([("a", f"agency {k}")], "agency_id string, agency_name string"), "trips": own.select("trip_id", F.concat(F.lit("r"), "route").alias("route_id")), "routes": own.select(F.concat(F.lit("r"), "route").alias("route_id")).distinct().withColumn("agency_id", F.lit("")),
+            "stop_times": t.stop_times.join(own.select("trip_id"), "trip_id").select("trip_id", "stop_id", "seq"), "stops": t.stops.select("stop_id", "stop_name"), "calendar": t.calendar.select("service_id", "weekday"),
+        }
+        feeds.append(M.Feed(tables, hashlib.md5(str(k).encode()).hexdigest(), str(k), "", r.a.strftime("%Y%m%d"), r.b.strftime("%Y%m%d")))
+    whole = M.merged(t.spark, feeds).tables
+    keys = {"trips": "trip_id", "routes": "route_id", "stop_times": "trip_id", "stops": "stop_id", "calendar": "service_id", "agency": "agency_id"}
+    parts = [whole[n].agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.countDistinct(c).alias("ids"), F.min(c).alias("first_id")) for n, c in keys.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query("u1_merged_window", sql=f"WITH {FEEDS}, m AS (SELECT max(a) AS a, min(b) AS b, min(a) AS ua, max(b) AS ub FROM ord) SELECT CASE WHEN a <= b THEN a ELSE ua END AS start_date, CASE WHEN a <= b THEN b ELSE ub END AS end_date, CASE WHEN a > b THEN 'merge_no_overlap' WHEN b - a < 6 THEN 'merge_short_overlap' END AS note FROM m")
 def merged_window(t: Tables) -> DataFrame:
     """The days all feeds cover; all days, with a note, where there are none."""

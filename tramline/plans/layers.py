@@ -44,9 +44,12 @@ def stop_lists(t: Tables) -> DataFrame:
     return t("events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"), F.length("props").cast("long").alias("n"))
 
 
-@query("s17_density_scan", views=["cells"], sql="SELECT row, col, count(*) AS n FROM cells GROUP BY ALL")
+@query("s17_density_scan", views=["cells"], sql="SELECT row, col, count(*) FILTER (WHERE c_mktsegment <> 'BUILDING') AS n FROM cells WHERE (row + 0.5::DOUBLE) * 0.002::DOUBLE BETWEEN 42.804 AND 42.82 AND (col + 0.5::DOUBLE) * 0.002::DOUBLE BETWEEN -85.893 AND -85.87 GROUP BY ALL HAVING count(*) FILTER (WHERE c_mktsegment <> 'BUILDING') > 0")
 def density_scan(t: Tables) -> DataFrame:
-    return t.cells.groupBy("row", "col").agg(F.count("*").alias("n"))
+    """Cells whose centre lies in the box and that count anything."""
+    lat, lon = (F.col("row") + 0.5) * 0.002, (F.col("col") + 0.5) * 0.002
+    inside = t.cells.filter(lat.between(42.804, 42.82) & lon.between(-85.893, -85.87))
+    return inside.groupBy("row", "col").agg(F.count_if(F.col("c_mktsegment") != "BUILDING").alias("n")).filter("n > 0")
 
 
 @query("a51_density_bins", views=["cells"], sql="SELECT row, col, c_mktsegment AS kind, count(*) AS n FROM cells GROUP BY ALL")
@@ -82,18 +85,21 @@ def public_spots(t: Tables) -> DataFrame:
     return rows.filter(~F.element_at("tags", "access").isin("private", "no")).select("p_partkey", (F.element_at("tags", "opening_hours") == "24/7").alias("all_hours"))
 
 
-@query("p11_high_speed", sql="SELECT p_partkey, round(greatest(p_size * 4, CASE WHEN p_partkey % 3 = 0 THEN p_size * 3 * 1.609344::DOUBLE ELSE p_size * 3 END) * 100)::BIGINT AS kmh_e2 FROM part WHERE greatest(p_size * 4, CASE WHEN p_partkey % 3 = 0 THEN p_size * 3 * 1.609344::DOUBLE ELSE p_size * 3 END) >= 150")
+#: Fixed value: from here on a line is high-speed.
+HIGH_SPEED_KMH = 200
+
+
+@query("p11_high_speed", sql="SELECT p_partkey, round(greatest(p_size * 4, CASE WHEN p_partkey % 3 = 0 THEN p_size * 3 * 1.609344::DOUBLE ELSE p_size * 3 END) * 100)::BIGINT AS kmh_e2 FROM part WHERE p_brand = 'Brand#11' OR greatest(p_size * 4, CASE WHEN p_partkey % 3 = 0 THEN p_size * 3 * 1.609344::DOUBLE ELSE p_size * 3 END) >= 200")
 def high_speed(t: Tables) -> DataFrame:
     tag = F.concat((F.col("p_size") * 4).cast("string"), F.lit(";"), (F.col("p_size") * 3).cast("string"), F.when(F.col("p_partkey") % 3 == 0, " mph").otherwise(""))
-    rows = t("part").select("p_partkey", tag.alias("maxspeed")).withColumn("kmh", etl.max_speed_kmh("maxspeed"))
-    return rows.filter("kmh >= 150").select("p_partkey", F.round(F.col("kmh") * 100).cast("long").alias("kmh_e2"))
+    rows = t("part").select("p_partkey", F.when(F.col("p_brand") == "Brand#11", "yes").alias("highspeed"), tag.alias("maxspeed")).withColumn("kmh", etl.max_speed_kmh("maxspeed"))
+    return rows.filter((F.col("highspeed") == "yes") | (F.col("kmh") >= HIGH_SPEED_KMH)).select("p_partkey", F.round(F.col("kmh") * 100).cast("long").alias("kmh_e2"))
 
 
 @query("p13_sparse_filter", sql="SELECT p_partkey FROM part WHERE p_size < 10")
 def sparse_filter(t: Tables) -> DataFrame:
     """A predicate over a column that a layer lacks: it is null there, and the rest of the predicate decides."""
-    wide = t("part").limit(0).withColumn("cuisine", F.lit(None).cast("string"))
-    return wide.unionByName(t("part"), allowMissingColumns=True).filter("p_size < 10 or cuisine = 'thai'").select("p_partkey")
+    return etl.where(t("part"), "p_size < 10 OR cuisine = 'thai' OR \"name:en\" IS NOT NULL").select("p_partkey")
 
 
 @query("p14_projection", sql="SELECT p_partkey, p_name FROM part")
@@ -183,9 +189,12 @@ def envelopes(t: Tables) -> DataFrame:
     return t.pois.groupBy("brand").agg(r(F.min("lat")).alias("s"), r(F.min("lon")).alias("w"), r(F.max("lat")).alias("n"), r(F.max("lon")).alias("e"))
 
 
-@query("u12_manifest_union", sql="SELECT p_brand AS layer, count(*) AS n, count(DISTINCT p_type) > 1 AS split, min(p_size) AS oldest FROM part GROUP BY 1")
+@query("u12_manifest_union", sql="SELECT p_brand AS layer, (p_partkey % 3)::INT AS shard, count(*) AS features, 0.002::DOUBLE AS cell_deg FROM part WHERE substr(p_brand, -1)::INT % 3 = p_partkey % 3 GROUP BY ALL")
 def manifest_union(t: Tables) -> DataFrame:
-    return t("part").groupBy(F.col("p_brand").alias("layer")).agg(F.count("*").alias("n"), (F.countDistinct("p_type") > 1).alias("split"), F.min("p_size").alias("oldest"))
+    """Manifests of three shards as one; a layer that two name, or cells of two sizes, end the query."""
+    own = t("part").filter(F.right("p_brand", F.lit(1)).cast("int") % 3 == F.col("p_partkey") % 3)
+    parts = [own.filter(F.col("p_partkey") % 3 == i).groupBy(F.col("p_brand").alias("layer"), F.lit(i).alias("shard")).agg(F.count("*").alias("features")).withColumn("cell_deg", F.lit(0.002)) for i in range(3)]
+    return etl.manifest_union(parts)
 
 
 @query("s23_typed_areas", sql="SELECT n_nationkey AS id, CASE n_regionkey WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 6 ELSE 8 END AS level, CASE WHEN n_regionkey = 0 THEN upper(substr(n_name, 1, 2)) END AS iso FROM nation WHERE n_nationkey % 5 <> 4")

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 from ..adapters import Tables
 from ..catalog import query
 from ..functions import geo, numeric
+from ..operators import merge as M
 from ..operators import spatial as S
+from ..operators.order import numbered
 from ..operators import timetable as T
 from .service import CAL, PROFILES, _profiles
 from .spatial import DIST, XY
 
 ST = ("stop_times", "trips", "stops")
+#: Playing hours of a game's sizes.
+PLAYING_HOURS = {"small": 6, "medium": 10, "large": 12}
 
 
 def _served(t: Tables) -> DataFrame:
@@ -38,13 +42,11 @@ def agency_trips(t: Tables) -> DataFrame:
 
 
 @query("a25_feed_window", views=CAL, sql="""
-SELECT coalesce(i.a, c.a, d.a) AS start_date, coalesce(i.b, c.b, d.b) AS end_date FROM (SELECT min(NULL::DATE) AS a, min(NULL::DATE) AS b) i, (SELECT min(start_date) AS a, max(end_date) AS b FROM calendar) c, (SELECT min(date) AS a, max(date) AS b FROM calendar_dates) d""")
+SELECT coalesce(i.a, c.a, d.a) AS start_date, coalesce(i.b, c.b, d.b) AS end_date FROM (SELECT min(ts)::DATE AS a, NULL::DATE AS b FROM events) i, (SELECT min(start_date) AS a, max(end_date) AS b FROM calendar) c, (SELECT min(date) AS a, max(date) AS b FROM calendar_dates WHERE exception_type = 1) d""")
 def feed_window(t: Tables) -> DataFrame:
-    """From the feed's own note, else its calendar, else its dates."""
-    info = t.calendar.limit(0).agg(F.min("start_date").alias("ia"), F.max("end_date").alias("ib"))
-    cal = t.calendar.agg(F.min("start_date").alias("ca"), F.max("end_date").alias("cb"))
-    dates = t.calendar_dates.agg(F.min("date").alias("da"), F.max("date").alias("db"))
-    return info.crossJoin(cal).crossJoin(dates).select(F.coalesce("ia", "ca", "da").alias("start_date"), F.coalesce("ib", "cb", "db").alias("end_date"))  # one row each
+    """From the feed's own note (which here names only the start, where there are events), else its calendar, else its dates."""
+    info = t("events").agg(F.to_date(F.min("ts")).alias("start_date")).select("start_date", F.lit(None).cast("date").alias("end_date"))
+    return M.window(info, t.calendar, t.calendar_dates)
 
 
 @query("a10_network_metrics", views=CAL, sql=f"""
@@ -123,12 +125,14 @@ def route_spokes(t: Tables) -> DataFrame:
 
 
 @query("a23_evening_zones", views=("stops", "zones", "stop_times"), sql=f"""
-WITH {XY['stops']}, {XY['zones']}, l AS (SELECT stop_id, max(dep_s) AS last_s FROM stop_times GROUP BY 1), z AS (SELECT a.zone_id, bool_or(last_s >= 72000) AS late FROM zones_xy a JOIN stops_xy b ON {DIST} <= 400 JOIN l USING (stop_id) GROUP BY 1)
-SELECT count(*) AS zones, count(*) FILTER (WHERE late) AS late FROM z""")
+WITH {XY['stops']}, {XY['zones']}, l AS (SELECT stop_id, max(dep_s) AS last_s FROM stop_times GROUP BY 1), z AS (SELECT a.zone_id, max(last_s) AS last_s FROM zones_xy a JOIN stops_xy b ON {DIST} <= 400 JOIN l USING (stop_id) GROUP BY 1), f AS (SELECT greatest(min(dep_s), 28800) AS s FROM stop_times)
+SELECT size, count(*) AS zones, count(*) FILTER (WHERE last_s >= s + hours * 3600) AS late FROM z, f, (VALUES ('small', 6), ('medium', 10), ('large', 12)) v(size, hours) GROUP BY 1""")
 def evening_zones(t: Tables) -> DataFrame:
     last = t.stop_times.groupBy("stop_id").agg(F.max("dep_s").alias("last_s"))
     hits = S.within(S.projected(t.zones).select("zone_id", "x", "y"), S.projected(t.stops).select("stop_id", "x", "y"), 400).join(last, "stop_id")
-    return hits.groupBy("zone_id").agg(F.bool_or(F.col("last_s") >= 72000).alias("late")).agg(F.count("*").alias("zones"), F.count_if("late").alias("late"))
+    z = hits.groupBy("zone_id").agg(F.max("last_s").alias("last_s")).crossJoin(F.broadcast(t.stop_times.agg(F.greatest(F.min("dep_s"), F.lit(28800)).alias("s"))))  # one row
+    sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("size"), F.lit(h).alias("hours")) for k, h in PLAYING_HOURS.items()]))
+    return z.select("last_s", "s", sizes.alias("v")).groupBy("v.size").agg(F.count("*").alias("zones"), F.count_if(F.col("last_s") >= F.col("s") + F.col("v.hours") * 3600).alias("late"))
 
 
 @query("a6_medians", views=["departures"], sql="""
@@ -178,9 +182,9 @@ def served_in_play(t: Tables) -> DataFrame:
     return served if both.isEmpty() else both
 
 
-@query("p18_stop_index", views=["stops"], sql="SELECT stop_id, (row_number() OVER (ORDER BY stop_id) - 1)::INT AS i FROM stops")
+@query("p18_stop_index", views=["stops"], sql="SELECT stop_id, row_number() OVER (ORDER BY stop_id) - 1 AS i FROM stops")
 def stop_index(t: Tables) -> DataFrame:
-    return t.stops.select("stop_id", (F.row_number().over(W.orderBy("stop_id")) - 1).alias("i"))
+    return numbered(t.stops.select("stop_id"), ["stop_id"], "i")
 
 
 @query("j21_owning_zone", views=["stops", "zones"], sql=f"WITH {XY['stops']}, {XY['zones']} SELECT s.stop_id, min(z.zone_id) AS zone_id FROM stops s LEFT JOIN (SELECT b.stop_id, a.zone_id FROM zones_xy a JOIN stops_xy b ON {DIST} <= 300) z USING (stop_id) GROUP BY 1")

@@ -175,7 +175,7 @@ def collapsed(t: Tables) -> DataFrame:
 
 @query("w10_strided_stops", views=["stops"], sql="SELECT stop_id, p::INT AS position FROM (SELECT stop_id, row_number() OVER (ORDER BY stop_id) - 1 AS p FROM stops) WHERE p % 7 = 0")
 def strided_stops(t: Tables) -> DataFrame:
-    return H.strided(t.stops.select("stop_id"), ["stop_id"], 7).select("stop_id", "position")
+    return H.strided(t.stops.select("stop_id"), ["stop_id"], 7).select("stop_id", F.col("position").cast("int").alias("position"))
 
 
 FREQUENCIES = "SELECT trip_id, 21600 AS start_s, 21600 + (trip_id % 5)::INT * 1800 AS end_s, 600 + (trip_id % 4)::INT * 300 AS headway_s FROM trips WHERE direction_id = 1 AND service_id = 'wd6'"

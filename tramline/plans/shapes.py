@@ -107,13 +107,13 @@ def assigned_regions(t: Tables) -> DataFrame:
 
 @query("j25_coarse_containers", views=["zones"], sql=f"""
 WITH {AREAS}, {EDGES}, {GRID_POINTS}, {IN_RING}, {SIZES}, n AS (SELECT area_id, count(*) AS n FROM c GROUP BY 1), o AS (SELECT a.area_id AS fine, b.area_id AS coarse, count(*) AS both_ FROM c a JOIN c b USING (zone_id) WHERE a.area_id <> b.area_id GROUP BY 1, 2)
-SELECT fine, arg_max(coarse, struct_pack(s := size2, a := -coarse)) AS coarse FROM o JOIN n ON n.area_id = fine JOIN sz ON sz.area_id = coarse WHERE both_ >= 0.5 * n AND size2 <= 20000 GROUP BY 1""")
+SELECT fine, arg_max(coarse, struct_pack(s := size2, a := -coarse)) AS coarse FROM o JOIN n ON n.area_id = fine JOIN sz ON sz.area_id = coarse WHERE both_ >= 0.98 * n AND size2 <= 20000 GROUP BY 1""")
 def coarse_containers(t: Tables) -> DataFrame:
     """The largest region under a cap that holds most of another's places."""
     c = S.inside(_points(t), _areas(t), "zone_id", "area_id", 50.0)
     n = c.groupBy(F.col("area_id").alias("fine")).agg(F.count("*").alias("n"))
     both = c.select("zone_id", F.col("area_id").alias("fine")).join(c.select("zone_id", F.col("area_id").alias("coarse")), "zone_id").filter("fine <> coarse").groupBy("fine", "coarse").agg(F.count("*").alias("both"))
-    held = both.join(n, "fine").join(_sizes(t).select(F.col("area_id").alias("coarse"), "size2"), "coarse").filter("both >= 0.5 * n and size2 <= 20000")
+    held = both.join(n, "fine").join(_sizes(t).select(F.col("area_id").alias("coarse"), "size2"), "coarse").filter("both >= 0.98 * n and size2 <= 20000")
     return held.groupBy("fine").agg(F.max(F.struct("size2", (-F.col("coarse")).alias("o"))).alias("m")).select("fine", (-F.col("m.o")).alias("coarse"))
 
 
@@ -126,12 +126,14 @@ def adjacent_shards(t: Tables) -> DataFrame:
     return a.join(b, ["cx", "cy"]).filter("a < b and ax0 <= xm and x0 <= axm and ay0 <= ym and y0 <= aym").select("a", "b").distinct()
 
 
-@query("g12_coast_segments", sql=f"WITH {AREAS}, {EDGES}, {SIZES}, n AS (SELECT area_id, unnest(range(0, len(ring))) AS i FROM areas) SELECT area_id, (i // 3)::INT AS segment, count(*) AS points FROM n JOIN sz USING (area_id) WHERE size2 >= 8000 GROUP BY ALL")
+@query("g12_coast_segments", sql=f"WITH {AREAS}, {EDGES}, {SIZES}, n AS (SELECT area_id, unnest(range(0, len(ring))) AS i FROM areas) SELECT area_id, (i // 11)::INT AS segment, count(*) + CASE WHEN max(i) + 1 < any_value(m) THEN 1 ELSE 0 END AS points FROM n JOIN sz USING (area_id) JOIN (SELECT area_id, len(ring) AS m FROM areas) USING (area_id) WHERE size2 >= 8000 GROUP BY ALL ORDER BY area_id, segment LIMIT 600")
 def coast_segments(t: Tables) -> DataFrame:
-    """Rings of large areas cut into runs of at most three points."""
+    """Rings of large areas cut into runs of at most twelve points, each from where the one before ends; 600 runs at most, the cap of the synthesis itself."""
     large = _areas(t).join(_sizes(t).filter("size2 >= 8000").select("area_id"), "area_id")
     each = large.select("area_id", F.posexplode("ring").alias("i", "p"))
-    return each.groupBy("area_id", F.floor(F.col("i") / 3).cast("int").alias("segment")).agg(F.count("*").alias("points"))
+    each = each.join(large.select("area_id", F.size("ring").alias("m")), "area_id")
+    runs = each.groupBy("area_id", F.floor(F.col("i") / 11).cast("int").alias("segment")).agg((F.count("*") + F.when(F.max("i") + 1 < F.max("m"), 1).otherwise(0)).alias("points"))
+    return runs.orderBy("area_id", "segment").limit(600)
 
 
 @query("g6_points_in_rings", views=["zones"], sql=f"WITH {AREAS}, {EDGES}, {GRID_POINTS}, {IN_RING} SELECT area_id, count(*) AS n FROM c GROUP BY 1")

@@ -10,9 +10,12 @@ from ..adapters import LAT0, LON0, Tables
 from ..catalog import query
 from ..functions import geo
 from ..operators import graph as G
+from ..operators import headway as H
 from ..operators import kernels as K
 from ..operators import spatial as S
 from ..operators import survival as V
+from ..operators.order import numbered
+from ..stage import staged
 
 R = 6371008.8
 X = f"((lon - (-85.9::DOUBLE)) * {geo.DEGREE_M!r} * cos(radians(42.8::DOUBLE)))"
@@ -117,11 +120,12 @@ KINDS = ["ECONOMY", "LARGE", "PROMO", "SMALL", "STANDARD"]
 
 
 @query("j7_zone_inventory", views=["zones", "pois"], sql=f"""
-WITH {XY['zones']}, {XY['pois']}, h AS (SELECT a.zone_id, b.category FROM zones_xy a JOIN pois_xy b ON {DIST} <= 400)
-SELECT z.zone_id, c.category, count(h.category) AS n FROM zones z CROSS JOIN (SELECT DISTINCT category FROM pois) c LEFT JOIN h ON h.zone_id = z.zone_id AND h.category = c.category GROUP BY ALL""")
+WITH {XY['zones']}, {XY['pois']}, h AS (SELECT a.zone_id, b.category FROM zones_xy a JOIN pois_xy b ON {DIST} <= 400 UNION ALL SELECT a.zone_id, 'SMALL_wide' FROM zones_xy a JOIN pois_xy b ON b.category = 'SMALL' AND {DIST} <= 600)
+SELECT z.zone_id, c.category, count(h.category) AS n FROM zones z CROSS JOIN (SELECT DISTINCT category FROM pois UNION SELECT 'SMALL_wide') c LEFT JOIN h ON h.zone_id = z.zone_id AND h.category = c.category GROUP BY ALL""")
 def zone_inventory(t: Tables) -> DataFrame:
     kinds = sorted(r[0] for r in t("part").select("p_type").distinct().collect())  # the category dimension
-    wide = S.inventory(_xy(t.zones), _xy(t.pois), kinds, 400)
+    wide = S.inventory(_xy(t.zones), _xy(t.pois), kinds, 400, wide={"SMALL": 1.5})
+    kinds = [*kinds, "SMALL_wide"]
     return wide.select("zone_id", F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.col(f"`{k}`").alias("n")) for k in kinds])).alias("c")).select("zone_id", "c.category", "c.n")
 
 
@@ -230,11 +234,13 @@ def neighbour_counts(t: Tables) -> DataFrame:
 WITH RECURSIVE {XY['stops']}, e AS (SELECT a.stop_id AS u, b.stop_id AS v FROM stops_xy a JOIN stops_xy b ON a.stop_id <> b.stop_id AND {DIST} <= 100),
 r(stop_id, c) AS (SELECT stop_id, stop_id FROM stops UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.stop_id),
 m AS (SELECT stop_id, min(c) AS cluster FROM r GROUP BY 1)
-SELECT cluster, count(*) AS n, min(stop_name) AS name, round(avg(lat) * 1e6)::BIGINT AS lat_e6, round(avg(lon) * 1e6)::BIGINT AS lon_e6 FROM m JOIN stops USING (stop_id) GROUP BY 1""")
+SELECT cluster, count(*) AS n, (SELECT stop_name FROM m m2 JOIN stops s2 USING (stop_id) WHERE m2.cluster = m.cluster GROUP BY 1 ORDER BY count(*) DESC, stop_name LIMIT 1) AS name, round(avg(lat) * 1e6)::BIGINT AS lat_e6, round(avg(lon) * 1e6)::BIGINT AS lon_e6 FROM m JOIN stops USING (stop_id) GROUP BY 1""")
 def station_clusters(t: Tables) -> DataFrame:
+    """Stops within 100 m of each other, one station; its name is its stops' most frequent, ties to the smaller."""
     stops = _xy(t.stops)
     own = G.clusters(stops, "stop_id", S.pairs_within(stops, "stop_id", 100)).join(t.stops, "stop_id")
-    return own.groupBy("cluster").agg(F.count("*").alias("n"), F.min("stop_name").alias("name"), F.round(F.avg("lat") * 1e6).cast("long").alias("lat_e6"), F.round(F.avg("lon") * 1e6).cast("long").alias("lon_e6"))
+    names = own.groupBy("cluster", "stop_name").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.min(F.struct((-F.col("c")).alias("o"), "stop_name")).alias("m")).select("cluster", F.col("m.stop_name").alias("name"))
+    return own.join(names, "cluster").groupBy("cluster", "name").agg(F.count("*").alias("n"), F.round(F.avg("lat") * 1e6).cast("long").alias("lat_e6"), F.round(F.avg("lon") * 1e6).cast("long").alias("lon_e6"))
 
 
 @query("i8_reference_seeker", views=["zones"], sql=f"""
@@ -246,16 +252,21 @@ def reference_seeker(t: Tables) -> DataFrame:
     return both.agg(F.min(F.struct(d.alias("d"), "zone_id")).alias("m")).select("m.zone_id")
 
 
+#: Pairs of stops that the radar's shares are measured on, about.
+SAMPLE_PAIRS = 200_000
+
+
 @query("a19_radar_hits", views=["stops"], sql=f"""
-WITH {XY['stops']}, s AS (SELECT *, row_number() OVER (ORDER BY stop_id) - 1 AS i FROM stops_xy),
-p AS (SELECT {DIST} AS d FROM s a JOIN s b ON b.i > a.i AND (b.i - a.i - 1 - a.i % 17) % 17 = 0 AND b.i - a.i - 1 >= a.i % 17)
+WITH {XY['stops']}, s AS (SELECT *, row_number() OVER (ORDER BY stop_id) - 1 AS i FROM stops_xy), st AS (SELECT greatest(1, count(*) * (count(*) - 1) // 2 // {SAMPLE_PAIRS}) AS k FROM stops),
+p AS (SELECT {DIST} AS d FROM st, s a JOIN s b ON b.i > a.i AND b.i - a.i - 1 >= a.i % k AND (b.i - a.i - 1 - a.i % k) % k = 0)
 SELECT r AS radius_m, count(*) AS pairs, count(*) FILTER (WHERE d <= r) AS hits FROM p, (VALUES (400), (800), (1600), (3200)) v(r) GROUP BY 1""")
 def radar_hits(t: Tables) -> DataFrame:
-    """Share of a strided sample of stop pairs within each radius: i meets i + 1 + i % 17, and every 17th after."""
-    s = _xy(t.stops).withColumn("i", F.row_number().over(W.orderBy("stop_id")) - 1).select("i", "x", "y")
-    n = t.stops.count()
+    """Share of about SAMPLE_PAIRS stop pairs within each radius, whatever the number of stops: with a stride of k, i meets i + 1 + i % k and every k-th after."""
+    s, _ = staged(numbered(_xy(t.stops).select("stop_id", "x", "y"), ["stop_id"], "i").select("i", "x", "y"), "numbered")
+    n = s.count()
+    k = max(1, n * (n - 1) // 2 // SAMPLE_PAIRS)
     a = s.select(F.col("i").alias("ai"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    meet = a.filter(F.col("ai") + 1 + F.col("ai") % 17 < n).withColumn("i", F.explode(F.sequence(F.col("ai") + 1 + F.col("ai") % 17, F.lit(n - 1), F.lit(17))))
+    meet = a.filter(F.col("ai") + 1 + F.col("ai") % k < n).withColumn("i", F.explode(F.sequence(F.col("ai") + 1 + F.col("ai") % k, F.lit(n - 1).cast("long"), F.lit(k).cast("long"))))
     d = meet.join(s, "i").select(F.sqrt((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2).alias("d"))
     rings = d.agg(F.count("*").alias("pairs"), *[F.count_if(F.col("d") <= r).alias(f"h{r}") for r in (400, 800, 1600, 3200)])
     return rings.select(F.explode(F.array(*[F.struct(F.lit(r).alias("radius_m"), F.col("pairs"), F.col(f"h{r}").alias("hits")) for r in (400, 800, 1600, 3200)])).alias("r")).select("r.*")
@@ -268,8 +279,8 @@ def seekers(t: Tables) -> DataFrame:
     """The seekers: every zone up to V.FULL zones, beyond that a strided sample of at most V.SEEKERS."""
     n = t.zones.count()
     stride = 1 if n <= V.FULL else -(-n // V.SEEKERS)
-    rows = _xy(t.zones).withColumn("p", F.row_number().over(W.orderBy("zone_id")) - 1)
-    return rows.filter(F.col("p") % stride == 0).select(F.col("zone_id").alias("seeker_id"), F.col("x").alias("sx"), F.col("y").alias("sy"))
+    rows = _xy(t.zones) if stride == 1 else H.strided(_xy(t.zones), ["zone_id"], stride)
+    return rows.select(F.col("zone_id").alias("seeker_id"), F.col("x").alias("sx"), F.col("y").alias("sy"))
 
 
 def seeker_distances(t: Tables) -> DataFrame:
@@ -289,7 +300,7 @@ SELECT round(quantile_disc({DIST}, 0.5) * 100)::BIGINT AS radius_cm FROM k a JOI
 def radar_radius(t: Tables) -> DataFrame:
     """Median distance of the pairs of at most 400 strided zones."""
     n = t.zones.count()
-    some = _xy(t.zones).withColumn("p", F.row_number().over(W.orderBy("zone_id")) - 1).filter(F.col("p") % max(1, -(-n // 400)) == 0)
+    some = H.strided(_xy(t.zones), ["zone_id"], max(1, -(-n // 400)))
     a = some.select(F.col("zone_id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     pairs = a.join(F.broadcast(some.select("zone_id", "x", "y")), F.col("a") < F.col("zone_id"))  # at most 400 rows
     d = F.sqrt((F.col("ax") - F.col("x")) ** 2 + (F.col("ay") - F.col("y")) ** 2)
@@ -333,11 +344,13 @@ def line_lengths(t: Tables) -> DataFrame:
 
 @query("g13_redundant_pairs", views=["pois"], sql=f"""
 WITH {XY['pois']}, k AS (SELECT brand || '/' || size AS category, x, y, count(*) OVER (PARTITION BY brand, size) AS n FROM pois_xy), s AS (SELECT * FROM k WHERE n = 1)
-SELECT a.category AS a, b.category AS b FROM s a JOIN s b ON a.category < b.category AND {DIST} <= 160""")
+SELECT a.category AS a, b.category AS b FROM s a JOIN s b ON a.category < b.category AND {DIST} <= (SELECT least(5000, 0.05::DOUBLE * sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y)))) FROM pois_xy)""")
 def redundant_pairs(t: Tables) -> DataFrame:
-    """Categories (brand and size) of one instance each that lie near each other."""
+    """Categories (brand and size) of one instance each that lie within a twentieth of the map's diagonal, at most 5 km."""
+    span = _xy(t.pois).agg(F.sqrt((F.max("x") - F.min("x")) ** 2 + (F.max("y") - F.min("y")) ** 2).alias("m")).first().m
+    near = min(5000.0, 0.05 * (span or 0.0))
     single = _xy(t.pois).groupBy(F.concat_ws("/", "brand", "size").alias("category")).agg(F.count("*").alias("n"), F.first("x").alias("x"), F.first("y").alias("y")).filter("n = 1")
-    return S.pairs_within(single, "category", 160).select("a", "b")
+    return S.pairs_within(single, "category", max(near, 1e-6)).select("a", "b")
 
 
 @query("g11_circles", views=["zones"], sql=f"""

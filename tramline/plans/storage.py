@@ -61,9 +61,14 @@ def clustered_layer(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).filter("lat <= 42.81 and lon <= -85.88").select("poi_id", "category")
 
 
-@query("k4_manifest", sql="SELECT p_brand, count(*) AS n FROM part GROUP BY 1")
+@query("k4_manifest", sql="""SELECT p_brand, count(*) AS n, sum(strlen('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_partkey":' || p_partkey || '}'))::BIGINT AS bytes, count(DISTINCT p_partkey) = count(*) AS told_apart, false AS partial FROM part GROUP BY 1""")
 def manifest(t: Tables) -> DataFrame:
-    return sinks.manifest(t("part"), "p_brand").select("p_brand", "n")
+    """Counts, bytes and digests of layers; told_apart: leaving a row out changes the digest."""
+    rows = t("part").select("p_partkey", "p_name", "p_brand")
+    whole = sinks.manifest(rows, "p_brand")
+    first = rows.groupBy("p_brand").agg(F.min("p_partkey").alias("p_partkey"))
+    less = sinks.manifest(rows.join(first, ["p_brand", "p_partkey"], "left_anti").unionByName(rows.join(first, ["p_brand", "p_partkey"]).withColumn("p_name", F.lit("?"))), "p_brand").select("p_brand", F.col("digest").alias("other"))
+    return whole.join(less, "p_brand").select("p_brand", "n", "bytes", (F.col("digest") != F.col("other")).alias("told_apart"), "partial")
 
 
 @query("k7_public_columns", views=["routes"], sql="SELECT route_id, route_type FROM routes")

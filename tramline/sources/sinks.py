@@ -42,6 +42,13 @@ def clustered(df: DataFrame, path: str, x: str, y: str, size: float, files: int)
 
 
 def manifest(df: DataFrame, layer: str) -> DataFrame:
-    """Rows, digest and partial flag of each layer; the digest is over the sorted row digests."""
-    row = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])), 256)
-    return df.withColumn("_d", row).groupBy(layer).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("_d")).alias("digest"))
+    """Rows, bytes of their JSON, digest and partial flag of each layer.
+
+    The digest is over counts and two sums of row digests, so neither order nor partitions matter and equal rows count each;
+    a layer is partial if a row says so in a column ``partial``.
+    """
+    line = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))
+    rows = df.select(layer, F.octet_length(line).alias("_b"), F.xxhash64(line).alias("_x"), F.xxhash64(F.sha2(line, 256)).alias("_y"), (F.col("partial") if "partial" in df.columns else F.lit(False)).alias("_p"))
+    half = lambda c: F.sum(F.col(c).cast("decimal(20,0)"))
+    out = rows.groupBy(layer).agg(F.count("*").alias("n"), F.sum("_b").alias("bytes"), half("_x").alias("_x"), half("_y").alias("_y"), F.bool_or("_p").alias("partial"))
+    return out.select(layer, "n", "bytes", F.sha2(F.concat_ws(":", "n", "_x", "_y"), 256).alias("digest"), "partial")
