@@ -50,3 +50,42 @@ def test_seekers_are_the_reference_sample(tables, n, kept):
 
 def test_every_zone_meets_every_seeker(tables):
     assert spatial.seeker_table(tables(100)).count() == 100 * 100
+
+
+def chained(keys, linked):
+    label = {k: k for k in keys}
+    for _ in keys:
+        for a in keys:
+            for b in keys:
+                if linked(a, b):
+                    label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_box_chains_equal_brute_force(tables):
+    t = tables(3, 120)
+    box = {}
+    for p in t.pois.collect():
+        s, w, n, e = box.get(k := f"{p.brand}/{p.category}/{p.size}", (99, 999, -99, -999))
+        box[k] = min(s, p.lat), min(w, p.lon), max(n, p.lat), max(e, p.lon)
+
+    def near(a, b):
+        (s, w, n, e), (s2, w2, n2, e2) = box[a], box[b]
+        return max(0, max(s, s2) - min(n, n2)) <= 0.0005 and max(0, max(w, w2) - min(e, e2)) <= 0.0005
+
+    assert {r.id: r.chain for r in spatial.box_chains(t).collect()} == chained(sorted(box), near)
+
+
+def test_spot_clusters_equal_brute_force(tables):
+    from tramline.plans import scoring
+
+    t = tables(8, 200)
+    zones, pois = questions._zones(t).collect(), questions.S.projected(t.pois).collect()
+    far = lambda a, b: ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) ** 0.5
+    expected = {}
+    for z in zones:
+        own = {p.poi_id: p for p in pois if far(z, p) <= 300}
+        if own:
+            label = chained(sorted(own), lambda a, b, own=own: far(own[a], own[b]) <= 100)
+            expected[z.zone_id] = (len(set(label.values())), len(own))
+    assert {r.zone_id: (r.clusters, r.spots) for r in scoring.spot_clusters(t).collect()} == expected

@@ -220,9 +220,7 @@ def zone_measures(t: Tables, radius: float = 402.336, t90_min: float = 90.0) ->
     weight = F.sum(F.when(inside & F.col("category").isin("PROMO", "SMALL"), F.when(F.col("size") % 24 == 0, 1.0).otherwise(0.5)))
     found = near.groupBy("zone_id").agg(weight.alias("spot_weight"), kind("SMALL").alias("toilets"), F.count_if(F.col("category") == "SMALL").alias("toilets_wide"), kind("LARGE").alias("libraries"), kind("ECONOMY", "STANDARD").alias("food"), kind("PROMO").alias("benches"), F.count_if(inside).alias("features"))
     spots = near.filter(inside & F.col("category").isin("PROMO", "SMALL")).select("zone_id", "poi_id").join(pois.select("poi_id", "x", "y"), "poi_id")
-    key = F.struct("zone_id", "poi_id")
-    links = S.within(spots.select(key.alias("a"), F.col("zone_id").alias("z"), "x", "y"), spots.select(key.alias("b"), F.col("zone_id").alias("z"), "x", "y"), 100.0, on=["z"]).filter("a < b").select("a", "b")
-    clusters = G.clusters(spots.select(key.alias("k")), "k", links).groupBy("k.zone_id").agg(F.countDistinct("cluster").alias("spot_clusters"))
+    clusters = _clustered(spots, 100.0).select("zone_id", F.col("clusters").alias("spot_clusters"))
     near_zones = S.pairs_within(zones, "zone_id", 1609.344).select(F.explode(F.array("a", "b")).alias("zone_id")).groupBy("zone_id").agg(F.count("*").alias("neighbours"))
     edge = edge_fraction(t).select("zone_id", (F.col("outside") / 128.0).alias("edge_share"))
     whole = zones.select("zone_id")
@@ -323,13 +321,20 @@ def zone_headways(t: Tables) -> DataFrame:
 
 
 @query("i10_spot_clusters", views=["zones", "pois"], sql=f"""
-WITH RECURSIVE {XY['pois']}, s AS (SELECT poi_id, category, x, y FROM pois_xy WHERE size = 3), e AS (SELECT a.category, a.poi_id AS u, b.poi_id AS v FROM s a JOIN s b ON a.category = b.category AND a.poi_id <> b.poi_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 300),
-r(poi_id, c) AS (SELECT poi_id, poi_id FROM s UNION SELECT e.v, r.c FROM r JOIN e ON e.u = r.poi_id), m AS (SELECT poi_id, min(c) AS c FROM r GROUP BY 1)
-SELECT category, count(DISTINCT c) AS clusters FROM m JOIN s USING (poi_id) GROUP BY 1""")
+WITH RECURSIVE {XY['zones']}, {XY['pois']}, s AS (SELECT a.zone_id, b.poi_id, b.x, b.y FROM zones_xy a JOIN pois_xy b ON b.category IN ('PROMO', 'SMALL') AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 300),
+e AS (SELECT a.zone_id, a.poi_id AS u, b.poi_id AS v FROM s a JOIN s b ON a.zone_id = b.zone_id AND a.poi_id <> b.poi_id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 100),
+r(zone_id, poi_id, c) AS (SELECT zone_id, poi_id, poi_id FROM s UNION SELECT e.zone_id, e.v, r.c FROM r JOIN e ON e.zone_id = r.zone_id AND e.u = r.poi_id), m AS (SELECT zone_id, poi_id, min(c) AS c FROM r GROUP BY 1, 2)
+SELECT zone_id, count(DISTINCT c) AS clusters, count(*) AS spots FROM m GROUP BY 1""")
 def spot_clusters(t: Tables) -> DataFrame:
-    """Clusters of spots within 300 m of each other, by category."""
-    s = S.projected(t.pois.filter("size = 3")).select("poi_id", "category", "x", "y")
-    own = s.select(F.col("poi_id").alias("a"), "category", "x", "y")
-    other = s.select(F.col("poi_id").alias("b"), "category", "x", "y")
-    links = S.within(own, other, 300.0, on=["category"]).filter("a < b").select("a", "b")
-    return G.clusters(s, "poi_id", links).join(s, "poi_id").groupBy("category").agg(F.countDistinct("cluster").alias("clusters"))
+    """Clusters of each zone's spots, linked within 100 m."""
+    pois = S.projected(t.pois.filter("category in ('PROMO', 'SMALL')")).select("poi_id", "x", "y")
+    spots = S.within(S.projected(t.zones).select("zone_id", "x", "y"), pois, 300.0).select("zone_id", "poi_id").join(pois, "poi_id")
+    return _clustered(spots, 100.0)
+
+
+def _clustered(spots: DataFrame, link: float) -> DataFrame:
+    """(zone_id, clusters, spots): single-link clusters of (zone_id, poi_id, x, y) within each zone."""
+    spots, _ = staged(spots.select(F.struct("zone_id", "poi_id").alias("k"), F.col("zone_id").alias("z"), "x", "y"), "spots")
+    own = spots.select(F.col("k").alias("a"), "z", "x", "y")
+    links = S.within(own, own.withColumnRenamed("a", "b"), link, on=["z"]).filter("a < b").select("a", "b")
+    return G.clusters(spots, "k", links).groupBy("k.zone_id").agg(F.countDistinct("cluster").alias("clusters"), F.count("*").alias("spots"))
