@@ -130,3 +130,22 @@ def test_stats(spark):
     r = audit.stats(spark.createDataFrame(rows, "category string, status string, quality double"), 6).first()
     assert (r.total, r.live_share, r.live_categories) == (6, (3 + 0.5) / 6, 2) and abs(r.category_depth - 1 / 6) < 1e-12
     assert abs(r.mean_quality - 0.5) < 1e-12 and abs(r.randomize_risk - 2 / 6) < 1e-12 and F is not None
+
+
+RULE_FACTS = {"assumed": False, "weekend_ratio": 0.9, "has_hub": True, "has_border": True, "score": 50.0, "implied_size": "medium", "size": "medium", "dead_questions": 0, "all_questions": 60, "curses_to_remove": 0, "spending_curses": 0, "median_last_s": 0, "fares": 0, "headway_min": 30.0, "reachable_share": 0.85, "borderline_questions": 0, "dead_rail_questions": 1}
+ALWAYS = {"play_day": False, "start_at_hub": False, "use_borders": True, "answer_limits": False, "hand_limit": False, "safety_exclusions": True}
+
+
+@pytest.mark.parametrize("own, more", [
+    ({}, {}), ({"weekend_ratio": 0.34}, {"play_day": True}), ({"weekend_ratio": 0.34, "assumed": True}, {}), ({"score": 34.9}, {"consider_variant": True}), ({"implied_size": "large"}, {"resize_map": False}),
+    ({"dead_questions": 20}, {"brief_dead_questions": False}), ({"dead_questions": 21}, {"brief_dead_questions": True}), ({"curses_to_remove": 1, "spending_curses": 2}, {"remove_curses": True, "no_spending_toggle": False}), ({"median_last_s": 80000, "fares": 1}, {"end_timer": False, "carry_fare": False}),
+    ({"headway_min": 30.1, "reachable_share": 0.84}, {"check_timetable": False, "reachability_brief": False}), ({"headway_min": 31.0, "assumed": True}, {}), ({"borderline_questions": 1, "dead_rail_questions": 2}, {"settle_borderline": False, "no_rail_note": False}), ({"size": "large", "implied_size": "large"}, {"rest_periods": False}),
+    ({"weekend_ratio": None, "score": None, "headway_min": None, "reachable_share": None, "median_last_s": None}, {}),
+])
+def test_house_rules(spark, own, more):
+    kinds = {bool: "boolean", float: "double", int: "long", str: "string"}
+    row = RULE_FACTS | own
+    schema = ", ".join(f"{k} {kinds[type(RULE_FACTS[k])]}" for k in row)
+    got = scoring.house_rules(spark.createDataFrame([tuple(row.values())], schema)).collect()
+    assert {r.rule_id: r.required for r in got} == ALWAYS | more
+    assert [r.priority for r in got] == sorted(r.priority for r in got)

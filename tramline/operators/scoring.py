@@ -51,6 +51,27 @@ ZONE_FLAGS = {
     "unreachable": "travel_ratio is null or travel_ratio > 1",
 }
 ZONE_CAPS = (("pinned", 450), ("no_legal_spot", 400))
+#: House rules in order: id -> (priority, when it holds, when it is required), over one row of facts.
+HOUSE_RULES = {
+    "play_day": (10, "true", "not assumed and weekend_ratio < 0.35"),
+    "start_at_hub": (20, "has_hub", "false"),
+    "use_borders": (30, "has_border", "true"),
+    "consider_variant": (34, "score < 35.0", "true"),
+    "resize_map": (35, "implied_size <> size", "false"),
+    "brief_dead_questions": (40, "dead_questions > 0", "dead_questions > all_questions / 3.0"),
+    "remove_curses": (45, "curses_to_remove > 0", "true"),
+    "no_spending_toggle": (46, "spending_curses > 0", "false"),
+    "end_timer": (50, "median_last_s > 0", "false"),
+    "carry_fare": (55, "fares > 0", "false"),
+    "answer_limits": (60, "true", "false"),
+    "hand_limit": (61, "true", "false"),
+    "check_timetable": (62, "not assumed and headway_min > 30", "false"),
+    "reachability_brief": (64, "reachable_share < 0.85", "false"),
+    "settle_borderline": (66, "borderline_questions > 0", "false"),
+    "no_rail_note": (67, "dead_rail_questions >= 2", "false"),
+    "rest_periods": (70, "size = 'large'", "false"),
+    "safety_exclusions": (90, "true", "true"),
+}
 Table = dict[str, list[tuple]]
 
 
@@ -132,6 +153,12 @@ def zone_scores(measures: DataFrame, subject: str = "zone_id") -> DataFrame:
     return out.withColumn("excluded", F.array_contains("flags", "unreachable") | F.array_contains("flags", "no_service"))
 
 
+def house_rules(facts: DataFrame) -> DataFrame:
+    """(rule_id, priority, required) of the rules that hold, from one row of facts; what isn't known holds no rule."""
+    rules = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(p).alias("priority"), F.coalesce(F.expr(need), F.lit(False)).alias("required"), F.coalesce(F.expr(when), F.lit(False)).alias("on")) for r, (p, when, need) in HOUSE_RULES.items()])
+    return facts.select(F.explode(F.filter(rules, lambda r: r["on"])).alias("r")).select("r.rule_id", "r.priority", "r.required")
+
+
 def defined(spark: SparkSession, table: Table) -> DataFrame:
     """The metrics as a table."""
     return spark.createDataFrame([(block, name, column, form, points) for block, rows in table.items() for name, column, form, _, points in rows], "block string, metric string, measure string, form string, points int")

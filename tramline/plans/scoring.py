@@ -291,15 +291,25 @@ def findings(t: Tables) -> DataFrame:
     return kept.select("service_id", "block", "metric", F.when(F.col("frac") < 0.35, "concern").otherwise("plus").alias("kind"), lost.cast("long").alias("lost"), F.when(lost >= 50, "high").when(lost >= 30, "medium").otherwise("low").alias("severity"))
 
 
-#: House rules: id, place in the order, condition over the facts.
-HOUSE_RULES = (("shrink_map", 1, "stops > 300"), ("grow_map", 1, "stops < 30"), ("late_night", 2, "last_s >= 82800"), ("early_end", 2, "last_s < 72000"), ("more_time", 3, "routes >= 20 and events < 100000"), ("radar_only", 4, "stops >= 30 and routes < 5"))
+RULES_SQL = " UNION ALL ".join(f"SELECT '{r}' AS rule_id, {p} AS priority, coalesce({need}, false) AS required FROM hr WHERE {when}" for r, (p, when, need) in C.HOUSE_RULES.items())
 
 
-@query("d13_house_rules", views=["stop_times", "trips"], sql="WITH f AS (SELECT count(DISTINCT stop_id) AS stops, count(DISTINCT route_id) AS routes, count(*) AS events, max(dep_s) AS last_s FROM stop_times JOIN trips USING (trip_id)) " + " UNION ALL ".join(f"SELECT '{r}' AS rule_id, {p} AS priority FROM f WHERE {c}" for r, p, c in HOUSE_RULES))
+@query("d13_house_rules", views=MEASURE_VIEWS, sql=f"""
+WITH {SCORED}, {TOTALS}, bd AS (SELECT service_id FROM dy ORDER BY trips DESC, service_id LIMIT 1),
+hr AS (SELECT false AS assumed, weekend_ratio, true AS has_hub, true AS has_border, score, CASE WHEN zones < 100 THEN 'small' WHEN zones < 500 THEN 'medium' ELSE 'large' END AS implied_size, 'medium' AS size, (SELECT count(*) FROM verdicts WHERE status IN ('dead', 'degenerate')) AS dead_questions, (SELECT count(*) FROM verdicts) AS all_questions,
+  0 AS curses_to_remove, 0 AS spending_curses, (SELECT quantile_disc(last_s, 0.5) FROM ps WHERE ps.service_id = ms.service_id) AS median_last_s, 0 AS fares, headway_min, reachable_share, (SELECT count(*) FROM verdicts WHERE borderline) AS borderline_questions, 0 AS dead_rail_questions FROM ms JOIN bd USING (service_id) JOIN fs USING (service_id))
+{RULES_SQL}""")
 def house_rules(t: Tables) -> DataFrame:
-    f = t.stop_times.join(t.trips, "trip_id").agg(F.countDistinct("stop_id").alias("stops"), F.countDistinct("route_id").alias("routes"), F.count("*").alias("events"), F.max("dep_s").alias("last_s"))
-    rules = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(p).alias("priority"), F.expr(c).alias("on")) for r, p, c in HOUSE_RULES])
-    return f.select(F.explode(F.filter(rules, lambda r: r["on"])).alias("r")).select("r.rule_id", "r.priority")
+    """The rules that the busiest service day and the audit call for."""
+    m, _ = staged(measures(t), "measures")
+    best = m.orderBy(F.desc("trips"), "service_id").limit(1)
+    rated = C.fitness(C.subscores(C.metric_rows(best, C.FITNESS, "service_id"), "service_id"), C.caps(best, "service_id"), "service_id").select("service_id", "score")
+    q = questions(t).agg(F.count_if(F.expr("status in ('dead', 'degenerate')")).alias("dead_questions"), F.count("*").alias("all_questions"), F.count_if("borderline").alias("borderline_questions"))
+    last = T.service_day(t.trips, t.stop_times, t.stops, t.calendar).groupBy("service_id", "stop_id").agg(F.max("dep_s").alias("last_s")).filter("last_s is not null").groupBy("service_id").agg(F.expr("percentile_disc(0.5) within group (order by last_s)").alias("median_last_s"))
+    size = F.when(F.col("zones") < 100, "small").when(F.col("zones") < 500, "medium").otherwise("large")
+    facts = best.join(rated, "service_id").join(last, "service_id", "left").crossJoin(q)  # one row each
+    known = {"assumed": False, "has_hub": True, "has_border": True, "size": "medium", "curses_to_remove": 0, "spending_curses": 0, "fares": 0, "dead_rail_questions": 0}
+    return C.house_rules(facts.withColumn("implied_size", size).withColumns({k: F.lit(v) for k, v in known.items()}))
 
 
 @query("d24_day_overlay", sql="SELECT n.n_nationkey AS id, coalesce(CASE WHEN n.n_nationkey % 3 = 0 THEN n.n_nationkey * 10 END, r.r_regionkey) AS value FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey")
