@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..adapters import Tables
 from ..catalog import query
-from ..functions import geo
+from ..functions import geo, numeric, text
 from ..operators import kernels as K
 from ..operators import spatial as S
-from ..stage import new_path
+from ..stage import new_path, staged
 from .spatial import AREAS, DIST, EDGES, GRID_POINTS, XY, _areas, _points
 
 HALF = 6.0
@@ -181,19 +181,61 @@ def stop_positions(t: Tables) -> DataFrame:
     return whole.mapInPandas(run, "trip_id long, seq int, along_m long")
 
 
-@query("d4_signatures", views=["zones", "pois"], sql=f"""
-WITH {XY['zones']}, {XY['pois']}, n AS (SELECT a.zone_id, b.poi_id, {DIST} AS d, row_number() OVER (PARTITION BY a.zone_id ORDER BY {DIST}, b.poi_id) AS k FROM zones_xy a, pois_xy b WHERE b.size = 7)
-SELECT 'nearest' AS question, zone_id, 'n:' || poi_id AS class_key FROM n WHERE k = 1 UNION ALL SELECT 'distance', zone_id, 'n:' || round(d)::BIGINT FROM n WHERE k = 1 UNION ALL SELECT 'near', zone_id, CASE WHEN d <= 500 THEN 'b:1' ELSE 'b:0' END FROM n WHERE k = 1""")
+SIGNATURES = f"""{XY['zones']}, {XY['pois']}, {AREAS}, {EDGES}, {GRID_POINTS}, {IN_RING},
+n AS (SELECT a.zone_id, b.poi_id, {DIST} AS d, row_number() OVER (PARTITION BY a.zone_id ORDER BY {DIST}, b.poi_id) AS k FROM zones_xy a, pois_xy b WHERE b.size = 7),
+rs AS (SELECT stop_id, 'a:[' || string_agg(DISTINCT 's:"' || route_id || '"', ',' ORDER BY 's:"' || route_id || '"') || ']' AS routes FROM stop_times JOIN trips USING (trip_id) GROUP BY 1),
+lab AS (SELECT zone_id, arg_min(area_id, struct_pack(l := level, a := area_id)) AS label FROM c JOIN areas USING (area_id) GROUP BY 1),
+bd AS (SELECT z.zone_id, round((min(sqrt((z.x - o.x) * (z.x - o.x) + (z.y - o.y) * (z.y - o.y))) / 2)::DECIMAL(38, 12), 1)::DOUBLE AS v FROM (SELECT * FROM zones_xy JOIN lab USING (zone_id)) z JOIN (SELECT * FROM zones_xy JOIN lab USING (zone_id)) o ON o.label <> z.label GROUP BY 1),
+ph AS (SELECT a.zone_id, count(*) FILTER (WHERE b.category = 'PROMO' AND size < 10) AS trees FROM zones_xy a JOIN pois_xy b ON {DIST} <= 250 GROUP BY 1)"""
+
+
+@query("d4_signatures", views=["zones", "pois", "stops", "stop_times", "trips"], sql=f"""
+WITH {SIGNATURES}
+SELECT 'nearest' AS question, zone_id, 'n:' || poi_id AS class_key FROM n WHERE k = 1 UNION ALL SELECT 'distance', zone_id, 'n:' || round(d)::BIGINT FROM n WHERE k = 1
+UNION ALL SELECT 'transit_line', z.zone_id, coalesce(routes, 'null') FROM zones z LEFT JOIN rs ON rs.stop_id = 's' || substr(z.zone_id, 2)
+UNION ALL SELECT 'name_length', 'z' || substr(stop_id, 2), 'n:' || length(stop_name) FROM stops
+UNION ALL SELECT 'street', zone_id, 'a:[s:"street",s:"' || zone_id || '"]' FROM zones UNION ALL SELECT 'landmass', zone_id, 's:"landmass:1"' FROM zones UNION ALL SELECT 'dem', zone_id, 'null' FROM zones
+UNION ALL SELECT 'division', z.zone_id, coalesce('n:' || label, 'null') FROM zones z LEFT JOIN lab USING (zone_id)
+UNION ALL SELECT 'border', z.zone_id, coalesce('n:' || CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END, 'null') FROM zones z LEFT JOIN bd USING (zone_id)
+UNION ALL SELECT 'photo', z.zone_id, CASE WHEN trees IS NULL THEN 'null' WHEN trees > 0 THEN 'b:1' ELSE 'b:0' END FROM zones z LEFT JOIN ph USING (zone_id)
+UNION ALL SELECT 'place', zone_id, 'a:[n:' || round(x)::BIGINT || ',n:' || round(y)::BIGINT || ']' FROM zones_xy""")
 def signatures(t: Tables) -> DataFrame:
-    """What every zone would answer, a row a question and zone: type-tagged classes."""
+    """What every zone would answer, a row a question and zone: type-tagged classes, ``null`` where there is no answer.
+
+    A street is each zone's own; without a coast inside the border the map is one landmass; heights aren't known;
+    the distance to a border is half that to the nearest zone beyond it.
+    """
+    from .questions import photo_answers
+
+    zones, _ = staged(S.projected(t.zones).select("zone_id", "x", "y"), "zones")
     pois = S.projected(t.pois.filter("size = 7")).select("poi_id", "x", "y")
-    n = S.nearest(S.projected(t.zones).select("zone_id", "x", "y"), pois, ["zone_id"], "poi_id", 400.0)
-    kinds = F.array(
-        F.struct(F.lit("nearest").alias("question"), F.concat(F.lit("n:"), "poi_id").alias("class_key")),
-        F.struct(F.lit("distance").alias("question"), F.concat(F.lit("n:"), F.round("dist").cast("long")).alias("class_key")),
-        F.struct(F.lit("near").alias("question"), F.when(F.col("dist") <= 500, "b:1").otherwise("b:0").alias("class_key")),
-    )
-    return n.select("zone_id", F.explode(kinds).alias("k")).select("k.question", "zone_id", "k.class_key")
+    near = S.nearest(zones, pois, ["zone_id"], "poi_id", 400.0)
+    zone = F.concat(F.lit("z"), F.substr("stop_id", F.lit(2))).alias("zone_id")
+    lines = t.stop_times.select("stop_id", "trip_id").join(t.trips.select("trip_id", "route_id"), "trip_id").groupBy(zone).agg(F.array_sort(F.collect_set("route_id")).alias("routes"))
+    areas = _areas(t)
+    held = S.inside(_points(t), areas, "zone_id", "area_id", 50.0).join(areas.select("area_id", "level"), "area_id")
+    label, _ = staged(held.groupBy("zone_id").agg(F.min(F.struct("level", "area_id")).alias("m")).select("zone_id", F.col("m.area_id").alias("label")), "labels")
+    placed = zones.join(label, "zone_id")
+    beyond = S.nearest(placed, placed.select(F.col("zone_id").alias("other"), F.col("label").alias("other_label"), "x", "y"), ["zone_id"], "other", 400.0, where="label <> other_label")
+    told = lambda df, question, key: df.select(F.lit(question).alias("question"), "zone_id", key.alias("class_key"))
+    every = lambda df: zones.select("zone_id").join(df, "zone_id", "left")
+    parts = [
+        told(near, "nearest", text.class_key(F.col("poi_id"), "number")),
+        told(near, "distance", text.class_key(F.round("dist"), "number")),
+        told(every(lines), "transit_line", text.class_key(F.col("routes"), "texts")),
+        told(t.stops.select(zone, F.char_length("stop_name").alias("n")), "name_length", text.class_key(F.col("n"), "number")),
+        told(zones, "street", text.class_key(F.array(F.lit("street"), "zone_id"), "texts")),
+        told(zones, "landmass", text.class_key(F.lit("landmass:1"), "text")),
+        told(zones, "dem", F.lit("null")),
+        told(every(label), "division", text.class_key(F.col("label"), "number")),
+        told(every(beyond), "border", text.class_key(numeric.half_up(F.col("dist") / 2, 1), "number")),
+        told(photo_answers(t), "photo", text.class_key(F.col("tree"), "boolean")),
+        told(zones, "place", F.concat(F.lit("a:["), text.class_key(F.round("x"), "number"), F.lit(","), text.class_key(F.round("y"), "number"), F.lit("]"))),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 @query("d9_admin_verdicts", views=["zones"], sql=f"""
