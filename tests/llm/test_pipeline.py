@@ -42,10 +42,30 @@ def test_stages_keep_the_columns(spark, tmp_path):
 
 
 def test_odd_and_empty_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns: what each stage keeps of them."""
     world(spark, tmp_path)
-    for rows in (odd(spark), empty(spark)):
-        for _, stage in P.STAGES:
-            stage(spark, rows, str(tmp_path)).collect()
+    stages = dict(P.STAGES)
+    kept = {name: stage(spark, odd(spark), str(tmp_path)) for name, stage in P.STAGES}
+    ids = {name: sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect()) for name, df in kept.items()}
+    every = sorted((r.doc_id is None, r.doc_id or 0) for r in odd(spark).collect())
+    assert ids["near dedup"] == [x for x in every if x != (False, 8)]  # the copy of 4 goes, rows that repeat stay together
+    assert ids["substring dedup"] == [x for x in every if x != (False, 8)]  # nothing of the copy is left
+    assert ids["decontamination"] == ids["sentencepiece"] == every
+    assert all(x in every for x in ids["quality classifier"])
+    for name in list(stages)[:-1]:
+        assert kept[name].columns == odd(spark).columns
+        assert stages[name](spark, empty(spark), str(tmp_path)).collect() == []
+    assert stages["sentencepiece"](spark, empty(spark), str(tmp_path)).collect() == []
+
+
+def test_ids_that_repeat_with_other_texts(spark, tmp_path):
+    """No text is lost with an id: what stays of each group is one of its texts."""
+    world(spark, tmp_path)
+    rows = test_near_dup.repeated_ids()
+    kept = {(r.doc_id, r.text) for r in P.near_duplicates(spark, frame(spark, rows), str(tmp_path)).collect()}
+    assert (3, rows[0][1]) in kept and (9, rows[2][1]) in kept and (9, rows[0][1]) not in kept and (12, rows[3][1]) not in kept and (3, "") in kept
+    cut = {(r.doc_id, r.n_words) for r in substrings.remove_repeats(frame(spark, [(1, "a b"), (1, "c d e")]), cells=1 << 20).collect()}
+    assert cut == {(1, 2), (1, 3)}
 
 
 def test_names():
