@@ -57,28 +57,35 @@ def walks(t: Tables) -> DataFrame:
     return every.select("from_stop", "to_stop", F.floor(F.col("dist") * 1.3 / 1.2).cast("int").alias("walk_s"))
 
 
-def origins(t: Tables, time: int = DEPART) -> DataFrame:
-    """Every STRIDE-th served stop, or fewer: about ORIGINS of them."""
-    served = events(t).select("stop_id").distinct()
+def day(t: Tables) -> DataFrame:
+    """events(), written once for all that reads them."""
+    return staged(events(t), "day")[0]
+
+
+def origins(ev: DataFrame, time: int = DEPART) -> DataFrame:
+    """Every STRIDE-th served stop of the day's events, or fewer: about ORIGINS of them."""
+    served = ev.select("stop_id").distinct()
     stride = max(STRIDE, -(-served.count() // ORIGINS))
     rows = H.strided(served, ["stop_id"], stride)
     return rows.select(F.col("stop_id").alias("origin_id"), "stop_id", F.lit(time).alias("dep_s"))
 
 
-def hub(t: Tables) -> DataFrame:
+def hub(t: Tables, ev: DataFrame | None = None) -> DataFrame:
     """The stop of the day with the most routes, then the most events."""
-    rows = events(t).join(t.trips, "trip_id").groupBy("stop_id").agg(F.countDistinct("route_id").alias("routes"), F.count("*").alias("events"))
+    rows = (events(t) if ev is None else ev).join(t.trips, "trip_id").groupBy("stop_id").agg(F.countDistinct("route_id").alias("routes"), F.count("*").alias("events"))
     first = rows.agg(F.min(F.struct((-F.col("routes")).alias("r"), (-F.col("events")).alias("e"), "stop_id")).alias("m")).filter("m is not null")
     return first.select(F.col("m.stop_id").alias("origin_id"), F.col("m.stop_id").alias("stop_id"), F.lit(DEPART).alias("dep_s"))
 
 
 def arrivals(t: Tables, starts: DataFrame | None = None) -> DataFrame:
-    return R.journeys(events(t), walks(t), origins(t) if starts is None else starts)
+    ev = day(t)
+    return R.journeys(ev, walks(t), origins(ev) if starts is None else starts)
 
 
 @query("i3_earliest_arrivals", views=VIEWS, sql=f"WITH {ROUNDS} SELECT origin_id, stop_id, arr_s, legs FROM b5")
 def earliest_arrivals(t: Tables) -> DataFrame:
-    return R.rounds(events(t), walks(t), origins(t))
+    ev = day(t)
+    return R.rounds(ev, walks(t), origins(ev))
 
 
 @query("i3_kernel_arrivals", views=VIEWS, sql=f"WITH {ROUNDS} SELECT origin_id, stop_id, arr_s, legs FROM b5")
@@ -91,12 +98,14 @@ LATEST = f"{XY['stops']}, {EVENTS}, {WALKS}, {SERVED}, {BACK}, {_rounds_sql(ev='
 
 @query("i4_latest_departures", views=VIEWS, sql=f"WITH {LATEST} SELECT origin_id, stop_id, -arr_s AS dep_s, legs FROM b5")
 def latest_departures(t: Tables) -> DataFrame:
-    return R.latest(events(t), walks(t), origins(t, ARRIVE))
+    ev = day(t)
+    return R.latest(ev, walks(t), origins(ev, ARRIVE))
 
 
 @query("i4_kernel_departures", views=VIEWS, sql=f"WITH {LATEST} SELECT origin_id, stop_id, -arr_s AS dep_s, legs FROM b5")
 def kernel_departures(t: Tables) -> DataFrame:
-    back = R.journeys(events(t), walks(t), origins(t, ARRIVE), backward=True)
+    ev = day(t)
+    back = R.journeys(ev, walks(t), origins(ev, ARRIVE), backward=True)
     return back.select("origin_id", "stop_id", F.col("arr_s").alias("dep_s"), "legs")
 
 
