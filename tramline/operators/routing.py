@@ -3,8 +3,8 @@
 Both forms follow the published round-based algorithm: a round boards with the
 labels of the rounds before it, and a walk follows only a ride that improved its
 stop in the same round.  ``rounds`` is relational and holds at any size.
-``journeys`` is an array kernel: all origins of a task advance together along one
-chain of trips after the other, on a timetable that a task reads from the shared folder.
+``journeys`` is an array kernel: all origins of a task and all trips advance
+together, a stop of the trips at a time, on a timetable that a task reads from the shared folder.
 Latest departures are earliest arrivals of the day run backwards, in either form.
 """
 
@@ -72,12 +72,22 @@ def latest(events: DataFrame, walks: DataFrame, targets: DataFrame, legs: int =
 
 
 @dataclass
-class Chain:
-    """Trips over the same stops of which none overtakes another: departures and arrivals, a row a trip, ascending in every column."""
+class Trips:
+    """Trips of equally many stops: stops, arrivals and departures, a row a trip; and how each column's trips fall on stops (order, stops, first places)."""
 
     stops: np.ndarray
-    leaves: np.ndarray
     comes: np.ndarray
+    leaves: np.ndarray
+    falls: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, stops: np.ndarray, comes: np.ndarray, leaves: np.ndarray) -> Trips:
+        falls = []
+        for column in stops.T:
+            order = np.argsort(column, kind="stable")
+            head = np.flatnonzero(np.concatenate([[True], np.diff(column[order]) != 0]))
+            falls.append((order, column[order][head], head))
+        return cls(stops, comes, leaves, falls)
 
 
 @dataclass
@@ -97,31 +107,22 @@ class Network:
         rows = events.sort_values(["trip_id", "seq"], kind="stable")
         ends = pd.concat([walks.from_stop, walks.to_stop]) if len(walks) else pd.Series([], dtype=object)
         self.stops = pd.Index(pd.unique(pd.concat([rows.stop_id, ends]))).sort_values()
-        self.chains = self._chained(self.stops.get_indexer(rows.stop_id), rows.trip_id.to_numpy(), rows.arr_s.to_numpy(np.int64), rows.dep_s.to_numpy(np.int64))
+        self.trips = self._grouped(self.stops.get_indexer(rows.stop_id), rows.trip_id.to_numpy(), rows.arr_s.to_numpy(np.int64), rows.dep_s.to_numpy(np.int64))
         order = np.lexsort((self.stops.get_indexer(walks.from_stop), self.stops.get_indexer(walks.to_stop)))
         self.hop_from, self.hop_to = self.stops.get_indexer(walks.from_stop)[order], self.stops.get_indexer(walks.to_stop)[order]
         self.hop_s = walks.walk_s.to_numpy(np.int64)[order]
 
     @staticmethod
-    def _chained(stop: np.ndarray, trip: np.ndarray, comes: np.ndarray, leaves: np.ndarray) -> list[Chain]:
-        """Trips grouped by their stops, and each group dealt into as few chains as first fit finds."""
-        cut = np.flatnonzero(np.concatenate([[True], trip[1:] != trip[:-1]])) if len(trip) else np.zeros(0, np.int64)
-        groups: dict[bytes, list[slice]] = {}
-        for a, b in zip(cut, np.append(cut[1:], len(trip)), strict=True):
-            groups.setdefault(stop[a:b].tobytes(), []).append(slice(a, b))
+    def _grouped(stop: np.ndarray, trip: np.ndarray, comes: np.ndarray, leaves: np.ndarray) -> list[Trips]:
+        """Trips by their number of stops."""
+        if not len(trip):
+            return []
+        cut = np.flatnonzero(np.concatenate([[True], trip[1:] != trip[:-1]]))
+        lens = np.diff(np.append(cut, len(trip)))
         out = []
-        for _, own in sorted(groups.items()):
-            stops = stop[own[0]]
-            away, here = np.stack([leaves[s] for s in own]), np.stack([comes[s] for s in own])
-            order = np.lexsort((here[:, -1], away[:, 0]))
-            chains: list[list[int]] = []
-            for i in order:
-                fit = next((c for c in chains if (away[c[-1]] <= away[i]).all() and (here[c[-1]] <= here[i]).all()), None)
-                if fit is None:
-                    chains.append([i])
-                else:
-                    fit.append(i)
-            out += [Chain(stops, away[c], here[c]) for c in chains]
+        for n in np.unique(lens):
+            at = cut[lens == n][:, None] + np.arange(n)
+            out.append(Trips.of(stop[at], comes[at], leaves[at]))
         return out
 
     def _walk(self, best: Labels, fresh: np.ndarray, k: int) -> np.ndarray:
@@ -154,26 +155,7 @@ class Network:
         fresh = best.arrival < NEVER
         fresh |= self._walk(best, fresh, 0)
         for k in range(1, legs + 1):
-            ready = np.where(fresh, best.arrival + slack, NEVER)
-            open_ = fresh.any(axis=1)
-            ride, source = np.full((n, m), NEVER), np.full((n, m), -1)
-            for chain in self.chains:
-                at = np.flatnonzero(open_[chain.stops])
-                if not len(at):
-                    continue
-                size = len(chain.leaves)
-                trip, on = np.full(m, size), np.full(m, -1)
-                for i in range(int(at[0]), len(chain.stops)):
-                    s = chain.stops[i]
-                    aboard = trip < size
-                    if aboard.any():
-                        time = np.where(aboard, chain.comes[np.minimum(trip, size - 1), i], NEVER)
-                        won = time < ride[s]
-                        ride[s], source[s] = np.where(won, time, ride[s]), np.where(won, on, source[s])
-                    if open_[s]:
-                        other = np.searchsorted(chain.leaves[:, i], ready[s])
-                        sooner = other < trip
-                        trip, on = np.where(sooner, other, trip), np.where(sooner, s, on)
+            ride, source = self._ride(np.where(fresh, best.arrival + slack, NEVER))
             won = ride < best.arrival
             self._settle(best, np.arange(n), won, ride, source, k, True)
             fresh = won
@@ -182,11 +164,31 @@ class Network:
                 break
         return best
 
+    def _ride(self, ready: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(arrival, where boarded) of one ride from the ready times, a row a stop: every trip is boarded at its first stop in time.
+
+        An arrival and its boarding place are one number, so the least of them names both.
+        """
+        n, m = ready.shape
+        bits = max(1, n.bit_length())
+        least = np.full((n, m), NEVER)
+        for own in self.trips:
+            on = np.full((len(own.stops), m), -1)
+            for i, (order, stops, head) in enumerate(own.falls):
+                aboard = on >= 0
+                if i and aboard.any():
+                    key = np.where(aboard, (own.comes[:, i, None] << bits) | np.maximum(on, 0), NEVER)
+                    least[stops] = np.minimum(least[stops], np.minimum.reduceat(key[order], head, axis=0))
+                s = own.stops[:, i]
+                on = np.where(~aboard & (ready[s] <= own.leaves[:, i, None]), s[:, None], on)
+        there = least < NEVER
+        return np.where(there, least >> bits, NEVER), np.where(there, least & ((1 << bits) - 1), -1)
+
     def mirrored(self) -> Network:
         """The day run backwards."""
         back = object.__new__(Network)
         back.stops = self.stops
-        back.chains = [Chain(c.stops[::-1], -c.comes[::-1, ::-1], -c.leaves[::-1, ::-1]) for c in self.chains]
+        back.trips = [Trips(t.stops[:, ::-1], -t.leaves[:, ::-1], -t.comes[:, ::-1], t.falls[::-1]) for t in self.trips]
         order = np.lexsort((self.hop_to, self.hop_from))
         back.hop_from, back.hop_to, back.hop_s = self.hop_to[order], self.hop_from[order], self.hop_s[order]
         return back
