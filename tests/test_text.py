@@ -17,6 +17,20 @@ def one(spark, cells, column, kind="string"):
     return values(spark, [(c,) for c in cells], f"c {kind}", column(F.col("c")))
 
 
+def duck_equals(spark, tmp_path, name, table, rows, schema):
+    """A query over one table of its own against its DuckDB text."""
+    import duckdb
+
+    from tramline import catalog
+
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    got = con.execute(catalog.oracle_sql()[name])
+    columns = [c[0] for c in got.description]
+    assert {tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).select(*columns).collect()} == set(got.fetchall())
+
+
 def test_names(spark):
     assert one(spark, ["Wealthy (NB)", "Wealthy (NB) ", " A(EB)", "B (XB)", None, "C (WB) (SB)"], text.base_name) == ["Wealthy", "Wealthy (NB)", "A", "B (XB)", "", "C (WB)"]
     assert one(spark, ["  Café  du\tMonde ", None, ""], text.composed_name) == ["Café du Monde", "", ""]
@@ -117,3 +131,8 @@ def test_sorted_sums_and_bisection(spark):
     assert values(spark, rows, "v array<double>, x double", numeric.bisect_left(F.col("v"), F.col("x"))) == [bisect.bisect_left(v, x) for v, x in rows]
     assert values(spark, rows, "v array<double>, x double", numeric.bisect_right(F.col("v"), F.col("x"))) == [bisect.bisect_right(v, x) for v, x in rows]
     assert values(spark, [([1e16, 1.0, -1e16],), ([-1e16, 1.0, 1e16],)], "v array<double>", numeric.sum_sorted(F.col("v"))) == [0.0, 0.0]
+
+
+def test_formats_of_large_keys_equal_their_sql(spark, tmp_path):
+    """Keys beyond 10,000 give four digits of kilometres, which the SQL writes without a comma."""
+    duck_equals(spark, tmp_path, "fn_formats", "customer", [(k, k * 1.25 - 9000) for k in (7, 9999, 10000, 12345, 1234567)], "c_custkey long, c_acctbal double")

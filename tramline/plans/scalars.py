@@ -118,7 +118,7 @@ def formats(t: Tables) -> DataFrame:
         text.number(F.col("c_acctbal"), 1).alias("number"),
         text.percent((k % 1000) / 1000.0).alias("pct"),
         text.minutes(F.floor(k % 7200 / 60)).alias("mins"),
-        text.kilometres(k * 100.0).alias("km"),
+        text.kilometres(k * 100.0, comma=False).alias("km"),
         text.direction_word(k % 3).alias("way"),
         text.shape_word(three("radial-hub", "polycentric", "grid-like")).alias("shape"),
         text.noun(three("library", "dog_park", "dog_park"), three("Library", "Dog park", "Dog park"), three(3, 1, 0)).alias("noun"),
