@@ -136,3 +136,9 @@ def test_sorted_sums_and_bisection(spark):
 def test_formats_of_large_keys_equal_their_sql(spark, tmp_path):
     """Keys beyond 10,000 give four digits of kilometres, which the SQL writes without a comma."""
     duck_equals(spark, tmp_path, "fn_formats", "customer", [(k, k * 1.25 - 9000) for k in (7, 9999, 10000, 12345, 1234567)], "c_custkey long, c_acctbal double")
+
+
+def test_first_letters_equal_their_sql(spark, tmp_path):
+    """Every code point as a text's first: none becomes two letters."""
+    texts = [chr(c) + "x\u0301y ß" for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c).isalpha()]
+    duck_equals(spark, tmp_path, "fn_name_lengths", "documents", [*enumerate([*texts, "", "\U0001f600", "e\u0301"]), (-1, None)], "doc_id long, text string")

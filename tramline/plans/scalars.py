@@ -100,7 +100,7 @@ def digests(t: Tables) -> DataFrame:
 
 @query("fn_name_lengths", sql="SELECT doc_id, length(text)::BIGINT AS n, upper(substr(text, 1, 1)) || substr(text, 2, 20) AS cap FROM documents")
 def name_lengths(t: Tables) -> DataFrame:
-    return t("documents").select("doc_id", F.char_length("text").cast("long").alias("n"), F.concat(F.upper(F.substring("text", 1, 1)), F.substring("text", 2, 20)).alias("cap"))
+    return t("documents").select("doc_id", F.char_length("text").cast("long").alias("n"), F.concat(text.capital(F.substring("text", 1, 1)), F.substring("text", 2, 20)).alias("cap"))
 
 
 @query("fn_formats", sql="""
