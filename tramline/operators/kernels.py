@@ -101,20 +101,22 @@ def enclosing_circle(points: DataFrame) -> DataFrame:
 KERNEL_PAIRS = 5_000_000
 
 
-def greedy_cover(n: int, events: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def greedy_cover(n: int, events: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(centres, their uncovered neighbours when picked) of 0..n-1 under the pairs (a, b), in the order of a greedy cover.
 
     Greedy takes the vertex with the most uncovered neighbours, then the most events, then
     the smaller number.  A pick changes nothing beyond two steps, so every vertex
     that is first within two steps can be picked at once, and the picks are sorted at the end.
+    A vertex of weight w is w of them at one place, of which one is picked and covers the others.
     """
+    weight = np.ones(n, np.int64) if weight is None else weight
     src, dst = np.concatenate([a, b]), np.concatenate([b, a])
     open_ = np.ones(n, bool)
     centres, degrees = [], []
     while open_.any():
         live = open_[src] & open_[dst]
         src, dst = src[live], dst[live]
-        degree = np.bincount(src, minlength=n)
+        degree = np.bincount(src, weights=weight[dst], minlength=n).astype(np.int64) + weight - 1
         place = np.empty(n, np.int64)
         place[np.lexsort((np.arange(n), -events, -degree))] = np.arange(n)
         place[~open_] = n
@@ -140,30 +142,33 @@ def cover(stops: DataFrame, pairs: DataFrame) -> DataFrame:
 
     A graph of at most KERNEL_PAIRS pairs goes through one task's arrays, a larger one through
     rounds of joins; both pick every vertex that is first within two steps.
+    A column weight says how many stops of one place a row stands for.
     """
+    stops = stops.select("stop_id", "events", (F.col("weight") if "weight" in stops.columns else F.lit(1)).cast("long").alias("weight"))
     links, links_at = staged(pairs.select("a", "b"), "pairs")
     if links.count() > KERNEL_PAIRS:
-        return _cover_rounds(stops.select("stop_id", "events"), links)
+        return _cover_rounds(stops, links)
     kind = dict(stops.dtypes)["stop_id"]
 
     def one(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
         nodes = nodes.sort_values("stop_id").reset_index(drop=True)
         at = pd.Index(nodes.stop_id)
         events = nodes.events.to_numpy(np.int64)
-        centres, degree = greedy_cover(len(nodes), events, at.get_indexer(edges.a), at.get_indexer(edges.b))
+        centres, degree = greedy_cover(len(nodes), events, at.get_indexer(edges.a), at.get_indexer(edges.b), nodes.weight.to_numpy(np.int64))
         return pd.DataFrame({"stop_id": nodes.stop_id.to_numpy()[centres], "events": events[centres], "degree": degree})
 
-    return stops.select("stop_id", "events").groupBy().cogroup(links.groupBy()).applyInPandas(one, f"stop_id {kind}, events long, degree long")
+    return stops.groupBy().cogroup(links.groupBy()).applyInPandas(one, f"stop_id {kind}, events long, degree long")
 
 
 def _cover_rounds(stops: DataFrame, links: DataFrame) -> DataFrame:
     """cover() by joins: each round picks the vertices that are first within two steps and takes them and their neighbours out."""
-    both, at = staged(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "ends")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both, at = staged(ends.join(stops.select(F.col("stop_id").alias("b"), "weight"), "b"), "ends")
     left, left_at = staged(stops, "open")
     done = None
     while not left.isEmpty():
-        degree = both.groupBy(F.col("a").alias("stop_id")).agg(F.count("*").alias("degree"))
-        keyed = left.join(degree, "stop_id", "left").select("stop_id", F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), (-F.col("events")).alias("e"), "stop_id").alias("key"))
+        degree = both.groupBy(F.col("a").alias("stop_id")).agg(F.sum("weight").alias("degree"))
+        keyed = left.join(degree, "stop_id", "left").select("stop_id", F.struct((1 - F.col("weight") - F.coalesce("degree", F.lit(0))).alias("d"), (-F.col("events")).alias("e"), "stop_id").alias("key"))
         ranked, ranked_at = staged(keyed, "keys")
         one = _least(ranked, both, "key")
         two = _least(one, both, "key").withColumnRenamed("key", "least")
@@ -176,12 +181,12 @@ def _cover_rounds(stops: DataFrame, links: DataFrame) -> DataFrame:
         both, both_at = staged(kept, "ends")
         dropped(stops.sparkSession, at, left_at, ranked_at)
         at, left_at = both_at, new_at
-    return done if done is not None else stops.select("stop_id", "events", F.lit(0).cast("long").alias("degree"))
+    return done if done is not None else stops.select("stop_id", "events", (F.col("weight") - 1).alias("degree"))
 
 
 def _least(rows: DataFrame, both: DataFrame, value: str) -> DataFrame:
     """The smallest value of each vertex and its neighbours."""
-    near = both.join(rows.withColumnRenamed("stop_id", "b"), "b").select(F.col("a").alias("stop_id"), value)
+    near = both.select("a", "b").join(rows.withColumnRenamed("stop_id", "b"), "b").select(F.col("a").alias("stop_id"), value)
     return rows.unionByName(near).groupBy("stop_id").agg(F.min(value).alias(value))
 
 
