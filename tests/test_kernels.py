@@ -218,6 +218,39 @@ def test_walks_between_places_hold_for_their_stops(spark):
     assert {tuple(r) for r in routing.latest(frame(events), frame(between), origins.withColumn("dep_s", F.lit(4000)), slack=30, places=frame(places)).collect()} == back
 
 
+def test_boardings_of_rounds_dont_become_rows(spark):
+    """Twenty origins board all of 300 trips at one stop: that is 6,000 boardings, and no stage hands on nearly as many rows."""
+    n, trips = 20, 300
+    events = spark.range(trips).selectExpr("id as trip_id", "explode(array(named_struct('s', 'hub', 'q', 1), named_struct('s', concat('e', id % 3), 'q', 2))) as c").selectExpr("trip_id", "c.s as stop_id", "c.q as seq", "1000 + trip_id + 60 * c.q as arr_s", "1000 + trip_id + 60 * c.q as dep_s")
+    origins = spark.range(n).selectExpr("concat('o', id) as origin_id", "'hub' as stop_id", "0L as dep_s")
+    walks = spark.createDataFrame([], "from_stop string, to_stop string, walk_s int")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    last = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextStageId()
+    first = last()
+    rows = {tuple(r) for r in routing.rounds(events, walks, origins).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert rows == {(f"o{i}", "hub", 0, 0) for i in range(n)} | {(f"o{i}", f"e{j}", 1120 + j, 1) for i in range(n) for j in range(3)}
+    made = []
+    for k in range(first, last()):
+        try:
+            made.append(store.lastStageAttempt(k).shuffleWriteRecords())
+        except Exception:  # never ran
+            continue
+    assert made and max(made) < n * trips / 4
+
+
+def test_rounds_in_blocks_of_origins(spark, monkeypatch):
+    """Labels of one origin at a time, and chunks of single trips, give the same; so do calls of equal seq and without times."""
+    events, walks, origins = day_frames(spark, "s00", 0)
+    origins = origins.unionByName(spark.createDataFrame([("o", "s03", 100), ("p", "s05", 300), ("q", "s07", 50)], origins.schema))
+    odd = spark.createDataFrame([(900, "s00", 1, 10, 500), (900, "s90", 1, 20, 500), (900, "s91", 2, None, None), (900, "s92", 3, 700, 700)], "trip_id long, stop_id string, seq long, arr_s long, dep_s long")
+    events = events.select("trip_id", "stop_id", "seq", "arr_s", "dep_s").union(odd.withColumn("trip_id", F.lit("odd")) if dict(events.dtypes)["trip_id"] == "string" else odd)
+    whole = {tuple(r) for r in routing.rounds(events, walks, origins, slack=30).collect()}
+    assert ("o", "s92", 700, 1) in whole and not any(r[1] in ("s90", "s91") for r in whole)
+    monkeypatch.setattr(routing, "CELLS", 8)
+    assert {tuple(r) for r in routing.rounds(events, walks, origins, slack=30).collect()} == whole
+
+
 def test_walks_dont_grow_with_the_stops_of_a_place(spark, tmp_path):
     """Stops repeat their positions every 1,200, so 3,600 have the walks of 1,200 and those within the places."""
     from tramline.adapters import Tables
