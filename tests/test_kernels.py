@@ -163,6 +163,30 @@ def test_steps_are_journeys():
             assert at == net.stops[stop] and t <= best.arrival[stop, column] and rides <= 5
 
 
+def test_day_in_parts(spark, monkeypatch):
+    """A worker that reads the day file by file, whole trips in each, finds the same arrivals and steps as from the whole day."""
+    events, walks = day()
+    trips = sorted(set(events.trip_id))
+    parts = [events[events.trip_id.isin(trips[i::3])] for i in range(3)] + [events.iloc[:0]]
+    one, many = routing.Network(events, walks), routing.Network(parts, walks)
+    assert list(one.stops) == list(many.stops) and sum(len(t.stops) for t in many.trips) == len(trips)
+    start, depart = one.stops.get_indexer(["s00", "s04"]), np.array([0, 500])
+    for a, b in ((one, many), (one.mirrored(), many.mirrored())):
+        x, y = (net.earliest(start, depart - (0 if net in (one, many) else 4000), slack=30) for net in (a, b))
+        assert all((getattr(x, f) == getattr(y, f)).all() for f in ("arrival", "legs", "parent", "rode"))
+    seen = []
+    monkeypatch.setattr(routing.Network, "_of", lambda self, part: seen.append(set(part.trip_id)) or [])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        at = routing.new_path(spark, "parts")
+        monkeypatch.setattr(routing, "new_path", lambda s, name: f"{at}/{name}")
+        routing.journeys(spark.createDataFrame(events).repartition(5), spark.createDataFrame(walks), spark.createDataFrame([("o", "s00", 0)], "origin_id string, stop_id string, dep_s long"))
+        routing.Network(routing.Files(f"{at}/day"), walks)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([s for s in seen if s]) > 1 and sum(map(len, seen)) == len(trips)  # no trip in two files
+
+
 def test_trips_that_overtake():
     events = pd.DataFrame([(1, "a", 0, 0, 10), (1, "b", 1, 900, 900), (2, "a", 0, 0, 20), (2, "b", 1, 100, 100)], columns=["trip_id", "stop_id", "seq", "arr_s", "dep_s"])
     net = routing.Network(events, pd.DataFrame({"from_stop": [], "to_stop": [], "walk_s": []}))
