@@ -72,7 +72,7 @@ def plain(v):
     return (None if math.isnan(v) else float(f"{v:.9g}")) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["a40_subscores", "a41_fitness", "d11_metric_points", "d13_house_rules"])
+@pytest.mark.parametrize("name", ["a40_subscores", "a41_fitness", "d11_metric_points", "d12_findings", "d13_house_rules"])
 def test_a_rating_is_its_sql_with_all_zones_as_seekers(spark, town, unsampled, name):
     con = duckdb.connect()
     for f in sorted(os.listdir(town)):
